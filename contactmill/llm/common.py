@@ -7,8 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed value: a word is a run of characters outside these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no part holds much more text than SLICE_CHARS, whole rows only."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > SLICE_CHARS:
@@ -65,3 +68,26 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def map_texts(df: DataFrame, keep: list[str], added: str, start, extra: list[str] | None = None, text: str = "text") -> DataFrame:
+    """Columns `keep` of `df` and the columns `added` (a DDL schema), computed from whole texts in Arrow batches.
+
+    `start()` is called once a task and returns a function from a list of texts (bytes, None for null), and a list of
+    values for each column of `extra`, to one list or Arrow array for each added column. Rows keep their order.
+    """
+    extra = extra or []
+    schema = T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(added).fields])
+    columns = [*keep, *[c for c in (*extra, text) if c not in keep]]
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [f.type for f in to_arrow_schema(schema)][len(keep) :]
+        step = start()
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = part.column(text).cast(pa.binary() if part.schema.field(text).type == pa.string() else pa.large_binary()).to_pylist()
+                found = step(texts, *[part.column(c).to_pylist() for c in extra])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True)]], names=names)
+
+    return df.select(*columns).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import mixing
+from . import lang_gru, mixing, quality_fm, winnow
 from .common import cut
 
 
@@ -20,5 +20,24 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pareto_mix": op1_pareto_mix}
+def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_gru.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_fm.classify(docs.select("doc_id", "text", "n_chars"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return winnow.decontaminate(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {
+    "op1_pareto_mix": op1_pareto_mix,
+    "op4_byte_gru": op4_byte_gru,
+    "op9_factorisation_machine": op9_factorisation_machine,
+    "op10_winnowing": op10_winnowing,
+}
 SQL: dict[str, str] = {}
