@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import lang_gru, mixing, quality_fm, winnow
+from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, winnow
 from .common import cut
 
 
@@ -24,6 +24,15 @@ def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_gru.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return rule_ledger.apply_policy(rows).select("doc_id", *rule_ledger.MEASURES[:5], "base_failed", "kept", "failed")
+
+
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_fm.classify(docs.select("doc_id", "text", "n_chars"), labels).select("doc_id", "held_out", "score", "predicted")
@@ -37,7 +46,9 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_byte_gru": op4_byte_gru,
+    "op6_rule_ledger": op6_rule_ledger,
+    "op8_trigram_secrets": op8_trigram_secrets,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_winnowing": op10_winnowing,
 }
-SQL: dict[str, str] = {}
+SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
