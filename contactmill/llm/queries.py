@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, winnow
+from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, winnow
 from .common import cut
 
 
@@ -24,6 +24,11 @@ def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_gru.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return rule_ledger.apply_policy(rows).select("doc_id", *rule_ledger.MEASURES[:5], "base_failed", "kept", "failed")
@@ -46,6 +51,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op4_byte_gru": op4_byte_gru,
+    "op5_setsketch": op5_setsketch,
     "op6_rule_ledger": op6_rule_ledger,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_factorisation_machine": op9_factorisation_machine,
