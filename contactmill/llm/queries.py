@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, winnow
-from .common import cut
+from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
+from .common import cut, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,24 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "token-store")
+    token_store.write_store(docs, folder, vocabulary())
+    return token_store.read_store(spark, folder)
+
+
 def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_gru.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -50,6 +68,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_token_attribution": op2_token_attribution,
+    "op3_token_store": op3_token_store,
     "op4_byte_gru": op4_byte_gru,
     "op5_setsketch": op5_setsketch,
     "op6_rule_ledger": op6_rule_ledger,
