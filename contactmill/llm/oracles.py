@@ -99,10 +99,28 @@ reach as (select r as a, r as b from d union select reach.a, ed.b from reach joi
 near as (select sh.r, sh.doc_id, len(s)::bigint as n_shingles, component_id from sh join (select reach.a as r, min(d.doc_id) as component_id from reach join d on d.r = reach.b group by reach.a) c using (r))"""
 
 
+def _line_runs(min_words: int = 50) -> str:
+    return f"""
+with d as (select doc_id, coalesce(doc_id, 9223372036854775807) as did, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint as dk,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WS}')) as ls from documents),
+u as (select did, dk, any_value(ls) as ls from d group by did, dk),
+l as (select did, dk, pos, line, len(regexp_extract_all(line, '{_WS}+')) as nw from (select did, dk, unnest(range(len(ls))) as pos, unnest(ls) as line from u)),
+s as (select *, sum(nw) over (partition by did, dk order by pos) as total from l),
+w as (select a.did, a.dk, a.pos, min(b.pos - a.pos + 1) as w from s a join s b on a.did = b.did and a.dk = b.dk and b.pos >= a.pos and b.pos < a.pos + {min_words} and b.total - a.total + a.nw >= {min_words} group by all),
+x as (select w.*, array_to_string(ls[pos + 1:pos + w], chr(10)) as run from w join u using (did, dk)),
+f as (select *, row_number() over (partition by run order by did, dk, pos) as n from x),
+g as (select distinct did, dk, unnest(range(pos, pos + w)) as pos from f where n > 1),
+i as (select did, dk, pos, pos - row_number() over (partition by did, dk order by pos) as island from g),
+r as (select did, dk, island, min(pos) as a, max(pos) as b from i group by all),
+t as (select did, dk, sum(b - a + 1)::bigint as n_deleted, count(*)::bigint as n_runs, string_agg(a || '-' || b, ',' order by a) as runs from r group by all)
+select doc_id, len(ls)::bigint as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(n_runs, 0) as n_runs, coalesce(runs, '') as runs from d left join t using (did, dk)"""
+
+
 SQL = {
     "op1_pareto_mix": _mix(),
     "op5_setsketch": f"with recursive {near_dup()}\nselect doc_id, n_shingles, component_id, (doc_id is not distinct from component_id) as kept from near",
     "op6_rule_ledger": _ledger(),
+    "op7_line_runs": _line_runs(),
     "op8_trigram_secrets": _secrets(),
     "op10_winnowing": _winnow(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import lang_gru, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
+from . import lang_gru, line_runs, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
 from .common import cut, new_folder
 
 
@@ -52,6 +52,10 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.apply_policy(rows).select("doc_id", *rule_ledger.MEASURES[:5], "base_failed", "kept", "failed")
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_index.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_byte_gru": op4_byte_gru,
     "op5_setsketch": op5_setsketch,
     "op6_rule_ledger": op6_rule_ledger,
+    "op7_line_runs": op7_line_runs,
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_winnowing": op10_winnowing,
