@@ -91,16 +91,14 @@ def ascii_letters(c: Column) -> Column:
 
 
 def _cut_start(c: Column, options: tuple[str, ...], fold: bool = True) -> Column:
-    """Cut each option in turn off the start; trimmed after each cut."""
-    for o in options:
-        c = F.when(F.startswith(c, F.lit(o)), F.trim(F.substring(c, len(o) + 1, 1 << 30)) if fold else F.substring(c, len(o) + 1, 1 << 30)).otherwise(c)
-    return c
+    """Cut each option in turn off the start, trimmed after each cut; a fold, so the expression stays small."""
+    rest = lambda a, o: F.substr(a, F.length(o) + 1)
+    return F.aggregate(F.array(*map(F.lit, options)), c, lambda a, o: F.when(F.startswith(a, o), F.trim(rest(a, o)) if fold else rest(a, o)).otherwise(a))
 
 
 def _cut_end(c: Column, options: tuple[str, ...]) -> Column:
-    for o in options:
-        c = F.when(F.endswith(c, F.lit(o)), F.trim(F.left(c, F.length(c) - len(o)))).otherwise(c)
-    return c
+    """Cut each option in turn off the end, trimmed after each cut."""
+    return F.aggregate(F.array(*map(F.lit, options)), c, lambda a, o: F.when(F.endswith(a, o), F.trim(F.left(a, F.length(a) - F.length(o)))).otherwise(a))
 
 
 def words(c: Column) -> Column:
@@ -234,7 +232,7 @@ def detect_stage(c: Column) -> Column:
     """Label of the first keyword, in order, that the text contains; else empty."""
     low, out = F.lower(c), None
     for key, label in STAGES:
-        out = (out or F).when(F.contains(low, F.lit(key)), label)
+        out = (F if out is None else out).when(F.contains(low, F.lit(key)), label)
     return out.otherwise("")
 
 

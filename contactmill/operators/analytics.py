@@ -99,7 +99,7 @@ def histogram(df: DataFrame, score: str, edges: tuple[float, ...] = (0, 20, 40,
     s, bucket = F.col(score), None
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         last = i == len(edges) - 2
-        bucket = (bucket or F).when((s >= a) & ((s <= b) if last else (s < b)), i)
+        bucket = (F if bucket is None else bucket).when((s >= a) & ((s <= b) if last else (s < b)), i)
     return df.select(bucket.alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

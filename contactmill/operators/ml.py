@@ -18,7 +18,7 @@ def stage_code(stage: Column) -> Column:
     """Place of a stage, -1 if unknown."""
     out = None
     for k, v in STAGE_CODES.items():
-        out = (out or F).when(F.lower(stage) == k, v)
+        out = (F if out is None else out).when(F.lower(stage) == k, v)
     return out.otherwise(-1)
 
 

@@ -63,7 +63,7 @@ def stage_points(stage: Column, p: Profile) -> Column:
     mine = next((i for i, x in enumerate(STAGE_ORDER) if x in p.stage), None)
     theirs = None
     for i, x in enumerate(STAGE_ORDER):
-        theirs = (theirs or F).when(F.contains(s, F.lit(x)), i)
+        theirs = (F if theirs is None else theirs).when(F.contains(s, F.lit(x)), i)
     near = F.abs(theirs - mine) if mine is not None else F.lit(None).cast("int")
     return F.when(s.isNull(), w // 3).when(F.contains(s, F.lit(p.stage)) | F.contains(F.lit(p.stage), s), w).when(near.isNull(), w // 3).when(near == 1, int(w * 0.6)).when(near == 2, int(w * 0.2)).otherwise(0)
 
@@ -109,14 +109,14 @@ def recency_points(at: Column, p: Profile) -> Column:
 def role_points(role: Column) -> Column:
     r, out = F.lower(blank(role)), None
     for points, keys in ROLES:
-        out = (out or F).when(_any(r, keys), points)
+        out = (F if out is None else out).when(_any(r, keys), points)
     return out.otherwise(0)
 
 
 def engagement_points(email: Column, status: Column, linkedin: Column, seen: Column) -> Column:
     points = None
     for label, n in STATUS_POINTS.items():
-        points = (points or F).when(status == label, n)
+        points = (F if points is None else points).when(status == label, n)
     full = has_email(email) & has_linkedin(linkedin)
     return points.otherwise(0) + F.when(seen >= 3, 3).when(seen >= 2, 1).otherwise(0) + F.when(full, 2).otherwise(0)
 

@@ -48,7 +48,7 @@ def backoff(trips: Column, base: int = 90, cap: int = 600) -> Column:
 
 def add_tags(tags: Column, more: Column) -> Column:
     """Sorted union of two comma-joined tag lists."""
-    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_sort(F.array_union(parts(tags), parts(more))), ",")
 
 

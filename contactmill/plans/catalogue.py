@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import identity_queries, relational, scores, states, texts  # noqa: F401  registering
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

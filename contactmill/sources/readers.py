@@ -39,7 +39,7 @@ def as_leads(df: DataFrame) -> DataFrame:
 
 def split_list(c: Column) -> Column:
     """Areas by | where there is one, else by white space; blanks out."""
-    return F.filter(F.transform(F.when(F.contains(c, F.lit("|")), F.split(c, r"\|")).otherwise(F.split(c, r"\s+")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.when(F.contains(c, F.lit("|")), F.split(c, r"\|")).otherwise(F.split(c, r"\s+")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def seed_union(frames: list[tuple[str, DataFrame]], focus: dict[str, str], location: dict[str, str]) -> DataFrame:
@@ -118,7 +118,7 @@ def markdown_table(df: DataFrame, column: str, key: str) -> DataFrame:
     rest = F.slice(lines, F.greatest(start, F.lit(1)).cast("int"), F.size(lines))
     stop = F.array_position(F.transform(rest, lambda x: ~piped(x)), True)
     body = F.when(start == 0, F.expr("cast(array() as array<string>)")).when(stop == 0, rest).otherwise(F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = F.filter(body, lambda x: ~F.regexp_like(x, F.lit(r"^[\s|:-]+$")))
     out = df.select(key, rows.alias("_b")).where(F.size("_b") > 1).select(key, cells(F.get("_b", F.lit(0))).alias("header"), F.posexplode(F.slice("_b", F.lit(2), F.size("_b"))).alias("row", "_line"))
     return out.select(key, "row", "header", cells(F.col("_line")).alias("cells"))
@@ -162,7 +162,7 @@ def form_d_people(df: DataFrame, column: str) -> DataFrame:
 
 def people_lines(df: DataFrame, column: str, key: str, roles: str = r"(?i)\b(partner|principal|director|associate|analyst|founder|managing|president|officer)\b", ahead: int = 3, default: str | None = None) -> DataFrame:
     """Lines of two to four capitalised words with the first role line among the next `ahead`."""
-    lines = F.transform(F.split(column, "\r?\n"), F.trim)
+    lines = F.transform(F.split(column, "\r?\n"), lambda x: F.trim(x))
     name = lambda x: F.regexp_like(x, F.lit(r"^\p{Lu}[\p{L}.'-]*(\s+\p{Lu}[\p{L}.'-]*){1,3}$"))
     pos = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: name(F.get("_l", i)) & ~F.regexp_like(F.get("_l", i), F.lit(roles)))
     rows = df.select(key, lines.alias("_l")).select(key, "_l", F.explode(pos).alias("pos"))
@@ -183,7 +183,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     rows = df.withColumnsRenamed(rename)
     fix = {c: t.blank(F.col(c)) for c in rows.columns if dict(rows.dtypes)[c] == "string"}
     if "focus_areas" in fix:
-        fix["focus_areas"] = F.filter(F.transform(F.split("focus_areas", ";"), F.trim), lambda x: x != "")
+        fix["focus_areas"] = F.filter(F.transform(F.split("focus_areas", ";"), lambda x: F.trim(x)), lambda x: x != "")
     if "scraped_at" in fix:
         fix["scraped_at"] = F.try_to_timestamp("scraped_at")
     if "lead_score" in fix:
