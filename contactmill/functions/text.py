@@ -69,6 +69,11 @@ def blank(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*BLANKS), t)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def first_of(*options: Column) -> Column:
     """The first option that is neither null nor blank."""
     return F.coalesce(*[blank(o) for o in options])
@@ -203,7 +208,8 @@ def clean_email(c: Column) -> Column:
 
 def emails(c: Column) -> Column:
     """Distinct addresses in a text, cleaned and sorted; file names and placeholders left out."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(EMAIL), F.lit(0)), clean_email)
+    none = F.expr("cast(array() as array<string>)")
+    found = F.transform(F.when(F.contains(c, F.lit("@")), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))).otherwise(none), clean_email)
     bad = lambda e: F.exists(F.array(*map(F.lit, NOT_EMAILS)), lambda x: F.contains(e, x))
     return F.array_sort(F.array_distinct(F.filter(found, lambda e: ~bad(e))))
 

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactmill.functions.text import let
+
 # Patterns by prevalence.
 PATTERNS = ("{first}.{last}@{domain}", "{first}@{domain}", "{f}{last}@{domain}", "{first}{last}@{domain}", "{f}.{last}@{domain}", "{last}@{domain}", "{first}_{last}@{domain}", "{last}.{first}@{domain}")
 
 
 def candidates(first: Column, last: Column, domain: Column) -> Column:
     """G1: array of (pattern, email) in order; empty if a name part is."""
-    part = {"{first}": first, "{last}": last, "{f}": F.left(first, F.lit(1))}
+    part = {"{first}": first, "{last}": last, "{f}": F.left(first, F.lit(1)), "{domain}": domain}
     out = []
     for p in PATTERNS:
-        email = F.lit(p.removesuffix("{domain}"))
-        for k, v in part.items():
-            email = F.replace(email, F.lit(k), v)
-        out.append(F.struct(F.lit(p).alias("pattern"), F.concat(email, domain).alias("email")))
+        pieces = [part[x] if x in part else F.lit(x) for x in re.split(r"(\{\w+\})", p) if x]
+        out.append(F.struct(F.lit(p).alias("pattern"), F.concat(*pieces).alias("email")))
     ok = (F.coalesce(first, F.lit("")) != "") & (F.coalesce(last, F.lit("")) != "") & domain.isNotNull()
     return F.when(ok, F.array(*out)).otherwise(F.expr("cast(array() as array<struct<pattern:string,email:string>>)"))
 
 
 def expand(df: DataFrame, first: str, last: str, domain: str, email: str = "email", status: str = "email_status") -> DataFrame:
     """Up to eight rows a person; rows with a known address, or without names, pass as they are."""
-    c = candidates(F.col(first), F.col(last), F.col(domain))
     own = F.array(F.struct(F.lit(None).cast("string").alias("pattern"), F.col(email).alias("email")))
-    take = F.when(F.col(status).isin("verified", "scraped") | (F.size(c) == 0), own).otherwise(c)
+    take = let(candidates(F.col(first), F.col(last), F.col(domain)), lambda c: F.when(F.col(status).isin("verified", "scraped") | (F.size(c) == 0), own).otherwise(c))
     return df.withColumn("_c", F.explode(take)).withColumns({email: F.col("_c.email"), "pattern": F.col("_c.pattern")}).drop("_c")
 
 

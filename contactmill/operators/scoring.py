@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactmill.functions.text import blank, check_amounts_compat
+from contactmill.functions.text import blank, check_amounts_compat, let
 
 
 @dataclass(frozen=True)
@@ -59,42 +59,49 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def stage_points(stage: Column, p: Profile) -> Column:
-    s, w = F.lower(blank(stage)), p.stage_match
+    w = p.stage_match
     mine = next((i for i, x in enumerate(STAGE_ORDER) if x in p.stage), None)
-    theirs = None
-    for i, x in enumerate(STAGE_ORDER):
-        theirs = (F if theirs is None else theirs).when(F.contains(s, F.lit(x)), i)
-    near = F.abs(theirs - mine) if mine is not None else F.lit(None).cast("int")
-    return F.when(s.isNull(), w // 3).when(F.contains(s, F.lit(p.stage)) | F.contains(F.lit(p.stage), s), w).when(near.isNull(), w // 3).when(near == 1, int(w * 0.6)).when(near == 2, int(w * 0.2)).otherwise(0)
 
+    def points(s: Column) -> Column:
+        theirs = None
+        for i, x in enumerate(STAGE_ORDER):
+            theirs = (F if theirs is None else theirs).when(F.contains(s, F.lit(x)), i)
+        steps = F.abs(theirs - mine) if mine is not None else F.lit(None).cast("int")
+        near = let(steps, lambda d: F.when(d.isNull(), w // 3).when(d == 1, int(w * 0.6)).when(d == 2, int(w * 0.2)).otherwise(0))
+        return F.when(s.isNull(), w // 3).when(F.contains(s, F.lit(p.stage)) | F.contains(F.lit(p.stage), s), w).otherwise(near)
 
-def _hits(sectors: Column, p: Profile) -> tuple[Column, Column]:
-    """Own sectors that meet any of theirs, and pairs that meet; either contains the other."""
-    theirs = F.array_distinct(F.transform(sectors, F.lower))
-    per = [F.size(_meet(theirs, m)) for m in sorted(set(p.sectors))]
-    return sum((F.when(n > 0, 1).otherwise(0) for n in per), F.lit(0)), sum(per, F.lit(0))
+    return let(F.lower(blank(stage)), points)
 
 
-def _meet(theirs: Column, mine: str) -> Column:
-    return F.filter(theirs, lambda t: F.contains(t, F.lit(mine)) | F.contains(F.lit(mine), t))
+def _meets(sectors: Column, p: Profile) -> Column:
+    """For each own sector the number of theirs that meet it: either contains the other."""
+    mine = F.array(*map(F.lit, sorted(set(p.sectors)))) if p.sectors else F.expr("cast(array() as array<string>)")
+    theirs = F.array_distinct(F.transform(F.coalesce(sectors, F.expr("cast(array() as array<string>)")), lambda t: F.lower(t)))
+    return let(theirs, lambda ts: F.transform(mine, lambda m: F.size(F.filter(ts, lambda t: F.contains(t, m) | F.contains(m, t)))))
 
 
 def sector_points(sectors: Column, p: Profile) -> Column:
-    n, _ = _hits(sectors, p)
-    some = F.coalesce(F.size(sectors), F.lit(0)) > 0
-    return F.when(~some, p.sector_match // 4).otherwise(F.floor(p.sector_match * F.least(n / len(set(p.sectors)) * 1.5, F.lit(1.0))) if p.sectors else F.lit(p.sector_match // 3)).cast("int")
+    some, w = F.coalesce(F.size(sectors), F.lit(0)) > 0, p.sector_match
+    if not p.sectors:
+        return F.when(~some, w // 4).otherwise(w // 3)
+    n = F.size(F.filter(_meets(sectors, p), lambda x: x > 0))
+    return F.when(~some, w // 4).otherwise(F.floor(w * F.least(n / len(set(p.sectors)) * 1.5, F.lit(1.0)))).cast("int")
 
 
 def portfolio_points(sectors: Column, p: Profile) -> Column:
-    _, n = _hits(sectors, p)
     w, some = p.portfolio_relevance, F.coalesce(F.size(sectors), F.lit(0)) > 0
-    return F.when(~some | F.lit(not p.sectors), w // 4).when(n >= 2, w).when(n == 1, int(w * 0.6)).otherwise(int(w * 0.1))
+    n = F.aggregate(_meets(sectors, p), F.lit(0), lambda a, x: a + x)
+    return F.when(~some | F.lit(not p.sectors), w // 4).otherwise(let(n, lambda k: F.when(k >= 2, w).when(k == 1, int(w * 0.6)).otherwise(int(w * 0.1))))
 
 
 def check_points(check: Column, p: Profile) -> Column:
-    amounts, w = check_amounts_compat(blank(check)), p.check_size_fit
-    overlap = (F.array_min(amounts) <= p.check_max) & (F.array_max(amounts) >= p.check_min)
-    return F.when(F.coalesce(F.size(amounts), F.lit(0)) == 0, w // 3).when(overlap, w).otherwise(int(w * 0.15))
+    w = p.check_size_fit
+
+    def points(amounts: Column) -> Column:
+        overlap = (F.array_min(amounts) <= p.check_max) & (F.array_max(amounts) >= p.check_min)
+        return F.when(F.coalesce(F.size(amounts), F.lit(0)) == 0, w // 3).when(overlap, w).otherwise(int(w * 0.15))
+
+    return let(check_amounts_compat(blank(check)), points)
 
 
 def age_days(at: Column, p: Profile) -> Column:
@@ -102,15 +109,18 @@ def age_days(at: Column, p: Profile) -> Column:
 
 
 def recency_points(at: Column, p: Profile) -> Column:
-    d, w = F.greatest(age_days(at, p), F.lit(0.0)), p.recency
-    return F.when(at.isNull(), w // 2).when(d < 1, w).otherwise(F.greatest(F.lit(1), F.floor(w * F.exp(-0.693 * d / 14)).cast("int")))
+    w = p.recency
+    return let(F.greatest(age_days(at, p), F.lit(0.0)), lambda d: F.when(at.isNull(), w // 2).when(d < 1, w).otherwise(F.greatest(F.lit(1), F.floor(w * F.exp(-0.693 * d / 14)).cast("int"))))
 
 
 def role_points(role: Column) -> Column:
-    r, out = F.lower(blank(role)), None
-    for points, keys in ROLES:
-        out = (F if out is None else out).when(_any(r, keys), points)
-    return out.otherwise(0)
+    def points(r: Column) -> Column:
+        out = None
+        for n, keys in ROLES:
+            out = (F if out is None else out).when(_any(r, keys), n)
+        return out.otherwise(0)
+
+    return let(F.lower(blank(role)), points)
 
 
 def engagement_points(email: Column, status: Column, linkedin: Column, seen: Column) -> Column:
