@@ -33,8 +33,8 @@ def expand(df: DataFrame, first: str, last: str, domain: str, email: str = "emai
 
 def detect(email: Column, first: Column, last: Column) -> Column:
     """The first pattern that gives the address; null if none does."""
-    domain = F.lower(F.substring_index(email, "@", -1))
-    return F.get(F.filter(candidates(first, last, domain), lambda x: x["email"] == F.lower(email)), F.lit(0))["pattern"]
+    parts = F.struct(F.lower(email).alias("email"), F.lower(F.substring_index(email, "@", -1)).alias("domain"))
+    return let(parts, lambda e: F.get(F.filter(candidates(first, last, e["domain"]), lambda x: x["email"] == e["email"]), F.lit(0))["pattern"])
 
 
 def learn(observed: DataFrame, weight: str | None = None) -> DataFrame:
