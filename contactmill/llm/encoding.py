@@ -10,14 +10,19 @@ give the same ids and offsets; tests hold them against each other.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
+from itertools import chain
 
 import numpy as np
 
-#: Units that are remembered in each of two generations; the older one is forgotten when the younger is full.
-CACHE_UNITS = 400_000
+#: Units that are remembered in each of two generations; the older one is forgotten when the younger is full. About 200
+#: bytes a unit.
+CACHE_UNITS = 1_000_000
 
 #: White space other than the plain space and newline, and strings that break up units.
 _OTHER_SPACE = [chr(c) for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_STOPS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
 _BREAKS = ["\x00", "  ", " \n", "\n ", "\n\n", *_OTHER_SPACE]
 
 
@@ -28,6 +33,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        # array's item sizes and byte order are the machine's; the format's are little-endian.
+        assert sys.byteorder == "little" and array("H").itemsize == 2 and array("I").itemsize == array("i").itemsize == 4
+
         self.tokenizer = Tokenizer.from_file(path)
         self.offsets = offsets
         self.kind = np.dtype("<i4") if offsets else np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -39,8 +47,9 @@ class Encoder:
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         if self.offsets:
-            return [np.array(e.offsets, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("i", chain.from_iterable(e.offsets)).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units(self, text: str) -> list[str] | None:
         if not text:
@@ -52,16 +61,25 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
-        missing = []
-        for u in units.difference(self.young):
-            known = self.old.get(u)
-            if known is None:
-                missing.append(u)
+        young, old, missing, joined = self.young, self.old, [], []
+        for u in units.difference(young):
+            known = old.get(u)
+            if known is not None:
+                young[u] = known
+                continue
+            word = u.rstrip(_STOPS)
+            if word != u and word.lstrip(" ").isalpha():
+                # Letters and the stops behind them are always tokens of their own.
+                joined.append((u, word, u[len(word) :]))
             else:
-                self.young[u] = known
+                missing.append(u)
+        missing += {p for _, *parts in joined for p in parts if p not in young and p not in old}
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            self.young.update(zip(part, self._packed(part)))
+            young.update(zip(part, self._packed(part)))
+        for u, *parts in joined:
+            a, b = (young.get(p) or old[p] for p in parts)
+            young[u] = a + (np.frombuffer(b, self.kind) + np.array(len(parts[0]), self.kind)).tobytes() if self.offsets else a + b
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids; with `offsets`, an array (tokens, 2)."""
