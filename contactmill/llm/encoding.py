@@ -37,6 +37,8 @@ class Encoder:
         assert sys.byteorder == "little" and array("H").itemsize == 2 and array("I").itemsize == array("i").itemsize == 4
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # units are remembered here; the library's own cache only costs time then
         self.offsets = offsets
         self.kind = np.dtype("<i4") if offsets else np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.breaks = [*_BREAKS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
