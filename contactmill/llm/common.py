@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps no longer need: Spark deletes their shuffle and checkpoint files once the driver's
+    garbage is collected, which in a loop of small jobs it would not be for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count proves that `df` has at most `rows` rows; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,13 +5,14 @@ then on. A class gets REGISTERS registers: register i holds floor(1 - log_b x) o
 the set, truncated to 0..q + 1. Registers are mergeable by maximum and, with b near 1, equal in two sets with a
 probability of about their Jaccard similarity J.
 
-Bands are groups of ROWS registers. Within a bucket of equal bands no list of all pairs is made: in the first round every
-class is paired with the bucket's first and last class only. Pairs are screened by set sizes (exact) and by the
-likelihood estimate of J from the counts of greater, smaller and equal registers and both cardinalities, jointly; those
-within SCREEN of the threshold or above are confirmed on the full sets. Confirmed links give components. In the second
-round only pairs of one bucket whose classes are still in different components, and whose sizes allow a link, are made
-and confirmed the same way. So no link between classes that share a bucket is lost, and a bucket of thousands of near
-copies costs a few pairs each. At J = 0.8, classes share no bucket with probability below 1e-6; a screened-out pair would
+Bands are groups of ROWS registers; classes with an equal band share a bucket. Components need few of a bucket's pairs,
+so pairs are made in steps, each of about as many pairs as there are classes in buckets that still hold several
+components: first every class with its bucket's first class, then rings through the buckets in random orders, which tend
+to pair the most alike. Of a class's new pairs only the likeliest is confirmed. The last step makes what pairs of
+different components are left, so no link between classes that share a bucket is lost, and a bucket of thousands of
+near copies costs a few pairs each. Pairs are screened by set sizes (exact) and by the likelihood estimate of J from the
+counts of greater, smaller and equal registers and both cardinalities, jointly; those within SCREEN of the threshold or
+above can be confirmed, on the full sets. At J = 0.8, classes share no bucket with probability below 1e-6; a screened-out pair would
 need an estimate more than six deviations low.
 
 Components are found by alternating large-star and small-star steps over the links, in the shared folder; only classes
@@ -27,14 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_texts
+from .common import WORD, cut, map_texts, new_folder, release, small
 
 REGISTERS, ROWS, BANDS = 240, 6, 60
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SCREEN = 0.17
+#: Steps before the last, and classes in a ring.
+STEPS, RING = 4, 1000
+#: Classes whose keys may be broadcast to find their texts, about 40 bytes each.
+BROADCAST_CLASSES = 500_000
+#: Links, 16 bytes each, whose components one task may find.
+ONE_TASK_LINKS = 500_000
 CACHE_WORDS = 300_000
 
 _MIX = np.random.default_rng(11).integers(0, 2**64, (2, REGISTERS), np.uint64)
@@ -155,7 +162,7 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
 
 
 def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the joint estimate doesn't rule out."""
+    """Pairs (a, b, j) that the joint estimate j doesn't rule out."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,55 +170,65 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p[c]), "<u2").reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 j = joint_estimate((x > y).sum(axis=1), (x < y).sum(axis=1), p["na"].to_numpy(float), p["nb"].to_numpy(float))
-                yield p.loc[j >= percent / 100 - SCREEN, ["a", "b"]]
+                ok = j >= percent / 100 - SCREEN
+                yield pd.DataFrame({"a": p["a"][ok], "b": p["b"][ok], "j": j[ok]})
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(run, "a long, b long, j double")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
-    used = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    used = classes.join(used, "cid", "left_semi").select("cid", "set_key", "row_key")
-    found = docs.select(_row_key(docs), "text").join(used, "row_key")
+def class_texts(docs: DataFrame, used: DataFrame, k: int) -> DataFrame:
+    """(cid, text) of the classes in `used` (cid, set_key, row_key), one text each, as a table in the shared folder."""
 
     def start():
         hashes = Hashes()
         return lambda texts: [[xxhash.xxh3_128_digest(shingle_set(t, k, hashes).tobytes()) for t in texts]]
 
-    texts = map_texts(found, ["cid", "set_key", "text"], "own binary", start).where("own = set_key")
-    texts = cut(texts.groupBy("cid").agg(F.first("text").alias("text")))
+    found = docs.select(_row_key(docs), "text").join(small(used, BROADCAST_CLASSES), "row_key")
+    texts = map_texts(found, ["cid", "set_key", "text"], "own binary", start).where("own = set_key")  # row_key may collide
+    folder = new_folder(docs.sparkSession, "class-texts")
+    texts.groupBy("cid").agg(F.first("text").alias("text")).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b, link): whether the full sets reach the similarity."""
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, name, left = Hashes(), None, np.empty(0, np.uint64)
         for p in parts:
             ok = []
-            for a, ta, tb in zip(p["a"], p["ta"], p["tb"]):
-                if a != name:
-                    name, left = a, shingle_set(ta.encode(), k, hashes)
-                right = shingle_set(tb.encode(), k, hashes)
+            for b, ta, tb in zip(p["b"], p["ta"], p["tb"]):
+                if b != name:
+                    name, left = b, shingle_set(tb.encode(), k, hashes)
+                right = shingle_set(ta.encode(), k, hashes)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 ok.append(100 * both >= percent * (len(left) + len(right) - both))
-            if any(ok):
-                yield p.loc[ok, ["a", "b"]]
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "link": np.array(ok, bool)})
 
-    return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"))
+    return cut(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, link boolean"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for every end of a link (a, b): root is the least of its component. Large-star and small-star in turn."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    # So few links, by count, that one task holds them with ease: then no step below shuffles.
+    few = edges.limit(ONE_TASK_LINKS + 1).count() <= ONE_TASK_LINKS
+    packed = lambda e: e.coalesce(1) if few else e
+    edges = packed(edges)
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(edges)
     while before[0]:
         # Large star: each neighbour above u joins the least of u and its neighbours.
-        both = edges.union(edges.select("v", "u"))
+        both = packed(edges.union(edges.select("v", "u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its neighbours below join the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(below.union(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(packed(packed(below.union(low.select("u", F.col("m").alias("v")))).distinct()))
+        del both, low, large, below
+        release(links.sparkSession)
         after = mark(edges)
         if tuple(after) == tuple(before):
             break
@@ -225,21 +242,55 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.max("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     bands = band_keys(classes)
-    end = lambda f: f(F.struct("cid", "n"))
-    buckets = bands.groupBy("band").agg(end(F.min).alias("lo"), end(F.max).alias("hi")).where("lo.cid != hi.cid")
-    shared = cut(bands.join(buckets, "band"))
-    first = shared.select("cid", "n", F.explode(F.array("lo", "hi")).alias("end")).where((F.col("cid") != F.col("end.cid")) & _may_link(F.col("n"), F.col("end.n"), percent))
-    first = cut(screen(first.select(F.greatest("cid", "end.cid").alias("a"), F.least("cid", "end.cid").alias("b")).distinct(), classes, percent))
-    links = confirm(first, docs, classes, k, percent)
-    parts = cut(components(links))
-    placed = shared.select("band", "cid", "n").join(parts.withColumnRenamed("v", "cid"), "cid", "left").select("band", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
-    open_ = cut(placed.join(mixed, "band"))
-    x, y = (open_.select("band", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, "band").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("nb"), percent))
-    rest = cut(screen(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), classes, percent))
-    if not rest.isEmpty():
-        parts = cut(components(links.union(confirm(rest, docs, classes, k, percent))))
+    low = F.min(F.struct("cid", "n"))
+    buckets = bands.groupBy("band").agg(low.alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    open_ = cut(bands.join(buckets, "band").select("band", "cid", "n", "lo", "size"))
+    used = classes.join(open_.select("cid").distinct(), "cid", "left_semi").select("cid", "set_key", "row_key")
+    texts = class_texts(docs, used, k)
+    del bands, buckets, used
+    release(docs.sparkSession)
+    links = tested = parts = None
+    for step in range(STEPS + 1):
+        last = step == STEPS
+        if parts is not None:
+            # Buckets that still hold several components.
+            now = open_.drop("root").join(parts.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
+            open_ = cut(now.join(several, "band"))
+            if open_.isEmpty():
+                break
+        if step == 0:
+            pairs = open_.select(F.col("cid").alias("a"), F.col("lo.cid").alias("b"), F.col("n").alias("na"), F.col("lo.n").alias("nb")).where("a != b")
+        elif not last:
+            # A ring through each bucket, in parts of about RING classes, in a new order each time.
+            order = F.xxhash64(F.lit(step), "cid")
+            ring = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(-step), "cid"), F.ceil(F.col("size") / RING))).withColumn("o", order)
+            w, all_ = Window.partitionBy("band", "part").orderBy("o", "cid"), Window.partitionBy("band", "part").orderBy("o", "cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            me = F.struct("cid", "n", "root")
+            ring = ring.select("cid", "n", "root", F.coalesce(F.lead(me).over(w), F.first(me).over(all_)).alias("x")).where("root != x.root")
+            swap = F.col("cid") > F.col("x.cid")
+            side = lambda c: (F.when(swap, F.col(c)).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(c)))
+            (a, b), (na, nb) = side("cid"), side("n")
+            pairs = ring.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"))
+        else:
+            # A pair is made in the first of its buckets only.
+            mine = open_.groupBy("cid").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+            members = cut(open_.join(mine, "cid"))
+            x, y = (members.select("band", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("bands").alias(f"bands_{c}")) for c in "ab")
+            once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+            pairs = x.join(y, "band").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("nb"), percent) & once)
+        pairs = pairs.where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = screen(pairs, classes, percent)
+        if not last:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", "j").alias("b"))
+        found = confirm(pairs, texts, k, percent)
+        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
+        found = found.where("link").select("a", "b")
+        links = found if links is None else links.union(found)
+        parts = cut(components(links))
+        release(docs.sparkSession)
     named = classes.join(parts.withColumnRenamed("v", "cid"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     return rows.drop("sketch"), named.join(least, "root").select("set_key", "root", "component_id")
