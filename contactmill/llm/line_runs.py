@@ -8,10 +8,12 @@ sort before, so equal ranks are an interval of the suffix array whose longest co
 size also say about where a pair of ranks will sort, which deals the pairs evenly to buckets that each sort their own
 part; nothing is sorted in one place, and a very common line is spread by what follows it.
 
-At each line the shortest run of at least `min_words` words that starts there is looked up: its lines' interval comes from
-two overlapping ranks, so doubling stops at the longest such run. A run that is not the first of its interval is a later
-copy, and all its lines are deleted. Longer repeats consist of such runs, so every maximal repeated run of `min_words`
-words or more is deleted whole, but for its first copy; copies within one document count.
+Every run of at least `min_words` words that gets shorter than that without its first line, or without its last line, is
+looked up: its lines' interval comes from two overlapping ranks, so doubling stops at the longest such run. A run that is
+not the first of its interval is a later copy, and all its lines are deleted. In a maximal repeated run of `min_words` words
+or more, the shortest run from a line to the right covers the line if it fits, else the shortest run that ends at the last
+line does; both repeat where the maximal run does. So every maximal run is deleted whole, but for its first copy; copies
+within one document count.
 
 Null and empty texts have no lines. Rows that repeat id and text are one document and share the result. Null ids and
 empty input are allowed. `deduplicated` passes other columns through and replaces `text`.
@@ -61,24 +63,24 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.join(ids.select("h1", "h2", "r", F.col("n").alias("c")), ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["did", "dk", "pos"])
     doc = Window.partitionBy("did", "dk").orderBy("pos")
     rows = rows.withColumn("seg", F.col("pos") - F.row_number().over(doc))
-    # Lines of the shortest run of min_words words at each line, null where its sequence ends before.
+    # Lines of the shortest and of the longest run to look up at each line, null where its sequence has too few words.
     seg = rows.groupBy("did", "dk", "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "nw", "r", "c"))).alias("a"))
-    seg = seg.select("did", "dk", "seg", F.explode(F.zip_with("a", _run_lengths(min_words), lambda x, w: F.struct(x["pos"].alias("pos"), x["r"].alias("r"), x["c"].alias("c"), w.alias("w")))).alias("e"))
+    seg = seg.select("did", "dk", "seg", F.explode(F.zip_with("a", _run_lengths(min_words), lambda x, w: F.struct(x["pos"].alias("pos"), x["r"].alias("r"), x["c"].alias("c"), w["w"].alias("w"), F.greatest(w["w"], F.when(w["w"].isNotNull(), w["top"])).alias("top")))).alias("e"))
     rows = cut(seg.select("did", "dk", "seg", "e.*").withColumn("names", F.array("r")))
-    longest = rows.agg(F.max("w")).first()[0] or 0
+    longest = rows.agg(F.max("top")).first()[0] or 0
     run, h = Window.partitionBy("did", "dk", "seg").orderBy("pos"), 1
     while 2 * h <= longest:
         pairs = cut(rows.withColumn("b", F.coalesce(F.lead("r", h).over(run) + 1, F.lit(0))))
         x = (F.col("r") + F.col("c") * (F.col("b") / float(total + 1))) / float(total)
-        rows = cut(pairs.join(_next(pairs, x), ["r", "b"]).select("did", "dk", "seg", "pos", "w", F.col("r2").alias("r"), F.col("c2").alias("c"), F.concat("names", F.array("r2")).alias("names")))
+        rows = cut(pairs.join(_next(pairs, x), ["r", "b"]).select("did", "dk", "seg", "pos", "w", "top", F.col("r2").alias("r"), F.col("c2").alias("c"), F.concat("names", F.array("r2")).alias("names")))
         h *= 2
     level = F.floor(F.log2(F.col("w") + 0.5)).cast("int")
-    at = rows.where("w is not null").select("did", "dk", "pos", "w", level.alias("j"), F.get("names", level).alias("one"), (F.col("pos") + F.col("w") - F.pow(F.lit(2), level).cast("int")).alias("q"))
+    at = rows.where("w is not null").withColumn("w", F.explode(F.sequence("w", "top"))).select("did", "dk", "pos", "w", level.alias("j"), F.get("names", level).alias("one"), (F.col("pos") + F.col("w") - F.pow(F.lit(2), level).cast("int")).alias("q"))
     there = rows.select("did", "dk", F.col("pos").alias("q"), F.col("names").alias("names_q"))
     at = at.join(there, ["did", "dk", "q"]).select("did", "dk", "pos", "w", "one", F.get("names_q", F.col("j")).alias("two"))
     first = at.groupBy("w", "one", "two").agg(F.min(F.struct("did", "dk", "pos")).alias("first"))
     at = at.join(first, ["w", "one", "two"])
-    later = at.select("did", "dk", "pos", F.when(F.struct("did", "dk", "pos") != F.col("first"), F.col("pos") + F.col("w") - 1).alias("to"))
+    later = at.where(F.struct("did", "dk", "pos") != F.col("first")).groupBy("did", "dk", "pos").agg(F.max(F.col("pos") + F.col("w") - 1).alias("to"))
     # Lines under any later copy, then their islands.
     covered = rows.select("did", "dk", "pos").join(later, ["did", "dk", "pos"], "left").withColumn("reach", F.max("to").over(doc)).where("reach >= pos")
     islands = covered.withColumn("island", F.col("pos") - F.row_number().over(doc))
@@ -93,19 +95,25 @@ def _next(pairs: DataFrame, x: Column) -> DataFrame:
 
 
 def _run_lengths(min_words: int) -> Column:
-    """For the sequence `a`: at each line, how many lines make min_words words; null if all to its end are fewer.
+    """For the sequence `a`: at each line, how many lines make min_words words (w; null if all to its end are fewer), and
+    how many lines the longest run from there has that gets shorter than min_words without its first line (top).
 
     Runs back to front: `open` holds the words of the lines in hand, which shrink from the far end as lines join in front.
     """
     nw = F.transform("a", lambda x: x["nw"])
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("sum"), F.lit(0).alias("len"))
+    start = F.struct(F.expr("cast(array() as array<struct<w:int,top:int>>)").alias("out"), F.lit(0).alias("sum"), F.lit(0).alias("len"))
 
     def add(acc: Column, i: Column) -> Column:
         words, n = acc["sum"] + F.get(nw, i), acc["len"] + 1
+        # The line before the end of the next line's run, or the sequence's last line.
+        top = F.coalesce(F.get(acc["out"], F.lit(0))["w"], F.size("a") - i)
+
+        def done(spare: Column) -> Column:
+            run = F.struct(F.when(spare["s"] >= min_words, spare["n"]).alias("w"), top.alias("top"))
+            return F.struct(F.concat(F.array(run), acc["out"]).alias("out"), spare["s"].alias("sum"), spare["n"].alias("len"))
+
         # Drop lines at the far end while the run stays long enough.
-        spare = F.aggregate(F.sequence(F.lit(1), n), F.struct(words.alias("s"), n.alias("n")), lambda s, _: F.when((s["n"] > 1) & (s["s"] - F.get(nw, i + s["n"] - 1) >= min_words), F.struct((s["s"] - F.get(nw, i + s["n"] - 1)).alias("s"), (s["n"] - 1).alias("n"))).otherwise(s))
-        width = F.when(spare["s"] >= min_words, spare["n"])
-        return F.struct(F.concat(F.array(width), acc["out"]).alias("out"), spare["s"].alias("sum"), spare["n"].alias("len"))
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(words.alias("s"), n.alias("n")), lambda s, _: F.when((s["n"] > 1) & (s["s"] - F.get(nw, i + s["n"] - 1) >= min_words), F.struct((s["s"] - F.get(nw, i + s["n"] - 1)).alias("s"), (s["n"] - 1).alias("n"))).otherwise(s), done)
 
     back = F.reverse(F.sequence(F.lit(0), F.size("a") - 1))
     return F.aggregate(back, start, add, lambda acc: acc["out"])

@@ -270,6 +270,39 @@ def test_deduplicated_text(spark):
     assert got == {1: "x\n" + a + "\ny", 2: "\nz", 3: "x\ny"}
 
 
+def _whole_runs(texts: list[str], min_words: int) -> list[set[int]]:
+    """Lines of later copies by brute force: each line's longest common run with any earlier place."""
+    docs = [[x for x in t.split("\n") if WORD.search(x)] for t in texts]
+    places, out = [], [set() for _ in docs]
+    for d, a in enumerate(docs):
+        for i in range(len(a)):
+            for e, j in places:
+                b, n = docs[e], 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(len(WORD.findall(x)) for x in a[i : i + n]) >= min_words:
+                    out[d] |= set(range(i, i + n))
+            places.append((d, i))
+    return out
+
+
+def test_the_end_of_a_longer_run_is_deleted(spark):
+    long, short = "a " * 60, "b " * 10
+    rows = [(1, f"{long}\n{short}\nx"), (2, f"y\n{long}\n{short}\nz")]
+    got = {r["doc_id"]: r["runs"] for r in line_runs.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "1-2"}
+
+
+def test_runs_are_maximal(spark):
+    rng = np.random.default_rng(7)
+    lines = [f"l{i} " + "w " * int(rng.integers(0, 9)) for i in range(6)]
+    texts = ["\n".join(lines[k] for k in rng.integers(0, 6, rng.integers(1, 30))) for _ in range(25)]
+    for min_words in (1, 7, 12, 25):
+        got = line_runs.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words).collect()
+        found = {r["doc_id"]: {i for x in r["runs"].split(",") if x for i in range(int(x.split("-")[0]), int(x.split("-")[1]) + 1)} for r in got}
+        assert [found[d] for d in range(len(texts))] == _whole_runs(texts, min_words)
+
+
 # 8
 
 
