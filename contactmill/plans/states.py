@@ -27,8 +27,8 @@ _LAST = "last as (select user_id as domain, ts, case when event_type = 'error' t
 @query(f"""with {_LAST}, u as (select unnest(range(0, 200)) as domain), j as (select u.domain, l.ts, l.status, l.leads from u left join last l on u.domain = l.domain where l.ts is null or l.ts < timestamp '{AS_OF}' - interval 1 days)
 select domain, case when status is null then 1 when status = 'failed' then 0 when leads >= 5 then 2 else 3 end::bigint as priority, coalesce(leads, 0) as leads, round(case when status is null then 0 else epoch(timestamp '{AS_OF}') - epoch(ts) end, 3) as staleness from j""")
 def recrawl_priority(t: Tables) -> DataFrame:
-    """O5, R2."""
-    urls = t.spark.range(200).select(F.col("id").alias("domain"))
+    """All users, and the first 200 numbers, of which small tables have not seen all."""
+    urls = t.events.select(F.col("user_id").cast("long").alias("domain")).union(t.spark.range(200)).distinct()
     return state.recrawl_order(urls, _crawls(t), AS_OF, 1).withColumn("staleness", F.round("staleness", 3))
 
 
