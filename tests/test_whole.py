@@ -23,3 +23,14 @@ def test_recrawl_priority_has_every_user(spark, sf, tmp_path):
     assert got.where("domain >= 200").count() > 0
     sql = whole("recrawl_priority", "select unnest(range(0, 200)) as domain", "select user_id as domain from events union select unnest(range(0, 200))")
     assert differences(got, duck(str(tmp_path)), sql) == []
+
+
+def test_best_match_ranks_all_scores(spark, sf, con):
+    sql = """with p as (select p_partkey as seq, split_part(p_name, ' ', 1) as f, split_part(p_name, ' ', 2) as l, lower(replace(p_brand, '#', '')) || '.test' as domain from part),
+    s as (select distinct domain, f[1] || l as x from p where seq % 3 <> 0),
+    j as (select p.domain, seq, x || '@' || p.domain as email, case when f = '' or l = '' then 0 when x = f || '.' || l then 1 when x = f then 0.8 when x = f || l then 0.9 when x in (f[1] || l, f[1] || '.' || l) then 0.85
+    when x = l then 0.6 when x = f || '_' || l then 0.9 when x = l || '.' || f then 0.8 when contains(x, f) and contains(x, l) then 0.7 when contains(x, f) then 0.4 when contains(x, l) then 0.5 else 0 end::double as score from p join s on p.domain = s.domain)
+    select domain, seq, email, score from (select *, row_number() over (partition by seq order by score desc, email) as n from j where score >= 0.3) where n = 1"""
+    got = catalogue.QUERIES["best_match"](spark, sf)
+    assert got.where("score <> 0.85").count() > 0
+    assert differences(got, con, sql) == []
