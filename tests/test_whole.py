@@ -34,3 +34,7 @@ def test_best_match_ranks_all_scores(spark, sf, con):
     got = catalogue.QUERIES["best_match"](spark, sf)
     assert got.where("score <> 0.85").count() > 0
     assert differences(got, con, sql) == []
+
+
+def test_json_list_parse_reads_every_event(spark, sf, con):
+    assert differences(catalogue.QUERIES["json_list_parse"](spark, sf), con, whole("json_list_parse", " where event_id % 3 = 0")) == []
