@@ -43,7 +43,7 @@ def lead_score(t: Tables) -> DataFrame:
     c = F.col
     score = scoring.total(PROFILE, c("stage"), c("sectors"), c("check_size"), c("scraped_at"), c("role"), c("email"), c("email_status"), c("linkedin"), c("times_seen"))
     out = leads(t).select("seq", score.alias("score"))
-    return out.select("seq", "score", scoring.tier(c("score"), PROFILE).alias("tier")).orderBy(F.desc("score"), "seq").limit(1000)
+    return out.select("seq", "score", scoring.tier(c("score"), PROFILE).alias("tier")).orderBy(F.desc("score"), "seq")
 
 
 _EMAIL = "case event_id % 6 when 0 then 'bad' when 1 then 'a@mailinator.com' when 2 then 'info@x.test' else 'u' || user_id || '@x.test' end"

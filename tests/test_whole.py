@@ -38,3 +38,10 @@ def test_best_match_ranks_all_scores(spark, sf, con):
 
 def test_json_list_parse_reads_every_event(spark, sf, con):
     assert differences(catalogue.QUERIES["json_list_parse"](spark, sf), con, whole("json_list_parse", " where event_id % 3 = 0")) == []
+
+
+def test_lead_score_returns_every_lead(spark, sf, con):
+    got = catalogue.QUERIES["lead_score"](spark, sf)
+    assert differences(got, con, whole("lead_score", " limit 1000")) == []
+    keys = [(-r["score"], r["seq"]) for r in got.collect()]
+    assert keys == sorted(keys)
