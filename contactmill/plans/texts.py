@@ -93,9 +93,26 @@ def json_list_parse(t: Tables) -> DataFrame:
 @query("""with l as (select doc_id, unnest(range(len(s))) as pos, unnest(s) as line from (select doc_id, string_split(text, chr(10)) as s from documents))
 select doc_id, pos::bigint as pos, length(line)::bigint as n, line like 'The %' as the from l where length(line) > 400""")
 def line_parse(t: Tables) -> DataFrame:
-    """Numbered lines."""
+    """S12, and what S5 and S6 start from: numbered lines."""
     rows = readers.numbered_lines(t.documents.select("doc_id", "text"), "text")
-    return rows.select("doc_id", "pos", F.length("line").alias("n"), F.startswith("line", F.lit("The ")).alias("the")).where("n > 400")
+    return rows.select("doc_id", "pos", F.length("line").alias("n"), F.startswith("line", F.lit("The ")).alias("the"))
+
+
+@query("""select s_suppkey, row::bigint as row, 'Name,Place' as header, case row when 0 then s_name || ',' || s_nationkey else 'Other,' || s_suppkey end as cells from supplier, (select unnest(range(2)) as row)""")
+def table_parse(t: Tables) -> DataFrame:
+    """A pipe table within a text."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    text = F.concat(F.lit("About\n\n| Name | Place |\n|---|:-:|\n| "), "s_name", F.lit(" | "), n, F.lit(" |\n| Other | "), s, F.lit(" |\n\n| Second | table |"))
+    out = readers.markdown_table(t.supplier.select("s_suppkey", text.alias("text")), "text", "s_suppkey")
+    return out.select("s_suppkey", "row", F.array_join("header", ",").alias("header"), F.array_join("cells", ",").alias("cells"))
+
+
+@query("""select s_suppkey, pos::bigint as pos, case pos when 1 then s_name else 'Other' end as name, 'https://' || case pos when 1 then 's' else 'o' end || s_suppkey || '.test' as website from supplier, (select unnest([1, 4]) as pos)""")
+def bullet_parse(t: Tables) -> DataFrame:
+    """Links of bulleted lines."""
+    s = F.col("s_suppkey")
+    text = F.concat(F.lit("Partners\n* ["), "s_name", F.lit("](https://s"), s, F.lit(".test) since 2001\n[No bullet](https://n.test)\n- [ab](https://short.test)\n  + [Other](https://o"), s, F.lit(".test)"))
+    return readers.bullets(t.supplier.select("s_suppkey", text.alias("text")), "text").select("s_suppkey", "pos", "name", "website")
 
 
 @query("select source, lang, arg_max(doc_id, n_chars * 1000000 - doc_id) as doc_id, max(n_chars) as n_chars from documents group by source, lang")

@@ -45,3 +45,8 @@ def test_lead_score_returns_every_lead(spark, sf, con):
     assert differences(got, con, whole("lead_score", " limit 1000")) == []
     keys = [(-r["score"], r["seq"]) for r in got.collect()]
     assert keys == sorted(keys)
+
+
+def test_line_parse_returns_every_line(spark, sf, con):
+    assert differences(catalogue.QUERIES["line_parse"](spark, sf), con, whole("line_parse", " where length(line) > 400")) == []
+    assert {"table_parse", "bullet_parse"} <= set(catalogue.QUERIES)
