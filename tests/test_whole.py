@@ -50,3 +50,21 @@ def test_lead_score_returns_every_lead(spark, sf, con):
 def test_line_parse_returns_every_line(spark, sf, con):
     assert differences(catalogue.QUERIES["line_parse"](spark, sf), con, whole("line_parse", " where length(line) > 400")) == []
     assert {"table_parse", "bullet_parse"} <= set(catalogue.QUERIES)
+
+
+def test_union_priority_dedupe_takes_every_customer(spark, sf, con, tmp_path):
+    sql = whole("union_priority_dedupe", " where c_nationkey < 20")
+    assert differences(catalogue.QUERIES["union_priority_dedupe"](spark, sf), con, sql) == []
+    spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey > 3").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "s", 1.0), (24, "t", 2.0)], "s_nationkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["union_priority_dedupe"](spark, str(tmp_path))
+    assert {r["key"]: r["source_rank"] for r in got.where("key in (0, 24)").collect()} == {0: 1, 24: 0}
+    assert differences(got, duck(str(tmp_path)), sql) == []
+
+
+def test_stale_fresh_split_sees_late_events(spark, sf, con, tmp_path):
+    sql = whole("stale_fresh_split", " where user_id % 7 <> 0 or ts < timestamp '2024-01-20'")
+    assert differences(catalogue.QUERIES["stale_fresh_split"](spark, sf), con, sql) == []
+    spark.sql("select * from values (7, timestamp_ntz '2024-01-02'), (7, timestamp_ntz '2024-01-30'), (8, timestamp_ntz '2024-01-02') as e(user_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["stale_fresh_split"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(2, 1, 1)]
