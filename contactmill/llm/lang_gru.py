@@ -6,8 +6,9 @@ probabilities are the mean over its bytes that can be part of a letter. The pred
 mean, the first by name in a tie, and its score that mean.
 
 Trained by backpropagation through time, with Adam, on a bounded sample: at most TRAIN_ROWS rows of each language, those
-with the lowest hash of their id, held-out ids aside; of a text longer than TRAIN_SEGMENTS segments, that many, evenly
-spaced. Prediction reads every text whole. Only text is an input.
+with the lowest hash of their id, held-out ids aside. Their texts are learned from whole: batches go through all segments
+in random order, again and again up to EPOCH_STEPS batches, and once at least. Prediction reads every text whole. Only text
+is an input.
 
 Null texts and texts without a letter get `und` and score 0, as do all texts if no row has a language. With one language
 in the sample, that is every prediction. Null ids, repeated rows and empty input are allowed. Other columns pass through;
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_texts
 
-TRAIN_ROWS, TRAIN_SEGMENTS = 300, 6
+TRAIN_ROWS = 300
 STEPS, HIDDEN = 96, 8
 EPOCH_STEPS, BATCH, RATE = 260, 192, 0.02
 WIDTH = 4096
@@ -148,12 +149,15 @@ class Network:
         return float(loss / count), grads
 
     def fit(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, steps: int = EPOCH_STEPS, batch: int = BATCH, rate: float = RATE) -> float:
-        """Adam over random batches of columns; the same result for the same columns. Returns the last losses' mean."""
+        """Adam over the columns in random order, `steps` batches and all columns at least; the same result for the same
+        columns. Returns the last losses' mean."""
         rng = np.random.default_rng(5)
+        steps = max(steps, -(-len(y) // batch))
+        order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-steps * batch // len(y)))])
         weights = self.weights()
         first, second, losses = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], []
         for i in range(1, steps + 1):
-            pick = rng.integers(0, len(y), batch)
+            pick = order[(i - 1) * batch : i * batch]
             loss, grads = self.gradients(x[:, pick], valid[:, pick], y[pick])
             losses.append(loss)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
@@ -201,16 +205,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
     low = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = use.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= rows)
     texts = use.join(ids.select("lang", "doc_id").distinct(), ["lang", "doc_id"], "left_semi")
-    step = F.greatest(F.lit(1), F.length(F.col("text").cast("binary")) / F.lit(STEPS * TRAIN_SEGMENTS))
-    part = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SEGMENTS - 1)), lambda k: F.substring(F.col("text").cast("binary"), (F.floor(k * step) * STEPS + 1).cast("int"), F.lit(STEPS)))
-    sample = texts.select("lang", "doc_id", part.alias("parts")).orderBy("lang", "doc_id").collect()
-    parts = [(r["lang"], bytes(p)) for r in sample for p in r["parts"] if p]
+    sample = texts.select("lang", "doc_id", F.col("text").cast("binary").alias("text")).orderBy("lang", "doc_id", "text").collect()
+    parts = [(r["lang"], bytes(r["text"])) for r in sample if r["text"]]
     if not parts:
         return None
     langs = sorted({lang for lang, _ in parts})
     net = Network(langs)
-    x, length, _ = segments([p for _, p in parts])
-    net.fit(np.ascontiguousarray(x.T), (np.arange(STEPS)[:, None] < length).astype(np.float32), np.array([langs.index(lang) for lang, _ in parts]))
+    x, length, of = segments([p for _, p in parts])
+    net.fit(np.ascontiguousarray(x.T), (np.arange(STEPS)[:, None] < length).astype(np.float32), np.array([langs.index(lang) for lang, _ in parts])[of])
     return net
 
 

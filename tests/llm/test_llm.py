@@ -204,6 +204,22 @@ def test_language_on_held_out_documents(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in lang_gru.identify(blank).collect()}[2] == "und"
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    """Every segment of each sampled text is in a batch, also beyond the usual number of batches."""
+    seen, real = set(), lang_gru.Network.gradients
+    monkeypatch.setattr(lang_gru.Network, "gradients", lambda self, x, valid, y: (seen.update(c.tobytes() for c in x.T), real(self, x, valid, y))[1])
+    texts = {i: " ".join(f"{i}x{k}" for k in range(900)) for i in range(8)}
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in texts.items()], "doc_id long, text string, lang string")
+    used = [r["doc_id"] for r in docs.where(~common.held_out(F.col("doc_id"))).collect()]
+    lang_gru.fit(docs)
+    assert seen == {c.tobytes() for c in lang_gru.segments([texts[i].encode() for i in used])[0]}
+    net = lang_gru.Network(["a", "b"], hidden=2)
+    x = np.arange(256 * 3, dtype=np.uint16).view(np.uint8).reshape(2, -1)
+    seen.clear()
+    net.fit(x, np.ones(x.shape, np.float32), np.arange(x.shape[1]) % 2, steps=2, batch=50)
+    assert seen == {c.tobytes() for c in x.T}
+
+
 def test_machine_is_the_pairwise_sum():
     m = quality_fm.Machine(np.zeros((len(quality_fm.STATS), quality_fm.BINS - 1)))
     m.w[:] = np.random.default_rng(2).normal(size=len(m.w))
