@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ SLICE_CHARS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, in one process only, one of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="contactmill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)
@@ -43,11 +46,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished steps no longer need: Spark deletes their shuffle and checkpoint files once the driver's
-    garbage is collected, which in a loop of small jobs it would not be for a long time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """Tables of a job in many steps, in a folder of the shared one. Storing a table under a name again deletes the
+    version before; shuffle files go once the driver's garbage is collected, which is asked for then too."""
+
+    def __init__(self, spark: SparkSession, kind: str) -> None:
+        self.spark, self.folder, self.count, self.at = spark, new_folder(spark, kind), 0, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """The same rows without their lineage, read from Parquet."""
+        self.count += 1
+        path = f"{self.folder}/{name}-{self.count}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in filter(None, (self.at.pop(n, None) for n in names)):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,15 +5,16 @@ then on. A class gets REGISTERS registers: register i holds floor(1 - log_b x) o
 the set, truncated to 0..q + 1. Registers are mergeable by maximum and, with b near 1, equal in two sets with a
 probability of about their Jaccard similarity J.
 
-Bands are groups of ROWS registers; classes with an equal band share a bucket. Components need few of a bucket's pairs,
-so pairs are made in steps, each of about as many pairs as there are classes in buckets that still hold several
-components: first every class with its bucket's first class, then rings through the buckets in random orders, which tend
-to pair the most alike. Of a class's new pairs only the likeliest is confirmed. The last step makes what pairs of
-different components are left, so no link between classes that share a bucket is lost, and a bucket of thousands of
-near copies costs a few pairs each. Pairs are screened by set sizes (exact) and by the likelihood estimate of J from the
-counts of greater, smaller and equal registers and both cardinalities, jointly; those within SCREEN of the threshold or
-above can be confirmed, on the full sets. At J = 0.8, classes share no bucket with probability below 1e-6; a screened-out pair would
-need an estimate more than six deviations low.
+Bands are groups of ROWS registers; classes with an equal band share a bucket. At J = 0.8 two classes share no bucket with
+probability below 1e-6. Components need few of a bucket's pairs, so pairs are made in steps, each of a few pairs a class:
+every class with its buckets' first classes, then rings through the buckets that still hold several components, then every
+class with the centre of its bucket's largest component (the class with the most links). Pairs are screened by set sizes
+(exact) and by the likelihood estimate of J from the counts of greater, smaller and equal registers and both cardinalities,
+jointly; of a class's pairs the likeliest is confirmed on the full sets. These steps need not find everything.
+
+What links remain between components that share a bucket, `remaining_links` finds, all of them by an exact bound instead of
+an estimate: a class is reduced to its differences from the centre, and only classes that share rare differences are
+compared. A bucket of thousands of near copies, some of which fall just short of the similarity, is so never paired up.
 
 Components are found by alternating large-star and small-star steps over the links, in the shared folder; only classes
 with a link take part. Null texts and texts without words have an empty set and stand alone. Null ids take part; a
@@ -31,17 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_texts, new_folder, release, small
+from .common import WORD, Scratch, cut, map_texts, small
 
 REGISTERS, ROWS, BANDS = 240, 6, 60
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SCREEN = 0.17
-#: Steps before the last, and classes in a ring.
-STEPS, RING = 4, 1000
-#: Classes whose keys may be broadcast to find their texts, about 40 bytes each.
+#: Rounds of rings, and classes in a ring.
+RINGS, RING = 1, 1000
+#: Keys of classes, 8 bytes each, that may be broadcast to find their texts.
 BROADCAST_CLASSES = 500_000
-#: Links, 16 bytes each, whose components one task may find.
-ONE_TASK_LINKS = 500_000
+#: Links, 16 bytes each, of a task that takes part in finding components.
+LINKS_A_TASK = 500_000
 CACHE_WORDS = 300_000
 
 _MIX = np.random.default_rng(11).integers(0, 2**64, (2, REGISTERS), np.uint64)
@@ -162,7 +163,7 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
 
 
 def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, j) that the joint estimate j doesn't rule out."""
+    """`pairs` (a, b, ra, rb) that the joint estimate j doesn't rule out, with j."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,65 +171,52 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p[c]), "<u2").reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 j = joint_estimate((x > y).sum(axis=1), (x < y).sum(axis=1), p["na"].to_numpy(float), p["nb"].to_numpy(float))
-                ok = j >= percent / 100 - SCREEN
-                yield pd.DataFrame({"a": p["a"][ok], "b": p["b"][ok], "j": j[ok]})
+                yield p[["a", "b", "ra", "rb"]].assign(j=j)[j >= percent / 100 - SCREEN]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInPandas(run, "a long, b long, j double")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(F.col("na"), F.col("nb"), percent))
+    return near.select("a", "b", "ra", "rb", "sa", "sb", "na", "nb").mapInPandas(run, "a long, b long, ra long, rb long, j double")
 
 
-def class_texts(docs: DataFrame, used: DataFrame, k: int) -> DataFrame:
-    """(cid, text) of the classes in `used` (cid, set_key, row_key), one text each, as a table in the shared folder."""
+def full_sets(docs: DataFrame, used: DataFrame, k: int) -> DataFrame:
+    """`used` classes (cid, n, set_key, row_key, sketch) with `items`, the hashes of their shingles."""
 
     def start():
         hashes = Hashes()
-        return lambda texts: [[xxhash.xxh3_128_digest(shingle_set(t, k, hashes).tobytes()) for t in texts]]
 
-    found = docs.select(_row_key(docs), "text").join(small(used, BROADCAST_CLASSES), "row_key")
-    texts = map_texts(found, ["cid", "set_key", "text"], "own binary", start).where("own = set_key")  # row_key may collide
-    folder = new_folder(docs.sparkSession, "class-texts")
-    texts.groupBy("cid").agg(F.first("text").alias("text")).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+        def step(texts):
+            sets = [shingle_set(t, k, hashes) for t in texts]
+            return [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets]
+
+        return step
 
+    found = docs.select(_row_key(docs), "text").join(small(used.select("row_key").distinct(), BROADCAST_CLASSES), "row_key", "left_semi")
+    found = map_texts(found, [], "set_key binary, items array<long>", start)  # row_key may collide, set_key decides
+    return used.join(found.groupBy("set_key").agg(F.first("items").alias("items")), "set_key").select("cid", "n", "sketch", "items")
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b, link): whether the full sets reach the similarity."""
-    side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, name, left = Hashes(), None, np.empty(0, np.uint64)
-        for p in parts:
-            ok = []
-            for b, ta, tb in zip(p["b"], p["ta"], p["tb"]):
-                if b != name:
-                    name, left = b, shingle_set(tb.encode(), k, hashes)
-                right = shingle_set(ta.encode(), k, hashes)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                ok.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "link": np.array(ok, bool)})
-
-    return cut(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, link boolean"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(v, root) for every end of a link (a, b): root is the least of its component. Large-star and small-star in turn."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    # So few links, by count, that one task holds them with ease: then no step below shuffles.
-    few = edges.limit(ONE_TASK_LINKS + 1).count() <= ONE_TASK_LINKS
-    packed = lambda e: e.coalesce(1) if few else e
-    edges = packed(edges)
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose full sets reach the similarity."""
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("items").alias(f"i{x}"))
+    both = F.size(F.array_intersect("ia", "ib"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    return found.where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b", "ra", "rb")
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, root) for every end of a link (u, v): root is the least of its component. Large-star and small-star in turn."""
+    edges = scratch.put("edges", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    n = 1 + edges.count() // LINKS_A_TASK
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(edges)
     while before[0]:
         # Large star: each neighbour above u joins the least of u and its neighbours.
-        both = packed(edges.union(edges.select("v", "u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.union(edges.select("v", "u"))
+        low = both.repartition(n, "u").groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.put("large", both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition(n, "u").distinct())
         # Small star: u and its neighbours below join the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.repartition(n, "u").groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(packed(packed(below.union(low.select("u", F.col("m").alias("v")))).distinct()))
-        del both, low, large, below
-        release(links.sparkSession)
+        edges = scratch.put("edges", below.union(low.select("u", F.col("m").alias("v"))).repartition(n, "u").distinct())
         after = mark(edges)
         if tuple(after) == tuple(before):
             break
@@ -236,64 +224,108 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())
 
 
+def centres(open_: DataFrame, roots: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(band, pivot, pn, pr): of each bucket's largest component, the class with the most links, its size and its root."""
+    best = F.max(F.struct("d", (-F.col("cid")).alias("m"), "n")).alias("best")
+    parts = roots.join(degrees, "cid", "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long"))).groupBy("root").agg(F.count(F.lit(1)).alias("weight"), best)
+    parts = parts.select("root", "weight", (-F.col("best.m")).alias("pivot"), F.col("best.n").alias("pn"))
+    top = open_.select("band", "root").distinct().join(parts, "root").groupBy("band").agg(F.max(F.struct("weight", "root", "pivot", "pn")).alias("top"))
+    return top.select("band", F.col("top.pivot").alias("pivot"), F.col("top.pn").alias("pn"), F.col("top.root").alias("pr"))
+
+
+def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): roots of different components that a link joins, among classes with one pivot; enough of them for all components.
+
+    `members` (pivot, cid, n, root) includes the pivots. With D(x) the symmetric difference of x and its pivot, classes x
+    and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and they link iff that is at most (|x| + |y|) (100 - percent)
+    / (100 + percent). With f(x) the share of that excess which x brings, the sum of both f is at most 2 |D(x) & D(y)|
+    (all times 100 + percent). So x and y link if both f add up to 0 or less, and then both link with the class of least f;
+    otherwise they must share so many differences, by which few can: differences are short, mostly each class's own, and
+    the others are joined by the rarest ones only (prefix filter), under the bound that f and the number of shared differences set.
+    """
+    p, q = 100 + percent, 100 - percent
+    items = lambda c, name: sets.select(F.col("cid").alias(c), F.col("items").alias(name))
+    delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    d = members.join(items("cid", "x"), "cid").join(items("pivot", "y"), "pivot").select("pivot", "cid", "n", "root", delta.alias("delta"))
+    d = scratch.put("delta", d.withColumn("f", (p * F.size("delta") - q * F.col("n")).cast("long")))
+    # Differences that several classes of a pivot have, rarest first.
+    each = d.select("pivot", "cid", F.explode("delta").alias("t"))
+    common = each.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(common, ["pivot", "t"]).groupBy("pivot", "cid").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    e = d.select("pivot", "cid", "root", "f").join(shared, ["pivot", "cid"], "left")
+    e = scratch.put("shared", e.withColumn("r", F.col("f") - 2 * p * F.coalesce(F.size("ts"), F.lit(0))))
+    # For each pivot the least f and r, and the least ones among the other roots.
+    low = scratch.put("low", e.groupBy("pivot", "root").agg(F.min("f").alias("f"), F.min("r").alias("r")))
+    first = low.groupBy("pivot").agg(F.min(F.struct("f", "root")).alias("f1"), F.min(F.struct("r", "root")).alias("r1"))
+    other = lambda c: F.min(F.when(F.col("root") != F.col(f"{c}1.root"), F.col(c)))
+    second = low.join(first, "pivot").groupBy("pivot").agg(F.first("f1").alias("f1"), F.first("r1").alias("r1"), other("f").alias("f2"), other("r").alias("r2"))
+    second = scratch.put("bounds", second.where("f2 is not null"))
+    e = e.join(second, "pivot")
+    besides = lambda c: F.when(F.col("root") == F.col(f"{c}1.root"), F.col(f"{c}2")).otherwise(F.col(f"{c}1.{c}"))
+    near = e.where((F.col("root") != F.col("f1.root")) & (F.col("f") + F.col("f1.f") <= 0)).select(F.col("root").alias("u"), F.col("f1.root").alias("v"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("f") + besides("f")) / (2 * p))).cast("int")
+    some = e.where((F.size("ts") >= least) & (F.col("f") + besides("r") <= 0) & (F.col("r") + besides("f") <= 0))
+    some = some.select("pivot", "cid", "root", "f", "r", F.explode(F.slice("ts", F.lit(1), F.size("ts") - least + 1)).alias("t")).select("pivot", "cid", "root", "f", "r", "t.t")
+    x, y = (some.select("pivot", "t", *[F.col(c).alias(f"{c}_{i}") for c in ("cid", "root", "f", "r")]) for i in "ab")
+    can = (F.col("cid_a") > F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("f_a") + F.col("r_b") <= 0) & (F.col("f_b") + F.col("r_a") <= 0)
+    pairs = scratch.put("pairs", x.join(y, ["pivot", "t"]).where(can).select("pivot", "cid_a", "cid_b", "root_a", "root_b").distinct())
+    side = lambda i: d.select("pivot", F.col("cid").alias(f"cid_{i}"), F.col("f").alias(f"f_{i}"), F.col("delta").alias(f"d_{i}"))
+    pairs = pairs.join(side("a"), ["pivot", "cid_a"]).join(side("b"), ["pivot", "cid_b"])
+    found = pairs.where(F.col("f_a") + F.col("f_b") <= 2 * p * F.size(F.array_intersect("d_a", "d_b")))
+    return scratch.put("last", near.union(found.select("root_a", "root_b")).distinct())
+
+
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row_key, n_shingles, set_key) and classes (set_key, root, component_id)."""
-    rows = cut(sketched(docs.select("doc_id", "text", _row_key(docs)), ["doc_id", "row_key"], k))
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.put("rows", sketched(docs.select("doc_id", "text", _row_key(docs)), ["doc_id", "row_key"], k))
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.max("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = scratch.put("classes", classes.withColumn("cid", F.monotonically_increasing_id()))
     bands = band_keys(classes)
-    low = F.min(F.struct("cid", "n"))
-    buckets = bands.groupBy("band").agg(low.alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    open_ = cut(bands.join(buckets, "band").select("band", "cid", "n", "lo", "size"))
-    used = classes.join(open_.select("cid").distinct(), "cid", "left_semi").select("cid", "set_key", "row_key")
-    texts = class_texts(docs, used, k)
-    del bands, buckets, used
-    release(docs.sparkSession)
-    links = tested = parts = None
-    for step in range(STEPS + 1):
-        last = step == STEPS
-        if parts is not None:
+    buckets = bands.groupBy("band").agg(F.min("cid").alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    open_ = scratch.put("open", bands.join(buckets, "band").select("band", "cid", "n", "size", "lo", F.col("cid").alias("root")))
+    used = classes.join(open_.select("cid").distinct(), "cid", "left_semi")
+    sets = scratch.put("sets", full_sets(docs, scratch.put("used", used.select("cid", "n", "set_key", "row_key", "sketch")), k))
+    roots = scratch.put("roots", sets.select("cid", "n", F.col("cid").alias("root")))
+    degrees = None
+    for step in range(RINGS + 3):
+        if step:
             # Buckets that still hold several components.
-            now = open_.drop("root").join(parts.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+            now = open_.drop("root").join(roots.select("cid", "root"), "cid")
             several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
-            open_ = cut(now.join(several, "band"))
+            open_ = scratch.put("open", now.join(several, "band"))
             if open_.isEmpty():
                 break
         if step == 0:
-            pairs = open_.select(F.col("cid").alias("a"), F.col("lo.cid").alias("b"), F.col("n").alias("na"), F.col("lo.n").alias("nb")).where("a != b")
-        elif not last:
+            pairs = open_.select(F.col("cid").alias("a"), F.col("lo").alias("b"), F.col("root").alias("ra"), F.col("lo").alias("rb"))
+        elif step <= RINGS:
             # A ring through each bucket, in parts of about RING classes, in a new order each time.
-            order = F.xxhash64(F.lit(step), "cid")
-            ring = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(-step), "cid"), F.ceil(F.col("size") / RING))).withColumn("o", order)
+            ring = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(-step), "cid"), F.ceil(F.col("size") / RING))).withColumn("o", F.xxhash64(F.lit(step), "cid"))
             w, all_ = Window.partitionBy("band", "part").orderBy("o", "cid"), Window.partitionBy("band", "part").orderBy("o", "cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            me = F.struct("cid", "n", "root")
-            ring = ring.select("cid", "n", "root", F.coalesce(F.lead(me).over(w), F.first(me).over(all_)).alias("x")).where("root != x.root")
-            swap = F.col("cid") > F.col("x.cid")
-            side = lambda c: (F.when(swap, F.col(c)).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(c)))
-            (a, b), (na, nb) = side("cid"), side("n")
-            pairs = ring.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"))
+            me = F.struct("cid", "root")
+            pairs = ring.select("cid", "root", F.coalesce(F.lead(me).over(w), F.first(me).over(all_)).alias("x")).select(F.col("cid").alias("a"), F.col("x.cid").alias("b"), F.col("root").alias("ra"), F.col("x.root").alias("rb"))
+        else:
+            tops = scratch.put("tops", centres(open_, roots, degrees))
+            pairs = open_.join(tops, "band").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), F.col("root").alias("ra"), F.col("pr").alias("rb"))
+        if step < RINGS + 2:
+            pairs = screen(pairs.where("ra != rb").distinct(), sets, percent)
+            # Of a class's pairs the likeliest.
+            pairs = pairs.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("j", "b")).alias("x")).select("a", "ra", "x.b", "x.rb")
+            found = scratch.put("found", confirm(pairs, sets, percent))
+            ends = found.select(F.col("a").alias("cid"), F.lit(1).cast("long").alias("d")).union(found.select("b", F.lit(1).cast("long")))
+            degrees = scratch.put("degrees", (ends if step == 0 else ends.union(degrees)).groupBy("cid").agg(F.sum("d").alias("d")))
+            links = found.select(F.col("ra").alias("u"), F.col("rb").alias("v"))
         else:
-            # A pair is made in the first of its buckets only.
-            mine = open_.groupBy("cid").agg(F.sort_array(F.collect_list("band")).alias("bands"))
-            members = cut(open_.join(mine, "cid"))
-            x, y = (members.select("band", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("bands").alias(f"bands_{c}")) for c in "ab")
-            once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-            pairs = x.join(y, "band").where((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link(F.col("na"), F.col("nb"), percent) & once)
-        pairs = pairs.where(_may_link(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = screen(pairs, classes, percent)
-        if not last:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", "j").alias("b"))
-        found = confirm(pairs, texts, k, percent)
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        found = found.where("link").select("a", "b")
-        links = found if links is None else links.union(found)
-        parts = cut(components(links))
-        release(docs.sparkSession)
-    named = classes.join(parts.withColumnRenamed("v", "cid"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
+            members = open_.join(tops, "band").select("pivot", "cid", "n", "root")
+            members = members.union(tops.select("pivot", F.col("pivot").alias("cid"), F.col("pn").alias("n"), F.col("pr").alias("root"))).distinct()
+            links = remaining_links(members, sets, percent, scratch)
+        new = components(links, scratch).select(F.col("v").alias("root"), F.col("root").alias("new"))
+        roots = scratch.put("roots", roots.join(new, "root", "left").select("cid", "n", F.coalesce("new", "root").alias("root")))
+    named = classes.join(roots.select("cid", "root"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.drop("sketch"), named.join(least, "root").select("set_key", "root", "component_id")
+    named = scratch.put("named", named.join(least, "root").select("set_key", "root", "component_id"))
+    scratch.drop(*(name for name in [*scratch.at] if name not in ("rows", "named")))
+    return rows.drop("sketch"), named
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
