@@ -8,9 +8,10 @@ sort before, so equal ranks are an interval of the suffix array whose longest co
 size also say about where a pair of ranks will sort, which deals the pairs evenly to buckets that each sort their own
 part; nothing is sorted in one place, and a very common line is spread by what follows it.
 
-Every run of at least `min_words` words that gets shorter than that without its first line, or without its last line, is
-looked up: its lines' interval comes from two overlapping ranks, so doubling stops at the longest such run. A run that is
-not the first of its interval is a later copy, and all its lines are deleted. In a maximal repeated run of `min_words` words
+The suffixes that share their first n lines are an interval of the suffix array whose longest common prefix is n or more,
+named by two overlapping ranks. Of every run of at least `min_words` words that gets shorter than that without its first
+line, or without its last line, this interval is looked up; doubling so ends at the longest such run, since deeper ranks would only order
+within intervals. A run that is not the first of its interval is a later copy, and all its lines are deleted. In a maximal repeated run of `min_words` words
 or more, the shortest run from a line to the right covers the line if it fits, else the shortest run that ends at the last
 line does; both repeat where the maximal run does. So every maximal run is deleted whole, but for its first copy; copies
 within one document count.
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
+from .rule_ledger import let
 
 MIN_WORDS = 50
-BUCKETS = 256
+#: Parts in which suffixes are sorted: so many at least, and one for so many lines.
+BUCKETS, LINES_A_BUCKET = 256, 4_000_000
 _ANY = r"[^\x20\x09-\x0D]"
 
 
@@ -42,10 +45,11 @@ def _lines(docs: DataFrame) -> Column:
     return F.filter(F.split(F.coalesce(docs["text"], F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(_ANY)))
 
 
-def _ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups (keys, n, x) with r: the number of suffixes in groups before. x in [0, 1) rises with the keys."""
-    g = groups.withColumn("bucket", F.least(F.floor(F.col("x") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    sums = g.groupBy("bucket").agg(F.sum("n").alias("size"))  # at most BUCKETS rows
+def _ranked(groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Groups (keys, n, x) of `total` suffixes with r: the number of suffixes in groups before. x in [0, 1) rises with the keys."""
+    parts = max(BUCKETS, total // LINES_A_BUCKET)
+    g = groups.withColumn("bucket", F.least(F.floor(F.col("x") * parts), F.lit(parts - 1)).cast("int"))
+    sums = g.groupBy("bucket").agg(F.sum("n").alias("size"))  # at most `parts` rows
     sums = sums.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("offset"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return g.join(F.broadcast(sums), "bucket").withColumn("r", F.col("offset") + before).drop("bucket", "offset", "x")
@@ -59,26 +63,25 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     total = ids.agg(F.sum("n")).first()[0]
     if not total:
         return rows.select("did", "dk", F.col("pos").alias("start"), F.col("pos").alias("end")).where("false")
-    ids = _ranked(ids.withColumn("x", F.shiftrightunsigned(F.col("h1").bitwiseXOR(F.lit(-(2**63))), 11) / float(2**53)), ["h1", "h2"])
+    ids = _ranked(ids.withColumn("x", F.shiftrightunsigned(F.col("h1").bitwiseXOR(F.lit(-(2**63))), 11) / float(2**53)), ["h1", "h2"], total)
     rows = rows.join(ids.select("h1", "h2", "r", F.col("n").alias("c")), ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["did", "dk", "pos"])
     doc = Window.partitionBy("did", "dk").orderBy("pos")
     rows = rows.withColumn("seg", F.col("pos") - F.row_number().over(doc))
-    # Lines of the shortest and of the longest run to look up at each line, null where its sequence has too few words.
-    seg = rows.groupBy("did", "dk", "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "nw", "r", "c"))).alias("a"))
-    seg = seg.select("did", "dk", "seg", F.explode(F.zip_with("a", _run_lengths(min_words), lambda x, w: F.struct(x["pos"].alias("pos"), x["r"].alias("r"), x["c"].alias("c"), w["w"].alias("w"), F.greatest(w["w"], F.when(w["w"].isNotNull(), w["top"])).alias("top")))).alias("e"))
-    rows = cut(seg.select("did", "dk", "seg", "e.*").withColumn("names", F.array("r")))
+    rows = cut(_run_lengths(rows, min_words).withColumn("names", F.array("r")))
     longest = rows.agg(F.max("top")).first()[0] or 0
     run, h = Window.partitionBy("did", "dk", "seg").orderBy("pos"), 1
     while 2 * h <= longest:
         pairs = cut(rows.withColumn("b", F.coalesce(F.lead("r", h).over(run) + 1, F.lit(0))))
         x = (F.col("r") + F.col("c") * (F.col("b") / float(total + 1))) / float(total)
-        rows = cut(pairs.join(_next(pairs, x), ["r", "b"]).select("did", "dk", "seg", "pos", "w", "top", F.col("r2").alias("r"), F.col("c2").alias("c"), F.concat("names", F.array("r2")).alias("names")))
+        rows = cut(pairs.join(_next(pairs, x, total), ["r", "b"]).select("did", "dk", "seg", "pos", "w", "top", F.col("r2").alias("r"), F.col("c2").alias("c"), F.concat("names", F.array("r2")).alias("names")))
         h *= 2
     level = F.floor(F.log2(F.col("w") + 0.5)).cast("int")
     at = rows.where("w is not null").withColumn("w", F.explode(F.sequence("w", "top"))).select("did", "dk", "pos", "w", level.alias("j"), F.get("names", level).alias("one"), (F.col("pos") + F.col("w") - F.pow(F.lit(2), level).cast("int")).alias("q"))
     there = rows.select("did", "dk", F.col("pos").alias("q"), F.col("names").alias("names_q"))
     at = at.join(there, ["did", "dk", "q"]).select("did", "dk", "pos", "w", "one", F.get("names_q", F.col("j")).alias("two"))
-    first = at.groupBy("w", "one", "two").agg(F.min(F.struct("did", "dk", "pos")).alias("first"))
+    at = cut(at)
+    # Stored, so that a run of very many copies is no more than a skewed side of a join to Spark.
+    first = cut(at.groupBy("w", "one", "two").agg(F.min(F.struct("did", "dk", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     at = at.join(first, ["w", "one", "two"])
     later = at.where(F.struct("did", "dk", "pos") != F.col("first")).groupBy("did", "dk", "pos").agg(F.max(F.col("pos") + F.col("w") - 1).alias("to"))
     # Lines under any later copy, then their islands.
@@ -87,36 +90,28 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return islands.groupBy("did", "dk", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("island")
 
 
-def _next(pairs: DataFrame, x: Column) -> DataFrame:
+def _next(pairs: DataFrame, x: Column, total: int) -> DataFrame:
     """(r, b) to the next round's rank r2 and interval size c2."""
     groups = pairs.groupBy("r", "b").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).withColumn("x", x)
-    ranked = _ranked(groups.select(F.col("r").alias("r1"), "b", "n", "x"), ["r1", "b"])
+    ranked = _ranked(groups.select(F.col("r").alias("r1"), "b", "n", "x"), ["r1", "b"], total)
     return ranked.select(F.col("r1").alias("r"), "b", F.col("r").alias("r2"), F.col("n").alias("c2"))
 
 
-def _run_lengths(min_words: int) -> Column:
-    """For the sequence `a`: at each line, how many lines make min_words words (w; null if all to its end are fewer), and
-    how many lines the longest run from there has that gets shorter than min_words without its first line (top).
-
-    Runs back to front: `open` holds the words of the lines in hand, which shrink from the far end as lines join in front.
-    """
-    nw = F.transform("a", lambda x: x["nw"])
-    start = F.struct(F.expr("cast(array() as array<struct<w:int,top:int>>)").alias("out"), F.lit(0).alias("sum"), F.lit(0).alias("len"))
-
-    def add(acc: Column, i: Column) -> Column:
-        words, n = acc["sum"] + F.get(nw, i), acc["len"] + 1
-        # The line before the end of the next line's run, or the sequence's last line.
-        top = F.coalesce(F.get(acc["out"], F.lit(0))["w"], F.size("a") - i)
-
-        def done(spare: Column) -> Column:
-            run = F.struct(F.when(spare["s"] >= min_words, spare["n"]).alias("w"), top.alias("top"))
-            return F.struct(F.concat(F.array(run), acc["out"]).alias("out"), spare["s"].alias("sum"), spare["n"].alias("len"))
-
-        # Drop lines at the far end while the run stays long enough.
-        return F.aggregate(F.sequence(F.lit(1), n), F.struct(words.alias("s"), n.alias("n")), lambda s, _: F.when((s["n"] > 1) & (s["s"] - F.get(nw, i + s["n"] - 1) >= min_words), F.struct((s["s"] - F.get(nw, i + s["n"] - 1)).alias("s"), (s["n"] - 1).alias("n"))).otherwise(s), done)
-
-    back = F.reverse(F.sequence(F.lit(0), F.size("a") - 1))
-    return F.aggregate(back, start, add, lambda acc: acc["out"])
+def _run_lengths(rows: DataFrame, min_words: int) -> DataFrame:
+    """Lines (did, dk, seg, pos, nw, ...) with how many lines make min_words words (w; null if all to the sequence's end
+    are fewer), and how many lines the longest run from there has that gets shorter than min_words without its first line,
+    or w if that is more (top; null like w)."""
+    seg = Window.partitionBy("did", "dk", "seg")
+    lines = rows.withColumn("upto", F.sum("nw").over(seg.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.max("pos").over(seg))
+    # Goals among the running sums: a line's goal is reached at the first sum that isn't below it, the last seen when read downwards.
+    at = F.struct(F.col("upto").alias("v"), F.lit(0).alias("goal"), F.col("pos").alias("at"))
+    goal = F.struct((F.col("upto") - F.col("nw") + min_words).alias("v"), F.lit(1).alias("goal"), F.lit(None).cast("int").alias("at"))
+    both = lines.withColumn("e", F.explode(F.array(at, goal)))
+    down = seg.orderBy(F.desc("e.v"), "e.goal").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("end", F.last("e.at", ignorenulls=True).over(down)).where("e.goal = 1")
+    top = F.coalesce(F.lead("end").over(seg.orderBy("pos")) - F.col("pos"), F.col("last") - F.col("pos") + 1)
+    both = both.withColumn("w", F.col("end") - F.col("pos") + 1).withColumn("top", F.greatest("w", F.when(F.col("w").isNotNull(), top)))
+    return both.select("did", "dk", "seg", "pos", "r", "c", "w", "top")
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -132,14 +127,13 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the later copies' lines cut from `text`; lines without a word stay."""
     runs = deleted_lines(docs, min_words).groupBy("did", "dk").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(docs)).join(runs, ["did", "dk"], "left")
-    lines = F.split("row.text", "\n")
-    number = lambda s, x: F.when(F.regexp_like(x, F.lit(_ANY)), s["n"] + 1).otherwise(s["n"])
-    none = F.expr("cast(array() as array<string>)")
 
-    def add(s: Column, x: Column) -> Column:
-        has = F.regexp_like(x, F.lit(_ANY))
-        gone = has & F.exists("_runs", lambda r: s["n"].between(r["start"], r["end"]))
-        return F.struct(number(s, x).alias("n"), F.when(gone, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+    def left(lines: Column) -> Column:
+        """The lines but those in the runs, which count lines with a word only."""
+        all_ = F.sequence(F.lit(0), F.size(lines) - 1)
+        full = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(_ANY)), i)), lambda i: i.isNotNull())
+        gone = let(full, lambda f: F.flatten(F.transform("_runs", lambda r: F.slice(f, r["start"] + 1, r["end"] - r["start"] + 1))))
+        return F.array_join(F.transform(F.array_except(all_, gone), lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("_runs").isNull(), F.col("row.text")).otherwise(F.aggregate(lines, F.struct(F.lit(0).alias("n"), none.alias("out")), add, lambda s: F.array_join(s["out"], "\n")))
+    text = F.when(F.col("_runs").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), left))
     return rows.select("row", text.alias("_t")).select(*[F.col("_t").alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
