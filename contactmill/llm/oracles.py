@@ -100,13 +100,14 @@ near as (select sh.r, sh.doc_id, len(s)::bigint as n_shingles, component_id from
 
 
 def _line_runs(min_words: int = 50) -> str:
+    """Lines of later copies of runs that get shorter than min_words without their first or without their last line."""
     return f"""
 with d as (select doc_id, coalesce(doc_id, 9223372036854775807) as did, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint as dk,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WS}')) as ls from documents),
 u as (select did, dk, any_value(ls) as ls from d group by did, dk),
 l as (select did, dk, pos, line, len(regexp_extract_all(line, '{_WS}+')) as nw from (select did, dk, unnest(range(len(ls))) as pos, unnest(ls) as line from u)),
 s as (select *, sum(nw) over (partition by did, dk order by pos) as total from l),
-w as (select a.did, a.dk, a.pos, min(b.pos - a.pos + 1) as w from s a join s b on a.did = b.did and a.dk = b.dk and b.pos >= a.pos and b.pos < a.pos + {min_words} and b.total - a.total + a.nw >= {min_words} group by all),
+w as (select a.did, a.dk, a.pos, b.pos - a.pos + 1 as w from s a join s b on a.did = b.did and a.dk = b.dk and b.pos >= a.pos and b.pos < a.pos + {min_words} and b.total - a.total + a.nw >= {min_words} and (b.total - a.total < {min_words} or b.total - a.total + a.nw - b.nw < {min_words})),
 x as (select w.*, array_to_string(ls[pos + 1:pos + w], chr(10)) as run from w join u using (did, dk)),
 f as (select *, row_number() over (partition by run order by did, dk, pos) as n from x),
 g as (select distinct did, dk, unnest(range(pos, pos + w)) as pos from f where n > 1),
