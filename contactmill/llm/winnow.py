@@ -2,39 +2,46 @@
 
 Words are maximal runs of ASCII digits, ASCII letters (lower-cased) and characters beyond ASCII. Every K-gram of words is
 hashed and the minimum of each WINDOW consecutive hashes is kept as a fingerprint, on both sides, so any shared span of
-SPAN = K + WINDOW - 1 words leaves a common fingerprint. Each common fingerprint is extended over equal words to its
-longest shared span; spans of SPAN words or more mark their words as hit. Items of fewer words than SPAN are matched
-whole, by the hash of all their words. Hashes only propose; words decide.
+SPAN = K + WINDOW - 1 words leaves a common fingerprint. Items of fewer words than SPAN have one fingerprint, the hash of
+all their words. Fingerprints of items and documents are joined by Spark; a document has each of its fingerprints once, so
+a text of one repeated word costs no more than others. Before they leave a Python worker, the documents' fingerprints pass
+a filter of FILTER_BITS bits of the items' fingerprints, whose size doesn't depend on the benchmark's.
 
-The benchmark is read in blocks of at most BLOCK_WORDS words (one longer item aside), so what a worker holds is bounded
-however large it is; with several blocks the spans of each document are merged afterwards. Documents are read once a
-block, without a shuffle, and no row meets another document's row.
+Each pair of a document and an item that have a common fingerprint is extended once: the item's windows of SPAN words (the
+whole item if it is shorter) are looked up at every place of the document, in time linear in both, and windows that overlap
+or touch make spans. Hashes only propose, words decide.
 
 Null text has no words; a document without words is clean. An item without words, or without an id, is skipped. Items
-with one id count as one. Documents may repeat, and have null ids. Other columns pass through; an input column with the
-name of an added one is replaced. An empty benchmark leaves every document clean.
+with one id count as one. Documents may repeat, and have null ids; those with equal id and text share their result. Other
+columns pass through; an input column with the name of an added one is replaced. An empty benchmark leaves every document
+clean.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Scratch, map_texts, small
 
 SPAN, K = 13, 7
 WINDOW = SPAN - K + 1
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter, 1 MB.
+FILTER_BITS = 1 << 23
+#: Numbers in the spans and items of all documents together, up to which they are broadcast.
+BROADCAST_NUMBERS = 100_000
+CACHE_WORDS = 300_000
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 _FOLD = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256))
-_NONE = np.uint64(2**64 - 1)
+#: One of the words above, upper case included.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,98 +49,60 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def grams(hashes: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words; _NONE where a word is unknown."""
+class Hashes(dict):
+    """Word to 64-bit hash; forgets all words when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words; runs of different length hash differently."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, k, np.uint64)
     for j in range(k):
-        out = out * _BASE + hashes[j : j + n]
-    out ^= out >> np.uint64(31)
-    run = np.concatenate(([0], np.cumsum(known)))
-    out[run[k:] - run[:-k] < k] = _NONE
+        out = (out ^ hashes[j : j + n]) * _BASE
+        out ^= out >> np.uint64(29)
     return out
 
 
 def winnow(hashes: np.ndarray) -> np.ndarray:
-    """Positions of the minimum of each WINDOW consecutive hashes, each position once."""
+    """The distinct minima of each WINDOW consecutive hashes."""
     if len(hashes) < WINDOW:
-        return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    low = view.min(axis=1)
-    use = np.flatnonzero(low != _NONE)
-    return np.unique(use + view[use].argmin(axis=1))
-
-
-class Index:
-    """Fingerprints of one block of items. Items are (id, words)."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.ids = [i for i, _ in items]
-        self.vocab: dict[bytes, int] = {}
-        number = self.vocab.setdefault
-        coded = [[number(w, len(self.vocab) + 1) for w in ws] for _, ws in items]
-        self.hashes = np.array([0, *map(xxhash.xxh64_intdigest, self.vocab)], np.uint64)
-        long_ = [i for i, c in enumerate(coded) if len(c) >= SPAN]
-        # Items one after another; a 0 between them equals no known word.
-        self.seq = np.array([x for i in long_ for x in (*coded[i], 0)], np.int64)
-        self.item = np.array([i for i in long_ for _ in range(len(coded[i]) + 1)], np.int64)
-        h = grams(self.hashes[self.seq], self.seq > 0, K)
-        at = winnow(h)
-        order = np.argsort(h[at], kind="stable")
-        self.prints, self.at = h[at][order], at[order]
-        self.short: dict[int, dict[int, list[tuple[tuple[int, ...], int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, c in enumerate(coded):
-            if 0 < len(c) < SPAN:
-                code = np.array(c, np.int64)
-                self.short[len(c)][int(grams(self.hashes[code], code > 0, len(c))[0])].append((tuple(c), i))
-        self.short = {k: dict(v) for k, v in self.short.items()}
-
-    def spans(self, seq: np.ndarray) -> list[tuple[int, int, int]]:
-        """(start, end, item) of all shared spans in a sequence of word codes, in which 0 is any unknown word."""
-        known, hashes, out = seq > 0, self.hashes[seq], []
-        h = grams(hashes, known, K)
-        at = winnow(h)
-        if len(at) and len(self.prints):
-            lo, hi = np.searchsorted(self.prints, h[at], "left"), np.searchsorted(self.prints, h[at], "right")
-            reach: dict[int, int] = {}  # by diagonal, the end of the last span
-            mine, theirs = seq, self.seq
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for q in self.at[a:b].tolist():
-                    if reach.get(p - q, -1) >= p + K:
-                        continue
-                    left, right = p, p
-                    d = q - p
-                    while left > 0 and left + d > 0 and mine[left - 1] and mine[left - 1] == theirs[left - 1 + d]:
-                        left -= 1
-                    while right < len(mine) and right + d < len(theirs) and mine[right] and mine[right] == theirs[right + d]:
-                        right += 1
-                    reach[p - q] = right
-                    if right - left >= SPAN:
-                        out.append((left, right, int(self.item[left + d])))
-        for k, by_hash in self.short.items():
-            h = grams(hashes, known, k)
-            for p in np.flatnonzero(np.isin(h, np.fromiter(by_hash, np.uint64, len(by_hash)))).tolist():
-                out += [(p, p + k, i) for c, i in by_hash[int(h[p])] if tuple(seq[p : p + k].tolist()) == c]
-        return out
-
-    def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[dict]], list[list[int]]]:
-        """For each text: its number of words, its merged hit spans, and the ids of the items with spans."""
-        get, sizes, parts = self.vocab.get, [], []
-        for t in texts:
-            ws = words(t)
-            sizes.append(len(ws))
-            parts.append(np.fromiter(map(get, ws, repeat(0)), np.int64, len(ws)))
-            parts.append(np.zeros(1, np.int64))
-        found: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[int]] = [set() for _ in texts]
-        begin = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64) + 1)))
-        for a, b, i in self.spans(np.concatenate(parts)) if texts else ():
-            d = int(np.searchsorted(begin, a, "right")) - 1
-            found[d].append((a - int(begin[d]), b - int(begin[d])))
-            items[d].add(self.ids[i])
-        return sizes, [[{"s": a, "e": b} for a, b in merged(x)] for x in found], [sorted(x) for x in items]
+        return np.empty(0, np.uint64)
+    low = hashes[: len(hashes) - WINDOW + 1].copy()
+    for j in range(1, WINDOW):
+        np.minimum(low, hashes[j : j + len(low)], out=low)
+    return np.unique(low)
+
+
+def spans(doc: list[bytes], item: list[bytes]) -> list[tuple[int, int]]:
+    """Merged spans of the document's words that lie in an occurrence of a window of the item."""
+    k = min(SPAN, len(item))
+    if not k or len(doc) < k:
+        return []
+    number: dict[bytes, int] = {}
+    theirs = np.array([number.setdefault(w, len(number) + 1) for w in item], np.int64)
+    mine = np.fromiter((number.get(w, 0) for w in doc), np.int64, len(doc))
+    h = grams(theirs.astype(np.uint64), k)
+    keys, first = np.unique(h, return_index=True)
+    g = grams(mine.astype(np.uint64), k)
+    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+    found = np.flatnonzero(keys[at] == g)
+    use = np.arange(k)
+    same = (mine[found[:, None] + use] == theirs[first[at[found]][:, None] + use]).all(axis=1)
+    for i in np.flatnonzero(~same):  # other windows of one hash
+        same[i] = any((mine[found[i] + use] == theirs[q + use]).all() for q in np.flatnonzero(h == g[found[i]]))
+    start = found[same]
+    if not len(start):
+        return []
+    cut = np.flatnonzero(np.diff(start) > k)
+    return list(zip(start[np.concatenate(([0], cut + 1))].tolist(), (start[np.concatenate((cut, [len(start) - 1]))] + k).tolist(), strict=True))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,55 +115,117 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
-    """Indexes over the benchmark, each of at most `limit` words, one longer item aside."""
-    held, n = [], 0
-    for item, text in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        ws = words(text.encode())
-        if ws and held and n + len(ws) > limit:
-            yield Index(held)
-            held, n = [], 0
-        if ws:
-            held.append((item, ws))
-            n += len(ws)
-    yield Index(held)
+def item_prints(items: DataFrame) -> DataFrame:
+    """(item_id, size, print): the fingerprints of the items; size is SPAN or the words of a shorter item."""
+
+    def start():
+        hashes = Hashes()
+
+        def step(texts):
+            sizes, prints = [], []
+            for t in texts:
+                h = np.array([hashes[w] for w in words(t)], np.uint64)
+                sizes.append(min(SPAN, len(h)))
+                prints.append((winnow(grams(h, K)) if len(h) >= SPAN else grams(h, len(h)) if len(h) else h).view(np.int64))
+            return sizes, prints
+
+        return step
+
+    out = map_texts(items, ["item_id"], "size int, prints array<long>", start)
+    return out.select("item_id", "size", F.explode("prints").alias("print")).distinct()
+
+
+def _place(prints: Column) -> Column:
+    return F.shiftrightunsigned(prints, 64 - (FILTER_BITS.bit_length() - 1))
+
+
+def print_filter(prints: DataFrame) -> np.ndarray:
+    """The places of all fingerprints, as bits: FILTER_BITS / 64 numbers, however many fingerprints there are."""
+    place = _place(F.col("print"))
+    rows = prints.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod({}, 64) as int))".format("shiftrightunsigned(print, {})".format(64 - (FILTER_BITS.bit_length() - 1))))).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in rows:
+        out[r["at"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def document_prints(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """(key, print): the fingerprints of rows (key, text) that pass the filter."""
+    held = rows.sparkSession.sparkContext.broadcast((print_filter(prints), sorted(r["size"] for r in prints.select("size").distinct().collect())))
+
+    def start():
+        hashes, (bits, sizes) = Hashes(), held.value
+        shift = np.uint64(64 - (len(bits).bit_length() - 1))
+
+        def step(texts):
+            out = []
+            for t in texts:
+                ws = words(t)
+                h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
+                all_ = [winnow(grams(h, K)) if k == SPAN else grams(h, k) for k in sizes]
+                all_ = [np.unique(p[bits[(p >> shift).astype(np.int64)]]) for p in all_]
+                out.append(np.concatenate(all_).view(np.int64) if all_ else np.empty(0, np.int64))
+            return [out]
+
+        return step
+
+    out = map_texts(rows, ["key"], "prints array<long>", start)
+    return out.select("key", F.explode("prints").alias("print"))
+
+
+def found_spans(pairs: DataFrame) -> DataFrame:
+    """(key, spans, items) of pairs (key, item_id, text, item) in which windows occur."""
+    kind = "array<struct<s:int,e:int>>"
+
+    def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, doc = None, []
+        for p in parts:
+            out = []
+            for key, text, item in zip(p["key"], p["text"], p["item"]):
+                if key != name:
+                    name, doc = key, words(text.encode())
+                out.append([{"s": a, "e": b} for a, b in spans(doc, words(item.encode()))])
+            p = pd.DataFrame({"key": p["key"], "item_id": p["item_id"], "spans": out})
+            yield p[p["spans"].str.len() > 0]
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(spans=[[{"s": a, "e": b} for a, b in merged([(x["s"], x["e"]) for x in s])] for s in p["spans"]])
+
+    found = pairs.sortWithinPartitions("key").mapInPandas(extend, f"key string, item_id long, spans {kind}")
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found.mapInPandas(merge, f"key string, spans {kind}, items array<long>")
 
 
 def _digest(ids: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(ids, lambda x: x.cast("string"))), ","), 256)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of `docs` with n_words, n_hit, n_items, items_sha256 and contaminated; `spans` and `items` are added too."""
     keep = [c for c in docs.columns if c not in (*ADDED, "spans", "items")]
-    added = "n_words long, spans array<struct<s:int,e:int>>, items array<long>"
-    parts = []
-    for index in blocks(benchmark, limit):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-        parts.append(lambda d, k, held=held: map_texts(d, k, added, lambda: held.value.scan))
-    if len(parts) == 1:
-        out = parts[0](docs, keep)
-    else:
-        out = _over_blocks(docs, keep, parts)
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    scratch = Scratch(docs.sparkSession, "winnow")
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    prints = scratch.put("prints", item_prints(items))
+    rows = docs.where("text is not null").select(key.alias("key"), "text")
+    pairs = document_prints(rows, prints).join(small(prints.select("print", "item_id")), "print").select("key", "item_id").distinct()
+    pairs = scratch.put("pairs", pairs)
+    texts = rows.join(small(pairs.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    pairs = pairs.join(texts, "key").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    found = scratch.put("found", found_spans(pairs.select("key", "item_id", "text", "item")))
+    scratch.drop("prints", "pairs")
+    numbers = found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        found = F.broadcast(found)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    out = docs.select(F.struct(*keep).alias("row"), key.alias("key"), n_words.alias("n_words")).join(found, "key", "left")
+    out = out.withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<bigint>)"))})
     hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long")
-    out = out.select("*", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), _digest(F.col("items")).alias("items_sha256"))
+    out = out.select("row.*", "n_words", "spans", "items", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), _digest(F.col("items")).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _over_blocks(docs: DataFrame, keep: list[str], parts: list) -> DataFrame:
-    """Results of several blocks, merged for each distinct (id, text); repeated rows share them."""
-    key = F.md5(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("_id"), key.alias("_key"))
-    texts = docs.select(F.col("doc_id").alias("_id"), key.alias("_key"), "text").dropDuplicates(["_id", "_key"])
-    found = parts[0](texts, ["_id", "_key"])
-    for scan in parts[1:]:
-        found = found.unionByName(scan(texts, ["_id", "_key"]))
-    found = found.groupBy("_id", "_key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-    found = found.withColumn("spans", F.aggregate(F.array_sort("all"), F.expr("cast(array() as array<struct<s:int,e:int>>)"), join)).drop("all").withColumnsRenamed({"_id": "_i", "_key": "_k"})
-    return rows.join(found, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))).select("row.*", "n_words", "spans", "items")
-
-
 def digest_of(items: list[int]) -> str:
     """The same digest in Python, for tests."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
