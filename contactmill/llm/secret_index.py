@@ -3,8 +3,8 @@
 A Boolean query over trigrams is derived from each rule's regular expression: a necessary condition, so that texts which
 lack it need no look. The index holds, for every trigram that some query uses, the texts (ASCII case folded) that
 contain it. Postings are intersected per document, by OR-ing one bit a trigram, never by gathering a trigram's list, so a
-trigram of most documents is no hot key. Candidates are verified by the regular expression on the whole text. A rule
-without a mandatory trigram scans every text.
+trigram of most documents is no hot key. Candidates are verified by the regular expression on the whole text; only their
+texts are looked up, the other columns meet finished spans. A rule without a mandatory trigram scans every text.
 
 A kind's matches are leftmost and do not overlap; those shorter than its limits are dropped after matching. Offsets
 count code points, end exclusive. Null text is empty. Ids may be null; documents are told apart by a hash of id and
@@ -19,10 +19,10 @@ import re._parser as parser
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 from .rule_ledger import let
 
 
@@ -59,6 +59,8 @@ RULES: tuple[Rule, ...] = (
 ADDED = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 #: Strings that an expression's exact set may have while trigrams are derived.
 MOST = 64
+#: Candidates, about 80 bytes each, that may be broadcast to find their texts.
+BROADCAST_CANDIDATES = 100_000
 
 # A query is None (anything matches) or a set of alternatives, each a frozenset of trigrams that must all occur.
 Query = frozenset | None
@@ -182,26 +184,32 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return index.groupBy("doc_key").agg(*sets).select("doc_key", total.alias("rules")).where("rules != 0")
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, end, order) of the rule's matches in a text; the pieces between matches give their offsets."""
+def _pieces(text: Column, rule: Rule, order: int) -> Column:
+    """The rule's matches in a text and what is before each, as an array of lengths: before (a), match (b), limited group (c)."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("a"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias("b"),
         F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("c"),
     )
-    kind = "struct<start:int,end:int,order:int>"
-    none = F.expr(f"cast(array() as array<{kind}>)")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["a"]
-        end = start + F.coalesce(x["b"], F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("order"))
-        kept = F.when(F.coalesce(x["c"], F.lit(0)) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), kept.alias("out"))
-
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, pattern), found).otherwise(none)
+    found = F.transform(parts, lambda x, i: F.struct(F.lit(order).alias("order"), i.alias("i"), x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c")))
+    return F.when(F.regexp_like(text, pattern), F.filter(found, lambda x: x["b"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<order:int,i:int,a:int,b:int,c:int>>)"))
+
+
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """(doc_key, found) of the documents with matches: their spans (start, order of kind, end), sorted."""
+    bits = cut(candidates(build_index(docs, rules) if index is None else index, rules))
+    texts = docs.where("text is not null").select(_key(docs).alias("doc_key"), docs["text"].alias("text"))
+    free = [_pieces(F.col("text"), r, i) for i, r in enumerate(rules) if trigram_query(r.pattern) is None]
+    bound = [F.when(F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, _pieces(F.col("text"), r, i)).otherwise(F.expr("cast(array() as array<struct<order:int,i:int,a:int,b:int,c:int>>)")) for i, r in enumerate(rules) if trigram_query(r.pattern) is not None]
+    parts = [texts.select("doc_key", F.explode(F.concat(*free)).alias("x"))] if free else []
+    parts += [texts.join(small(bits, BROADCAST_CANDIDATES), "doc_key").select("doc_key", F.explode(F.concat(*bound)).alias("x"))] if bound else []
+    rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    rows = rows.select("doc_key", "x.*").dropDuplicates(["doc_key", "order", "i"])  # rows that repeat id and text
+    end = F.sum(F.col("a") + F.col("b")).over(Window.partitionBy("doc_key", "order").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("order") + 1)
+    rows = rows.withColumn("end", end).where(F.col("c") >= least)
+    return rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("b")).alias("start"), "order", "end"))).alias("found"))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -210,16 +218,13 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
-    """Every row of `docs` with `found`: its spans (start, end, order of kind), sorted."""
-    found = cut(candidates(build_index(docs, rules) if index is None else index, rules)).withColumnRenamed("doc_key", "_k")
+    """Every row of `docs` with `found`: its spans (start, order of kind, end), sorted."""
     keep = [x for x in docs.columns if x != "found"]
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), _key(docs).alias("_d"))
-    rows = rows.join(found, F.col("_d") == F.col("_k"), "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,order:int>>)")
-    spans = []
-    for i, r in enumerate(rules):
-        spans.append(_spans(F.col("text"), r, i) if trigram_query(r.pattern) is None else F.when(F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, _spans(F.col("text"), r, i)).otherwise(none))
-    return rows.select("row", F.array_sort(F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))).alias("found")).select("row.*", "found")
+    name = next(f"_key{i}" for i in range(len(keep) + 1) if f"_key{i}" not in keep)
+    found = find(docs, rules, index).withColumnRenamed("doc_key", name)
+    # Columns stay apart, so that a caller who doesn't ask for the text doesn't have it shuffled.
+    rows = docs.select(*keep, _key(docs).alias(name)).join(found, name, "left")
+    return rows.select(*keep, F.coalesce("found", F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")).alias("found"))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
