@@ -1,25 +1,28 @@
 """Token-id output: shards of raw ids, each with a minimal perfect hash index from document key to offset.
 
 Documents are range-partitioned and sorted by id (nulls first; rows that repeat an id by their text's hash), so shards
-follow each other in ascending order. A shard is two files in a folder that all machines reach:
+follow each other in ascending order. There are as many shards as shuffle partitions, and more where a shard would hold
+much more than SHARD_CHARS characters. Rows that repeat id and text, or have neither, are dealt to several shards. A shard
+is three files in a folder that all machines reach, numbers little-endian:
 
-    *.ids  8 bytes "CMILLIDS", uint32 version, uint32 bytes an id (2 or 4); then the ids, little-endian, documents one after another
-    *.mph  numpy archive: `bits` and `ranks` (the hash function), and in slot order `prints`, `offsets`, `runs`;
-           besides `keys` and `sizes` of all documents in file order
+    *.ids  8 bytes "CMILLIDS", uint32 version, uint32 bytes an id (2 or 4); then the ids, documents one after another
+    *.mph  the index: "CMILLMPH", uint32 version, uint32 levels, uint64 slots, uint64 bytes of each level; the levels' bits;
+           uint32 number of ones before each of their bytes; then a record a slot (SLOT): fingerprint, number of
+           documents, offset of their first id, number of their first document
+    *.doc  what reading in sequence needs: a record a document (DOC): has an id, id, number of token ids
 
 The hash function is a cascade of bit arrays: at each level every remaining key names a bit, and keys alone on their bit
-stay; a key's slot is the rank of its bit. A lookup tests a constant expected number of bits, then the slot's 32-bit
-fingerprint, so an absent key is taken for a present one with probability 2^-32. Keys that repeat are neighbours in the
-file and share a slot, which holds the first offset and the number of documents; documents without id are reached by
-position only. Files are written under a name of their own for each attempt and listed in the manifest by the attempt
-that succeeded, so a repeated task does no harm.
+stay; a key's slot is the rank of its bit. A lookup reads one byte a level, two levels in the mean, then the slot's record,
+whatever the shard's size; an absent key is taken for a present one with probability 2^-32. Keys that repeat are neighbours
+in the file and share a slot; documents without id are reached by position only. Files are written under a name of their
+own for each attempt and listed in the manifest by the attempt that succeeded, so a repeated task does no harm.
 
-Null text is encoded as empty; every document ends with the end id. An empty table gives a store without documents.
+Null text is encoded as empty; every document ends with the end id. Columns other than id and text aren't stored, whatever
+their names. Rows that repeat are stored as often as they come. An empty table gives a store without documents.
 """
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +36,13 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 from .encoding import Encoder
 
-MAGIC, VERSION, HEAD = b"CMILLIDS", 1, 16
+MAGIC, INDEX_MAGIC, VERSION, HEAD = b"CMILLIDS", b"CMILLMPH", 2, 16
 GAMMA = 1.6
-READ_IDS = 1 << 21
-MANIFEST = "pid int, ids string, mph string, first long, last long, n_docs long, n_ids long"
+READ_IDS, READ_DOCS = 1 << 21, 1 << 16
+SHARD_CHARS = 1 << 28
+SLOT = np.dtype([("print", "<u4"), ("docs", "<u4"), ("offset", "<i8"), ("first", "<i8")])
+DOC = np.dtype([("known", "?"), ("key", "<i8"), ("size", "<i8")])
+MANIFEST = "pid int, ids string, first long, last long, n_docs long, n_ids long"
 
 
 def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -48,15 +54,15 @@ def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Distinct keys to 0..n-1, without storing keys."""
+    """Distinct keys to 0..n-1, without storing keys. `byte` and `rank` read one place of the bits and of the counts before it."""
 
-    def __init__(self, bits: list[np.ndarray], ranks: np.ndarray) -> None:
-        self.bits, self.ranks = bits, ranks
-        self.first = np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int64)
-        self.flat = np.concatenate(bits) if bits else np.empty(0, np.uint8)
+    def __init__(self, sizes: list[int], byte, rank) -> None:
+        self.sizes, self.byte, self.rank = sizes, byte, rank
+        self.first = [0, *np.cumsum(sizes).tolist()]
 
-    @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
+    @staticmethod
+    def build(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Bytes of each level, all bits, and the ones before each byte."""
         left, bits = keys.astype(np.uint64), []
         while len(left):
             size = -(-int(len(left) * GAMMA + 1) // 8) * 8
@@ -66,107 +72,141 @@ class PerfectHash:
             left = left[~alone[at]]
         flat = np.concatenate(bits) if bits else np.empty(0, np.uint8)
         ones = np.bitwise_count(flat).astype(np.int64)
-        return cls(bits, np.cumsum(ones) - ones)
+        return [len(b) for b in bits], flat, (np.cumsum(ones) - ones).astype("<u4")
+
+    @classmethod
+    def held(cls, keys: np.ndarray) -> PerfectHash:
+        sizes, flat, ranks = cls.build(keys)
+        return cls(sizes, flat.__getitem__, ranks.__getitem__)
+
+    def slot(self, key: int) -> int:
+        """Slot of a key; -1 for some keys that are not in the set, any slot for others."""
+        one = np.array([key], np.int64)
+        for level, size in enumerate(self.sizes):
+            at = int(mixed(one, level)[0] % np.uint64(size * 8))
+            place, bit = self.first[level] + at // 8, at % 8
+            byte = int(self.byte(place))
+            if byte >> (7 - bit) & 1:
+                return int(self.rank(place)) + (byte >> (8 - bit)).bit_count()
+        return -1
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key; -1 for some keys that are not in the set, any slot for others."""
-        keys = keys.astype(np.uint64)
-        out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, b in enumerate(self.bits):
-            if not len(open_):
-                break
-            at = (mixed(keys[open_], level) % np.uint64(len(b) * 8)).astype(np.int64)
-            byte, bit = self.first[level] + at // 8, at % 8
-            hit = (self.flat[byte] >> (7 - bit).astype(np.uint8)) & 1 == 1
-            byte, bit = byte[hit], bit[hit]
-            out[open_[hit]] = self.ranks[byte] + np.bitwise_count(self.flat[byte] >> (8 - bit).astype(np.uint16)).astype(np.int64)
-            open_ = open_[~hit]
-        return out
+        return np.array([self.slot(k) for k in keys.tolist()], np.int64)
 
 
 def _fs(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of an address; Spark itself spells local ones file:/..."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _write_index(path: str, keys: list[int | None], sizes: list[int]) -> None:
-    size = np.array(sizes, np.int64)
-    start = np.cumsum(size) - size
-    known = np.array([k is not None for k in keys], bool)
-    plain = np.array([0 if k is None else k for k in keys], np.int64)
-    distinct, first, runs = np.unique(plain[known], return_index=True, return_counts=True)
-    mph = PerfectHash.build(distinct)
-    slot = mph.slots(distinct)
-    prints, offsets, count = np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-    prints[slot] = mixed(distinct, 1 << 20).astype(np.uint32)
-    offsets[slot], count[slot] = start[known][first], runs
-    held = io.BytesIO()
-    np.savez(held, levels=np.array([len(b) for b in mph.bits], np.int64), bits=mph.flat, ranks=mph.ranks, prints=prints, offsets=offsets, runs=count, keys=plain, known=known, sizes=size)
-    store, at = _fs(path)
-    with store.open_output_stream(at) as f:
-        f.write(held.getvalue())
+def _fingerprints(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys, 1 << 20).astype(np.uint32)
+
+
+def _write_index(name: str, docs: np.ndarray) -> None:
+    """The index and the documents (DOC) of a shard."""
+    start = np.cumsum(docs["size"]) - docs["size"]
+    known = np.flatnonzero(docs["known"])
+    distinct, first, runs = np.unique(docs["key"][known], return_index=True, return_counts=True)
+    sizes, bits, ranks = PerfectHash.build(distinct)
+    out = np.zeros(len(distinct), SLOT)
+    slot = _slots(distinct, sizes, bits, ranks)
+    out["print"][slot], out["docs"][slot], out["offset"][slot], out["first"][slot] = _fingerprints(distinct), runs, start[known][first], known[first]
+    head = INDEX_MAGIC + np.array([VERSION, len(sizes)], "<u4").tobytes() + np.array([len(distinct), *sizes], "<u8").tobytes()
+    for kind, parts in (("mph", (head, bits.tobytes(), ranks.tobytes(), out.tobytes())), ("doc", (docs.tobytes(),))):
+        store, at = _fs(f"{name}.{kind}")
+        with store.open_output_stream(at) as f:
+            for p in parts:
+                f.write(p)
+
+
+def _slots(keys: np.ndarray, sizes: list[int], bits: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Slots of all keys of the set at once."""
+    out, open_, first = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+    for level, size in enumerate(sizes):
+        at = (mixed(keys[open_], level) % np.uint64(size * 8)).astype(np.int64)
+        byte, bit = first + at // 8, at % 8
+        hit = (bits[byte] >> (7 - bit).astype(np.uint8)) & 1 == 1
+        byte, bit = byte[hit], bit[hit]
+        out[open_[hit]] = ranks[byte].astype(np.int64) + np.bitwise_count(bits[byte] >> (8 - bit).astype(np.uint16)).astype(np.int64)
+        open_, first = open_[~hit], first + size
+    return out
 
 
 class Shard:
     """Keyed and sequential reading of one shard."""
 
-    def __init__(self, ids: str, mph: str) -> None:
-        store, at = _fs(mph)
-        with store.open_input_stream(at) as f:
-            z = np.load(io.BytesIO(f.read()))
-        cuts = np.cumsum(z["levels"])[:-1] if len(z["levels"]) else []
-        self.hash = PerfectHash(np.split(z["bits"], cuts) if len(z["levels"]) else [], z["ranks"])
-        self.prints, self.offsets, self.runs, self.keys, self.known, self.sizes = (z[k] for k in ("prints", "offsets", "runs", "keys", "known", "sizes"))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    def __init__(self, ids: str) -> None:
+        self.name = ids.removesuffix(".ids")
         store, at = _fs(ids)
         self.file = store.open_input_file(at)
         head = self.file.read_at(HEAD, 0)
         if head[:8] != MAGIC or np.frombuffer(head, "<u4", 1, 8)[0] != VERSION:
             raise ValueError(f"{ids} is no shard of this version")
         self.kind = np.dtype(f"<u{np.frombuffer(head, '<u4', 1, 12)[0]}")
+        store, at = _fs(f"{self.name}.mph")
+        self.index = store.open_input_file(at)
+        head = self.index.read_at(24, 0)
+        if head[:8] != INDEX_MAGIC:
+            raise ValueError(f"{self.name}.mph is no index")
+        levels = int(np.frombuffer(head, "<u4", 1, 12)[0])
+        sizes = np.frombuffer(self.index.read_at(8 * levels, 24), "<u8").tolist()
+        bits = 24 + 8 * levels
+        ranks = bits + sum(sizes)
+        self.records = ranks + 4 * sum(sizes)
+        self.hash = PerfectHash(sizes, lambda i: self.index.read_at(1, bits + i)[0], lambda i: np.frombuffer(self.index.read_at(4, ranks + 4 * i), "<u4")[0])
+        store, at = _fs(f"{self.name}.doc")
+        self.docs = store.open_input_file(at)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at(n * self.kind.itemsize, HEAD + start * self.kind.itemsize), self.kind)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Offset of the first document of each key; -1 where the fingerprint says that there is none."""
-        slot = self.hash.slots(keys)
-        ok = slot >= 0
-        ok[ok] = self.prints[slot[ok]] == mixed(keys[ok], 1 << 20).astype(np.uint32)
-        return np.where(ok, self.offsets[np.where(ok, slot, 0)] if len(self.offsets) else -1, -1)
+    def sizes(self, first: int, n: int) -> np.ndarray:
+        """The documents' records (DOC)."""
+        return np.frombuffer(self.docs.read_at(n * DOC.itemsize, first * DOC.itemsize), DOC)
+
+    def find(self, key: int) -> np.void | None:
+        """The key's record (SLOT); None where the fingerprint says that there is none."""
+        slot = self.hash.slot(key)
+        if slot < 0:
+            return None
+        got = np.frombuffer(self.index.read_at(SLOT.itemsize, self.records + slot * SLOT.itemsize), SLOT)[0]
+        return got if got["print"] == _fingerprints(np.array([key], np.int64))[0] else None
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of each document with this key, end id included."""
-        start = int(self.find(np.array([key], np.int64))[0])
-        if start < 0:
+        at = self.find(key)
+        if at is None:
             return []
-        doc = int(np.searchsorted(self.starts, start, "left"))
-        while self.sizes[doc] == 0:
-            doc += 1
-        run = int(self.runs[self.hash.slots(np.array([key], np.int64))[0]])
-        return [self.ids(int(self.starts[d]), int(self.sizes[d])) for d in range(doc, doc + run)]
-
-    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-        """All documents in file order, some at a time: (known, keys, sizes, crc32 of the ids as uint32). Offsets come from the index."""
-        offsets = self.starts.copy()
-        first = np.flatnonzero(self.known & np.concatenate(([True], (self.keys[1:] != self.keys[:-1]) | ~self.known[:-1])))
-        offsets[first] = self.find(self.keys[first])
-        repeat = self.known.copy()
-        repeat[first] = False
-        for d in np.flatnonzero(repeat):
-            offsets[d] = offsets[d - 1] + self.sizes[d - 1]
-        at = 0
-        while at < len(offsets):
-            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + READ_IDS, "left")))
-            ids = self.ids(int(self.starts[at]), int(self.sizes[at:end].sum())).astype("<u4")
-            base = self.starts[at]
-            sums = [zlib.crc32(ids[o - base : o - base + n]) for o, n in zip(offsets[at:end], self.sizes[at:end])]
-            yield self.known[at:end], self.keys[at:end], self.sizes[at:end], sums
-            at = end
+        size = self.sizes(int(at["first"]), int(at["docs"]))["size"]
+        ids = self.ids(int(at["offset"]), int(size.sum()))
+        return np.split(ids, np.cumsum(size)[:-1])
+
+    def documents(self) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """All documents in file order, some at a time: their records (DOC) and the crc32 of each one's ids as uint32."""
+        first = start = 0
+        while len(docs := self.sizes(first, READ_DOCS)):
+            at = 0
+            ends = np.cumsum(docs["size"])
+            while at < len(docs):
+                base = int(ends[at] - docs["size"][at])
+                end = max(at + 1, int(np.searchsorted(ends, base + READ_IDS, "right")))
+                part = docs[at:end]
+                ids = self.ids(start + base, int(part["size"].sum())).astype("<u4")
+                yield part, [zlib.crc32(ids[b - base - n : b - base]) for b, n in zip(ends[at:end].tolist(), part["size"].tolist())]
+                at = end
+            first, start = first + len(docs), start + int(ends[-1])
 
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
     """Write the documents' ids below `folder`; returns the manifest, one row a shard, which is stored there too."""
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // SHARD_CHARS)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("p"))
+    rows = rows.repartitionByRange(shards, "doc_id", "h", "p").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4
@@ -175,8 +215,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> Dat
 
         pid = TaskContext.get().partitionId()
         name = f"{folder}/shard-{pid:06d}-{uuid4().hex}"
-        keys: list[int | None] = []
-        sizes: list[int] = []
+        parts: list[np.ndarray] = []
         out = encoder = None
         for batch in batches:
             for part in slices(batch):
@@ -187,21 +226,27 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> Dat
                     out = store.open_output_stream(at)
                     out.write(MAGIC + np.array([VERSION, encoder.kind.itemsize], "<u4").tobytes())
                     end = np.array([end_id], encoder.kind).tobytes()
-                keys += part.column("doc_id").to_pylist()
+                rows = np.zeros(part.num_rows, DOC)
+                keys = part.column("doc_id").cast(pa.int64())
+                rows["known"], rows["key"] = np.array(keys.is_valid()), np.array(keys.fill_null(0))
+                sizes = []
                 for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()]):
                     out.write(ids.tobytes() + end)
                     sizes.append(len(ids) + 1)
+                rows["size"] = sizes
+                parts.append(rows)
         if out is not None:
             out.close()
-            _write_index(f"{name}.mph", keys, sizes)
-            real = [k for k in keys if k is not None]
-            row = [[pid], [f"{name}.ids"], [f"{name}.mph"], [real[0] if real else None], [real[-1] if real else None], [len(keys)], [sum(sizes)]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4))], names=["pid", "ids", "mph", "first", "last", "n_docs", "n_ids"])
+            held = np.concatenate(parts)
+            _write_index(name, held)
+            real = held["key"][held["known"]]
+            row = [[pid], [f"{name}.ids"], [int(real[0]) if len(real) else None], [int(real[-1]) if len(real) else None], [len(held)], [int(held["size"].sum())]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4))], names=["pid", "ids", "first", "last", "n_docs", "n_ids"])
 
-    shards = cut(rows.mapInArrow(run, MANIFEST))  # one row a shard
+    done = cut(rows.mapInArrow(run, MANIFEST))  # one row a shard
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards.withColumn("before", before).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return docs.sparkSession.read.parquet(f"{folder}/manifest")
+    done.withColumn("before", before).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,19 +257,26 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
         for p in parts:
             for row in p.itertuples():
                 start = row.before
-                for known, keys, sizes, sums in Shard(row.ids, row.mph).documents():
-                    at = start + np.cumsum(sizes) - sizes
-                    start += int(sizes.sum())
-                    yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(keys.copy(), ~known), "start": at, "n_tokens": sizes, "ids_crc32": np.array(sums, np.int64)})
+                for docs, sums in Shard(row.ids).documents():
+                    size = docs["size"]
+                    at = start + np.cumsum(size) - size
+                    start += int(size.sum())
+                    yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(docs["key"].copy(), ~docs["known"]), "start": at, "n_tokens": size, "ids_crc32": np.array(sums, np.int64)})
 
     n = max(1, shards.count())
     return shards.repartition(n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, folder: str, keys: list[int]) -> dict[int, list[np.ndarray]]:
-    """Ids of the documents with given keys, without reading anything else than their shards' indexes and ids."""
-    out: dict[int, list[np.ndarray]] = {}
-    for key in keys:
-        rows = spark.read.parquet(f"{folder}/manifest").where((F.col("first") <= key) & (F.col("last") >= key)).collect()
-        out[key] = [ids for r in rows for ids in Shard(r["ids"], r["mph"]).get(key)]
+    """Ids of the documents with given keys: one read of the manifest's rows for all keys, then some bytes of the shards'
+    indexes and the documents' own ids."""
+    out: dict[int, list[np.ndarray]] = {k: [] for k in keys}
+    if not keys:
+        return out
+    rows = spark.read.parquet(f"{folder}/manifest").where((F.col("first") <= max(keys)) & (F.col("last") >= min(keys))).orderBy("pid").collect()
+    for r in rows:
+        mine = [k for k in out if r["first"] <= k <= r["last"]]
+        shard = Shard(r["ids"]) if mine else None
+        for k in mine:
+            out[k] += shard.get(k)
     return out
