@@ -12,7 +12,7 @@ of the prefix is sorted, to find the rank of the last document taken. From then
 source's row of a small table. At 10^10 documents of one source that bucket has some 10^6 rows.
 
 Null text has size 0 and is never taken; null source is a source of its own, last in order; null ids are allowed. Rows
-that repeat both id and text share rank and fate. Empty input gives empty output. Other columns pass through; an input
+that repeat both id and text share a rank, of which any rows are taken, as many as the target asks for. Empty input gives empty output. Other columns pass through; an input
 column with the name of an added one is replaced.
 """
 
@@ -75,7 +75,8 @@ def _same(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """One row per source from `sized` rows: source_size, target, k, and the rank (last_q, last_key) of the last document taken."""
+    """One row per source from `sized` rows: source_size, target, k, the rank (last_q, last_key) of the last document taken,
+    and last_n, how many rows of that rank are taken where not all are."""
     by_m = cut(rows.groupBy("source", "m").agg(F.sum("size").alias("words")))
     targets = cut(source_targets(by_m.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies))
     down = Window.partitionBy("source").orderBy(F.desc("m"))
@@ -96,30 +97,43 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int =
     run = Window.partitionBy("source").orderBy("bucket")
     hist = cut(hist.select("*", (F.sum("words").over(run) - F.col("words")).alias("before")).where("before < lacks"))
     last = hist.groupBy("source").agg(F.max_by("bucket", "bucket").alias("b"), F.max_by("before", "bucket").alias("before"))
-    within = _same(ranked, last).where("bucket = b")
+    # Rows that repeat id and text share a rank: of the last rank so many are taken as come nearest.
+    within = _same(ranked, last).where("bucket = b").groupBy("source", "q", "key", "size", "lacks", "before").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("source").orderBy("q", "key").rowsBetween(Window.unboundedPreceding, -1)
-    within = within.select("source", "q", "key", "size", "lacks", (F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("before")).alias("before"))
-    taken = within.where(F.col("before") + F.col("size") / 2.0 <= F.col("lacks"))
-    ends = taken.groupBy("source").agg(F.max(F.struct("q", "key")).alias("e")).select("source", F.col("e.q").alias("last_q"), F.col("e.key").alias("last_key"))
-    ends = cut(last.join(ends, last["source"].eqNullSafe(ends["source"]), "left").select(last["source"], "b", "last_q", "last_key"))
+    within = within.withColumn("lacks", F.col("lacks") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
+    within = within.withColumn("t", F.least("n", F.floor(F.col("lacks") / F.col("size") + 0.5)))
+    ends = within.where("t > 0").groupBy("source").agg(F.max(F.struct("q", "key", "t", "n")).alias("e"))
+    ends = ends.select("source", F.col("e.q").alias("last_q"), F.col("e.key").alias("last_key"), F.when(F.col("e.t") < F.col("e.n"), F.col("e.t")).alias("last_n"))
+    ends = cut(last.join(ends, last["source"].eqNullSafe(ends["source"]), "left").select(last["source"], "b", "last_q", "last_key", "last_n"))
     out = sources.join(small(ends.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "lacks")
     return cut(out)
 
 
+def _at_end() -> Column:
+    """Whether a row has the rank of which not all rows are taken."""
+    return F.col("last_n").isNotNull() & (F.col("key") == F.col("last_key"))
+
+
 def _copies(max_copies: int) -> Column:
     e = _expected(max_copies)
     p = e - F.floor(e)
     q = _rank(F.col("key"), p)
     bucket = F.floor(q / (1.0 + q) * RANK_BUCKETS)
     # Buckets before the last are taken whole; in the last, what ranks up to the last document taken.
-    more = (F.col("size") > 0) & (p > 0) & F.coalesce((bucket < F.col("b")) | ((bucket == F.col("b")) & ((q < F.col("last_q")) | ((q == F.col("last_q")) & (F.col("key") <= F.col("last_key"))))), F.lit(False))
+    more = (F.col("size") > 0) & (p > 0) & F.coalesce((bucket < F.col("b")) | ((bucket == F.col("b")) & ((q < F.col("last_q")) | ((q == F.col("last_q")) & (F.col("key") <= F.col("last_key")) & (F.coalesce(F.col("last_n"), F.lit(1)) >= F.when(_at_end(), F.col("ordinal")).otherwise(F.lit(1)))))), F.lit(False))
     return F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(e).cast("int") + F.when(more, 1).otherwise(0)).cast("int")
 
 
 def decide(rows: DataFrame, sources: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """Add source_size, target, copies and taken to rows that have source, size, m and key."""
-    out = _same(rows, sources).withColumn("copies", _copies(max_copies))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("k", "b", "last_q", "last_key", "m", "key")
+    out = _same(rows, sources)
+    if sources.where("last_n is not null").isEmpty():
+        out = out.withColumn("ordinal", F.lit(1))
+    else:
+        number = F.row_number().over(Window.partitionBy("source", "key").orderBy(F.lit(1)))
+        out = out.where(~_at_end()).withColumn("ordinal", F.lit(1)).unionByName(out.where(_at_end()).withColumn("ordinal", number))
+    out = out.withColumn("copies", _copies(max_copies))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("k", "b", "last_q", "last_key", "last_n", "ordinal", "m", "key")
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:

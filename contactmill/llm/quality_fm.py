@@ -5,8 +5,8 @@ score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise
 BUCKETS, with weights 1 + ln(count) scaled to norm 1; structure statistics, each one-hot in BINS quantile bins; and
 n_chars, where the table has it, binned likewise as metadata. Labels, language, source and id are never features.
 
-The model is fitted in numpy on a bounded sample: at most TRAIN_ROWS labelled rows, those with the lowest hash of their
-id, taken from the whole table, held-out ids aside. A row with several labels counts as their mean, rounded. Features of the sample are made on
+The model is fitted in numpy on a bounded sample: at most TRAIN_ROWS labelled rows (also where ids repeat), those with the
+lowest hash of their id, taken from the whole table, held-out ids aside. A row with several labels counts as their mean, rounded. Features of the sample are made on
 the executors. Everything else reads every row whole.
 
 Null and empty texts get a score from their structure features alone. Null labels are left out; without labels every
@@ -28,6 +28,8 @@ from .common import held_out, map_texts
 TRAIN_ROWS = 4000
 BUCKETS, FACTORS, BINS = 1 << 14, 4, 12
 EPOCHS, BATCH, RATE, DECAY = 24, 128, 0.08, 1e-4
+#: Tasks that make the sample's features.
+SAMPLE_PARTS = 12
 ADDED = ("held_out", "score", "predicted")
 CACHE_WORDS = 300_000
 STATS = ("words", "word_length", "symbols", "digits", "upper", "punctuation", "line_words", "repeat_lines", "distinct", "repeat_pairs", "n_chars")
@@ -132,21 +134,23 @@ class Machine:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> list:
-    """Features and label of at most `rows` labelled documents, as collected rows."""
+    """Packed features and label of at most `rows` labelled documents, as collected rows."""
     use = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("_y"))
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # so a broadcast of it is bounded
     found = docs.join(F.broadcast(use), "doc_id").select("doc_id", "text", "_y", (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long").alias("n_chars"))
+    # Ids may repeat in the documents: the rows are bounded too, by a merge of each task's first ones.
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "n_chars").limit(rows)
 
     def start():
         make = Featurizer()
 
         def step(texts, chars):
             s, i, v, t = make(texts, chars)
-            return [i[a:b].tolist() for a, b in zip(s, s[1:])], [v[a:b].tolist() for a, b in zip(s, s[1:])], t.tolist()
+            return [i[a:b].astype("<i4").tobytes() for a, b in zip(s, s[1:])], [v[a:b].astype("<f4").tobytes() for a, b in zip(s, s[1:])], t.tolist()
 
         return step
 
-    return map_texts(found, ["doc_id", "_y"], "i array<int>, v array<double>, t array<double>", start, ["n_chars"]).orderBy("doc_id").collect()
+    return map_texts(found.repartition(SAMPLE_PARTS), ["doc_id", "_y"], "i binary, v binary, t array<double>", start, ["n_chars"]).orderBy("doc_id", "i", "v").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> Machine | None:
@@ -159,9 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str =
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     model = Machine(np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T, prior)
     if 0 < y.sum() < len(y):
-        starts = np.concatenate(([0], np.cumsum([len(r["i"]) for r in sample])))
-        features = starts, np.concatenate([np.array(r["i"], np.int64) for r in sample]), np.concatenate([np.array(r["v"], float) for r in sample]), stats
-        model.fit(*model.rows(*features), y)
+        starts = np.concatenate(([0], np.cumsum([len(r["i"]) // 4 for r in sample])))
+        idx, val = (np.frombuffer(b"".join(r[c] for r in sample), kind) for c, kind in (("i", "<i4"), ("v", "<f4")))
+        model.fit(*model.rows(starts, idx.astype(np.int64), val.astype(float), stats), y)
     else:
         model.v[:] = 0
     return model
