@@ -18,7 +18,8 @@ compared. A bucket of thousands of near copies, some of which fall just short of
 
 Components are found by alternating large-star and small-star steps over the links, in the shared folder; only classes
 with a link take part. Null texts and texts without words have an empty set and stand alone. Null ids take part; a
-component's id is its least non-null id. Repeated rows are copies. Empty input gives empty output. `near_duplicates`
+component's id is its least non-null id. Repeated rows are copies. Ties between pairs of one estimate, or between centres,
+go to ids of classes and change no result. Empty input gives empty output. `near_duplicates`
 returns ids and results only; `keep_one` passes every column through. Texts are shuffled only to confirm pairs.
 """
 
@@ -341,7 +342,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = cut(near_duplicates(docs, k, percent))
     best = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("w"))
     best = best.select(F.col("w.doc_id").alias("_i"), F.col("w.row_key").alias("_k")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), _row_key(docs), F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("_any"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), _row_key(docs), F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))).alias("_h"), F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("_any"))
     kept = rows.where("_any").join(best, (F.col("row_key") == F.col("_k")) & F.col("_d").eqNullSafe(F.col("_i")), "left_semi")
-    kept = kept.groupBy("row_key", "_d").agg(F.first("row").alias("row"))  # repeated rows
+    # Of rows that repeat id and text the one of least hash, so that reruns agree.
+    kept = kept.groupBy("row_key", "_d").agg(F.min_by("row", "_h").alias("row"))
     return kept.select("row.*").unionByName(rows.where("not _any").select("row.*"))
