@@ -1,14 +1,19 @@
-"""Near-equal names. Exact keys first; then pairs of one block within a bounded edit distance."""
+"""Near-equal names. Exact keys first; then candidate pairs by rare pieces of the names, none of which is missed."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contactmill.session import new_folder
+
+#: Letters in a piece.
+Q = 2
+
 
 @F.pandas_udf(T.DoubleType())
 def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -16,22 +21,65 @@ def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def _pieces(c: Column) -> Column:
+    """All pieces of Q letters of a name, each with its number among equal ones."""
+    all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - Q + 1)), lambda i: F.substring(c, i, Q))
+    number = lambda a, g, i: F.size(F.filter(F.slice(a, F.lit(1), i), lambda x: x == g))
+    return F.element_at(F.transform(F.array(all_), lambda a: F.transform(a, lambda g, i: F.concat_ws("#", g, number(a, g, i)))), 1)
+
+
+def _candidates(names: DataFrame, block: list[str], edits: Column, short: int = 0) -> DataFrame:
+    """(left, right, lo): pairs of `names` (name, o, block) that may be within `edits` letters of each other, lo the earlier.
+
+    One letter more or less changes Q pieces at most, so two such names have one of their Q * edits + 1 rarest pieces in
+    common. Where names of up to `short` letters may have none in common, they are compared with each other."""
+    rows = names.withColumn("e", edits.cast("int")).select("*", F.explode(_pieces(F.col("name"))).alias("piece"))
+    counts = rows.groupBy(*block, "piece").agg(F.count(F.lit(1)).alias("c"))
+    rare = rows.join(counts, [*block, "piece"]).groupBy("name", "o", "e", *block).agg(F.array_sort(F.collect_list(F.struct("c", "piece"))).alias("p"))
+    rare = rare.select("name", "o", *block, F.slice("p", F.lit(1), Q * F.col("e") + 1)["piece"].alias("p"))
+    tokens = F.when(F.length("name") <= short, F.array_append("p", F.lit("short"))).otherwise(F.col("p"))
+    rare = rare.select("name", "o", *block, F.explode(tokens).alias("token"))
+    a = rare.select(*block, "token", F.col("name").alias("left"), F.col("o").alias("lo"))
+    b = rare.select(*block, "token", F.col("name").alias("right"), F.col("o").alias("ro"))
+    return a.join(b, [*block, "token"]).where("lo < ro").select("left", "right", "lo").distinct()
+
+
 def similar_pairs(df: DataFrame, key: str, order: str, block: list[str], most: int = 2) -> DataFrame:
-    """(left, right, distance): distinct keys of one block, at most `most` edits apart, left the earlier.
-
-    Blocks bound the pairs: choose them so that none grows with the table. Keys are made distinct first, so copies of a
-    name cost nothing.
-    """
-    names = df.groupBy(key, *block).agg(F.min(order).alias("o"))
-    a = names.select(*block, F.col(key).alias("left"), F.col("o").alias("lo"))
-    b = names.select(*block, F.col(key).alias("right"), F.col("o").alias("ro"))
-    pairs = a.join(b, block).where((F.col("lo") < F.col("ro")) & (F.abs(F.length("left") - F.length("right")) <= most))
-    return pairs.withColumn("distance", F.levenshtein("left", "right", most)).where("distance between 0 and " + str(most)).select("left", "right", "lo", "distance")
-
-
-def merge_similar(df: DataFrame, key: str, order: str, block: list[str], most: int = 2) -> DataFrame:
-    """Each row with `merged_key`: the earliest similar key that is not itself merged away; not transitive."""
-    pairs = similar_pairs(df, key, order, block, most)
-    gone = pairs.select(F.col("right").alias("left")).distinct()
-    first = pairs.join(gone, "left", "left_anti").groupBy("right").agg(F.min_by("left", "lo").alias("merged_key"))
+    """(left, right, lo, distance): distinct keys of one block, at most `most` edits apart, left the earlier. Keys are made
+    distinct first, so copies of a name cost nothing; an edit replaces a letter at most, which is two letters' change."""
+    names = df.groupBy(F.col(key).alias("name"), *block).agg(F.min(order).alias("o"))
+    pairs = _candidates(names, block, F.lit(most), Q * most + Q + most)
+    return pairs.withColumn("distance", F.levenshtein("left", "right", most)).where("distance between 0 and " + str(most))
+
+
+def ratio_pairs(df: DataFrame, key: str, order: str, least: float = 0.95) -> DataFrame:
+    """(left, right, lo, ratio): distinct keys whose ratio of matching blocks is `least` or more, left the earlier.
+
+    Of both names' letters at most (1 - least) are unmatched, and the longer has at most (2 - least) / least times the
+    shorter's; so a name of n letters meets at most n * 2 * (1 - least) / least unmatched ones."""
+    names = df.groupBy(F.col(key).alias("name")).agg(F.min(order).alias("o"))
+    pairs = _candidates(names, [], F.floor(F.length("name") * (2 * (1 - least) / least) + 1e-9))
+    near = F.greatest(F.length("left"), F.length("right")) * least <= F.least(F.length("left"), F.length("right")) * (2 - least) + 1e-9
+    return pairs.where(near).withColumn("ratio", difflib_ratio("left", "right")).where(F.col("ratio") >= least)
+
+
+def merge_similar(df: DataFrame, key: str, order: str, least: float = 0.95) -> DataFrame:
+    """Each row with `merged_key`: in order, a key is merged into the first accepted key before it that is similar, and
+    accepted itself if there is none. Not transitive. Each round decides all keys whose similar earlier ones are decided."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "similar")
+    ratio_pairs(df, key, order, least).select("left", "right", "lo").write.parquet(f"{folder}/pairs")
+    pairs, merged, step = spark.read.parquet(f"{folder}/pairs"), None, 0
+    open_ = pairs
+    while not open_.isEmpty():
+        # Keys without an open earlier one are accepted; what is similar to them is merged.
+        now = open_.join(open_.select(F.col("right").alias("left")).distinct(), "left", "left_anti").select("right").distinct()
+        now.write.parquet(f"{folder}/merged-{step}")
+        now = spark.read.parquet(f"{folder}/merged-{step}")
+        merged = now if merged is None else merged.union(now)
+        open_.join(now, "right", "left_anti").join(now.withColumnRenamed("right", "left"), "left", "left_anti").write.parquet(f"{folder}/open-{step}")
+        open_, step = spark.read.parquet(f"{folder}/open-{step}"), step + 1
+    if merged is None:
+        return df.withColumn("merged_key", F.col(key))
+    use = pairs.join(merged, "right").join(merged.withColumnRenamed("right", "left"), "left", "left_anti")
+    first = use.groupBy("right").agg(F.min_by("left", "lo").alias("merged_key"))
     return df.join(first.withColumnRenamed("right", key), key, "left").withColumn("merged_key", F.coalesce("merged_key", F.col(key)))

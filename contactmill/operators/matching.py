@@ -11,6 +11,18 @@ from contactmill.functions import text as t
 THRESHOLD = 0.3
 
 
+def name_pairs(people: DataFrame, emails: DataFrame, gram: int = 3) -> DataFrame:
+    """(domain, seq, first, last, email) of people (domain, seq, first, last) and the addresses (domain, email) of their
+    domain whose local part contains the first or last name; all others score 0. Joined by the first letters of the names
+    and the pieces of the local parts, so people and addresses of a large domain are not all paired."""
+    local = F.lower(F.substring_index("email", "@", 1))
+    pieces = F.flatten(F.transform(F.array(*map(F.lit, range(1, gram + 1))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(local) - n + 1)), lambda i: F.substring(local, i, n))))
+    at = emails.select("domain", "email").distinct().select("domain", "email", F.explode(F.array_distinct(pieces)).alias("piece"))
+    who = people.select("domain", "seq", "first", "last", F.explode(F.array_distinct(F.array(F.left("first", F.lit(gram)), F.left("last", F.lit(gram))))).alias("piece")).where("piece != ''")
+    hit = F.contains(local, F.col("first")) | F.contains(local, F.col("last"))
+    return who.join(at, ["domain", "piece"]).where(hit).select("domain", "seq", "first", "last", "email").distinct()
+
+
 def greedy_match(people: DataFrame, found: DataFrame, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:
     """One address for each person: people in order take the best one still free, at `threshold` or above.
 

@@ -153,7 +153,7 @@ def email_name_match(t: Tables) -> DataFrame:
 @query("""with k as (select distinct p_brand, p_name || ' ' || p_size as name, min(p_partkey) over (partition by p_brand, p_name || ' ' || p_size) as o from part)
 select a.name as left_name, b.name as right_name, a.o as lo, levenshtein(a.name, b.name)::bigint as distance from k a join k b on a.p_brand = b.p_brand and a.o < b.o where levenshtein(a.name, b.name) <= 2""")
 def fuzzy_dedupe(t: Tables) -> DataFrame:
-    """Near-equal names of one brand."""
+    """J17 by edits: near-equal names of one brand."""
     rows = t.part.select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
     out = fuzzy.similar_pairs(rows, "name", "p_partkey", ["p_brand"])
     return out.select(F.col("left").alias("left_name"), F.col("right").alias("right_name"), "lo", "distance")
@@ -161,10 +161,9 @@ def fuzzy_dedupe(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_ratio(t: Tables) -> DataFrame:
-    """J17 with the ratio of matching blocks on candidate pairs."""
-    rows = t.part.select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
-    out = fuzzy.similar_pairs(rows, "name", "p_partkey", ["p_brand"])
-    return out.select("left", "right", F.round(fuzzy.difflib_ratio("left", "right"), 6).alias("ratio")).where("ratio >= 0.9")
+    """Each name with the first accepted one that it is merged into, at a ratio of matching blocks of 0.95."""
+    rows = t.part.select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_brand"), F.col("p_size").cast("string")).alias("name"))
+    return fuzzy.merge_similar(rows, "name", "p_partkey").select("p_partkey", "merged_key")
 
 
 @query()
@@ -172,23 +171,26 @@ def greedy_match(t: Tables) -> DataFrame:
     """Addresses of a domain to its people, one each."""
     people = _people(t)
     shown = people.where("seq % 3 <> 0").select("domain", F.concat(F.left("first", F.lit(1)), "last", F.lit("@"), "domain").alias("email")).distinct()
-    pairs = people.join(shown, "domain").withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
+    pairs = matching.name_pairs(people, shown).withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
     return matching.greedy_match(people, pairs.select("domain", "seq", "email", "score"))
 
 
-@query(f"""with {_PEOPLE}, s as (select distinct dom, fi[1] || la || '@' || dom as email from p where seq % 3 <> 0)
-select dom as domain, seq, email, 0.85::double as score from (select p.dom, seq, email, row_number() over (partition by seq order by email) as rn from p join s on p.dom = s.dom and split_part(email, '@', 1) = fi[1] || la) where rn = 1""")
+@query("""with p as (select p_partkey as seq, split_part(p_name, ' ', 1) as f, split_part(p_name, ' ', 2) as l, lower(replace(p_brand, '#', '')) || '.test' as domain from part),
+s as (select distinct domain, f[1] || l as x from p where seq % 3 <> 0),
+j as (select p.domain, seq, x || '@' || p.domain as email, case when f = '' or l = '' then 0 when x = f || '.' || l then 1 when x = f then 0.8 when x = f || l then 0.9 when x in (f[1] || l, f[1] || '.' || l) then 0.85
+when x = l then 0.6 when x = f || '_' || l then 0.9 when x = l || '.' || f then 0.8 when contains(x, f) and contains(x, l) then 0.7 when contains(x, f) then 0.4 when contains(x, l) then 0.5 else 0 end::double as score from p join s on p.domain = s.domain)
+select domain, seq, email, score from (select *, row_number() over (partition by seq order by score desc, email) as n from j where score >= 0.3) where n = 1""")
 def best_match(t: Tables) -> DataFrame:
     """J8, relaxed: the best address of each person, as a join and a rank."""
     people = _people(t)
     shown = people.where("seq % 3 <> 0").select("domain", F.concat(F.left("first", F.lit(1)), "last", F.lit("@"), "domain").alias("email")).distinct()
-    pairs = people.join(shown, "domain").withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
+    pairs = matching.name_pairs(people, shown).withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
     return matching.best_match(pairs.select("domain", "seq", "email", "score"))
 
 
 @query("select c_custkey, n_name, min_by(s_name, (case when s_acctbal > 5000 then 0 else 1 end) * 100000000 + s_suppkey) as email from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = c_nationkey group by all")
 def preferred_contact(t: Tables) -> DataFrame:
-    """J22, J23 as a ranked pick."""
+    """A ranked pick."""
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey"))
     return rows.groupBy("c_custkey", "n_name").agg(F.min_by("s_name", F.struct(F.when(F.col("s_acctbal") > 5000, 0).otherwise(1), "s_suppkey")).alias("email"))
 
@@ -202,5 +204,5 @@ def person_check_amounts(t: Tables) -> DataFrame:
 @query("""with n as (select p_partkey, lower(trim(p_name)) as v from part), w as (select p_partkey, replace(v, ' ', '') as c, replace(v, ' ', '-') as h from n where length(replace(v, ' ', '')) >= 4)
 select p_partkey, pos::bigint as pos, list_distinct_domain as domain from (select p_partkey, unnest(range(len(l))) as pos, unnest(l) as list_distinct_domain from (select p_partkey, case when c = h then list_transform(['.com', '.vc', '.co', '.capital', '.ventures', '.fund', '.io'], lambda e: c || e) else list_concat(list_transform(['.com', '.vc', '.co', '.capital', '.ventures', '.fund', '.io'], lambda e: c || e), list_transform(['.com', '.vc', '.co', '.capital', '.ventures', '.fund', '.io'], lambda e: h || e)) end as l from w))""")
 def domain_candidates(t: Tables) -> DataFrame:
-    """P13, G4, X5."""
+    """P13, G4."""
     return t.part.select("p_partkey", F.posexplode(t_.domain_candidates(F.concat("p_name", F.lit(", LLC")))).alias("pos", "domain"))

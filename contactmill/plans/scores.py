@@ -37,7 +37,7 @@ case when k % 5 < 2 then 6 when (c % 900 + 1) <= 500 and (c % 900 + 100) >= 50 t
 {_case("k", [15, 10, 5, -5, 0])} as ro, {_case("k", [8, 5, 1, -3, 0])} + case when k % 4 >= 3 then 3 when k % 4 >= 2 then 1 else 0 end + case when k % 3 <> 0 and k % 2 = 0 then 2 else 0 end as en,
 case when k % 3 <> 0 then 10 else -15 end + case when k % 2 = 0 then 5 else 0 end + case when floor(d) > 60 then -10 else 0 end as ex from o),
 x as (select k, greatest(0, least(100, st + se + po + ch + re + ro + en + ex))::bigint as score from s)
-select k as seq, score, case when score >= 80 then 'HOT' when score >= 60 then 'WARM' when score >= 40 then 'COOL' else 'COLD' end as tier from x order by score desc, seq limit 1000""")
+select k as seq, score, case when score >= 80 then 'HOT' when score >= 60 then 'WARM' when score >= 40 then 'COOL' else 'COLD' end as tier from x order by score desc, seq""")
 def lead_score(t: Tables) -> DataFrame:
     """The flagship: score, tier, best first."""
     c = F.col
@@ -89,7 +89,7 @@ def outcome_score(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, label, case upper(regexp_extract(label, '([A-Za-z]+)\\s*$', 1)) when 'HOT' then 'HOT' when 'WARM' then 'WARM' else 'COOL' end as tier from (select o_orderkey, case o_orderstatus when 'F' then '🔴 HOT' when 'P' then '🟡 WARM' else '⚪ COLD' end as label from orders)")
 def tier_labels(t: Tables) -> DataFrame:
-    """T2, T3, S24."""
+    """T2, T3."""
     s = F.col("o_orderstatus")
     label = scoring.tier_label(F.when(s == "F", "HOT").when(s == "P", "WARM").otherwise("COLD"))
     return t.orders.select("o_orderkey", label.alias("label"), scoring.tier_of_label(label).alias("tier"))
@@ -97,7 +97,7 @@ def tier_labels(t: Tables) -> DataFrame:
 
 @query()
 def ml_quality_score(t: Tables) -> DataFrame:
-    """A model of label quality from text statistics."""
+    """A model of label quality from text statistics."""
     words = F.split(F.trim("text"), r"\s+")
     n = F.size(words)
     feats = t.documents.select("doc_id", F.log1p(n).alias("n_words"), (F.size(F.array_distinct(words)) / n).alias("distinct_part"), (F.regexp_count("text", F.lit(r"[#*$%&|<>]")) / n).alias("symbols"), (F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.length("text")).alias("capitals"), (F.col("n_chars") / n).alias("word_length"))

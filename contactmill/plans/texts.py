@@ -16,12 +16,13 @@ _HOST = "nullif(regexp_replace(lower(regexp_extract({}, '^(?:[a-zA-Z][a-zA-Z0-9+
 _PATH = "regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)', 1)), '^/+|/+$', '', 'g')"
 
 
-@query("""with e as (select doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,15}')) as e from documents), c as (select distinct doc_id, lower(e) as e from e where regexp_matches(e, '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]+$')
+@query("""with e as (select doc_id, unnest(regexp_extract_all(replace(text, 'example.com', 'blue.test'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,15}')) as e from documents), c as (select distinct doc_id, lower(e) as e from e where regexp_matches(e, '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]+$')
 and not regexp_matches(e, '\\.png|\\.jpg|\\.svg|\\.gif|\\.css|\\.js|example\\.com|email\\.com|domain\\.com|sentry\\.io|wixpress|sentry-next'))
 select doc_id, string_agg(e, ',' order by e) as emails from c group by doc_id""")
 def email_extract(t: Tables) -> DataFrame:
-    """Addresses in lower case (P16 changes no other kind here)."""
-    found = F.filter(t_.emails(F.col("text")), t_.email_ok)
+    """Addresses in lower case (P16 changes no other kind here). The tables' own ones are all on a host that is
+    refused, so another stands in for it."""
+    found = F.filter(t_.emails(F.replace("text", F.lit("example.com"), F.lit("blue.test"))), t_.email_ok)
     return t.documents.select("doc_id", F.array_join(found, ",").alias("emails")).where("emails != ''")
 
 
@@ -56,21 +57,21 @@ def url_parts(t: Tables) -> DataFrame:
 
 @query(f"with p as (select page_id, {_PATH} as path from pages), s as (select *, string_split(path, '/') as g from p) select page_id, path, round(case when path = '' then null when list_has_any(g, ['fr', 'en', 'blog']) then 0.9::double when contains(path, 'fr') or contains(path, 'en') or contains(path, 'blog') then 0.7::double end * case when len(g) > 2 then 0.8::double else 1.0::double end, 4) as score from s")
 def url_page_type(t: Tables) -> DataFrame:
-    """C20, C21."""
+    """C20."""
     path = t_.url_path(F.col("url"))
     return t.pages.select("page_id", path.alias("path")).select("page_id", "path", scoring.page_type_score(F.col("path"), ("fr", "en", "blog")).alias("score"))
 
 
 @query("""select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>'))::bigint as n_links, regexp_extract(regexp_extract(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>'), '(?i)href="([^"]*)"', 1) as first_link, regexp_extract(html, '(?i)<meta\\s[^>]*name="viewport"[^>]*>') <> '' as has_viewport from pages""")
 def html_meta_links(t: Tables) -> DataFrame:
-    """H3, H10, H14, S4."""
+    """H3: title, links and meta data."""
     h = F.col("html")
     return t.pages.select("page_id", extract.title(h).alias("title"), F.size(extract.links(h)).alias("n_links"), F.coalesce(F.get(extract.links(h), F.lit(0))["url"], F.lit("")).alias("first_link"), extract.meta(h).getItem("viewport").isNotNull().alias("has_viewport"))
 
 
 @query()
 def html_title_blocks(t: Tables) -> DataFrame:
-    """H4 to H9: blocks of each page's tree."""
+    """H4: blocks of each page's tree."""
     return extract.records(t.pages, "blocks")
 
 
@@ -82,7 +83,7 @@ def next_line_role(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_role"))
 
 
-@query("""select event_id, event_type as name, props->>'$.k' as value from events where event_id % 3 = 0""")
+@query("""select event_id, event_type as name, props->>'$.k' as value from events""")
 def json_list_parse(t: Tables) -> DataFrame:
     """S3: objects of lists under a usual key, with keys in any spelling."""
     text = F.concat(F.lit('{"data": [{"Firm-Name": "'), "event_type", F.lit('", "K_": "'), F.get_json_object("props", "$.k"), F.lit('"}]}'))
@@ -91,9 +92,9 @@ def json_list_parse(t: Tables) -> DataFrame:
 
 
 @query("""with l as (select doc_id, unnest(range(len(s))) as pos, unnest(s) as line from (select doc_id, string_split(text, chr(10)) as s from documents))
-select doc_id, pos::bigint as pos, length(line)::bigint as n, line like 'The %' as the from l where length(line) > 400""")
+select doc_id, pos::bigint as pos, length(line)::bigint as n, line like 'The %' as the from l""")
 def line_parse(t: Tables) -> DataFrame:
-    """S12, and what S5 and S6 start from: numbered lines."""
+    """Numbered lines, from which S5, S6 and S12 start."""
     rows = readers.numbered_lines(t.documents.select("doc_id", "text"), "text")
     return rows.select("doc_id", "pos", F.length("line").alias("n"), F.startswith("line", F.lit("The ")).alias("the"))
 
@@ -117,7 +118,7 @@ def bullet_parse(t: Tables) -> DataFrame:
 
 @query("select source, lang, arg_max(doc_id, n_chars * 1000000 - doc_id) as doc_id, max(n_chars) as n_chars from documents group by source, lang")
 def top_thesis(t: Tables) -> DataFrame:
-    """The best of each group, the first in a tie."""
+    """The best of each group, the first in a tie."""
     return t.documents.groupBy("source", "lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("n_chars"))
 
 
@@ -132,7 +133,7 @@ def stage_and_title(t: Tables) -> DataFrame:
 
 @query("select p_partkey, p_brand || ' Holdings' as company, trim(split_part(p_name, ' ', 1)) as first, split_part(p_name, ' ', 2) as rest, true as looks, case when p_partkey % 3 = 0 then null else 'a' || p_partkey || '@x.test' end as email from part")
 def contact_fields(t: Tables) -> DataFrame:
-    """Fields as a receiver wants them."""
+    """Fields as a receiver wants them."""
     first, rest = t_.split_name(F.col("p_name"))
     name = t_.clean_company_name(F.concat(F.col("p_brand"), F.lit("  Holdings.,")))
     email = F.when(F.col("p_partkey") % 3 == 0, "n@x.test (invalid)").otherwise(F.concat(F.lit(" a"), "p_partkey", F.lit("@x.test second")))
@@ -141,7 +142,7 @@ def contact_fields(t: Tables) -> DataFrame:
 
 @query(f"select domain, count(*) as n from (select {_HOST.format('url')} as domain from pages) where domain not in (select {_HOST.format('url')} from pages where page_id % 5 = 0) group by domain")
 def target_list(t: Tables) -> DataFrame:
-    """New hosts of a target list."""
+    """New hosts of a target list."""
     seen = t.pages.where("page_id % 5 = 0").select(t_.host(F.col("url")).alias("domain"))
     return readers.target_list(t.pages.select(F.col("url").alias("value")), seen).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
