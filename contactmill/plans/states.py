@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.operators import analytics, state
+from contactmill.session import new_folder
 from contactmill.streaming import streams
 
 from .base import Tables, query
@@ -24,7 +23,7 @@ def _crawls(t: Tables) -> DataFrame:
 _LAST = "last as (select user_id as domain, ts, case when event_type = 'error' then 'failed' else 'completed' end as status, (props->>'$.k')::bigint as leads from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1)"
 
 
-@query(f"""with {_LAST}, u as (select unnest(range(0, 200)) as domain), j as (select u.domain, l.ts, l.status, l.leads from u left join last l on u.domain = l.domain where l.ts is null or l.ts < timestamp '{AS_OF}' - interval 1 days)
+@query(f"""with {_LAST}, u as (select user_id as domain from events union select unnest(range(0, 200))), j as (select u.domain, l.ts, l.status, l.leads from u left join last l on u.domain = l.domain where l.ts is null or l.ts < timestamp '{AS_OF}' - interval 1 days)
 select domain, case when status is null then 1 when status = 'failed' then 0 when leads >= 5 then 2 else 3 end::bigint as priority, coalesce(leads, 0) as leads, round(case when status is null then 0 else epoch(timestamp '{AS_OF}') - epoch(ts) end, 3) as staleness from j""")
 def recrawl_priority(t: Tables) -> DataFrame:
     """All users, and the first 200 numbers, of which small tables have not seen all."""
@@ -87,9 +86,8 @@ def idempotent_events(t: Tables) -> DataFrame:
 
 
 def _folder(t: Tables) -> str:
-    """Where a stream keeps its state: the shared folder, or one of our own where there is none."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{__import__('uuid').uuid4().hex}" if shared else tempfile.mkdtemp(prefix="contactmill-stream-")
+    """Where a stream keeps its state."""
+    return new_folder(t.spark, "stream")
 
 
 def _streamed(t: Tables, make) -> DataFrame:
@@ -122,3 +120,20 @@ def batch_window(t: Tables) -> DataFrame:
 def stream_breaker(t: Tables) -> DataFrame:
     """R5 as a stream: changes of each user's circuit."""
     return _streamed(t, lambda e: streams.breaker(e.select("user_id", "ts", F.col("event_type").isin("error", "view").alias("failed")), "user_id")).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "state", "trips")
+
+
+@query("select user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, coalesce(ts - before > interval 7 days, true) as due from (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events)")
+def stream_due(t: Tables) -> DataFrame:
+    """R2 as a stream: events of users that were not seen for seven days."""
+    return _streamed(t, lambda e: streams.due(e.select("user_id", "ts"), "user_id")).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "due")
+
+
+@query("select user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as ts from events group by all")
+def stream_persist(t: Tables) -> DataFrame:
+    """R1 as a stream: each user's first event of a kind, stored batch by batch as it is found."""
+    folder = new_folder(t.spark, "stream")
+    for half in (F.col("ts") < "2024-01-15", F.col("ts") >= "2024-01-15"):
+        t.events.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = streams.read_events(t.spark, f"{folder}/in").select("user_id", "event_type", "ts")
+    streams.run_once(stream, folder, each=streams.persist(t.spark, f"{folder}/out", ["user_id", "event_type"], "ts"))
+    return t.spark.read.parquet(f"{folder}/out").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

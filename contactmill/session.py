@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +33,14 @@ def workers_can_import(spark: SparkSession) -> SparkSession:
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
     return spark
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path that no other run uses, in the folder that driver and executors share: `spark.checkpoint.dir`, or, where all
+    is one process, one of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="contactmill-")
+    return f"{shared.rstrip('/')}/{kind}-{uuid4().hex}"

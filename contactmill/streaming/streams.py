@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,15 +41,62 @@ def sessions(events: DataFrame, keys: list[str], gap: str, at: str = "ts", late:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def breaker(events: DataFrame, key: str, limit: int = 3, base: int = 90, cap: int = 600) -> DataFrame:
+def _expire(state: GroupState, last: float, keep: float) -> None:
+    """Drop the state `keep` seconds after the key's last event, once the watermark has passed that."""
+    state.setTimeoutTimestamp(int(max(last * 1000, state.getCurrentWatermarkMs()) + keep * 1000) + 1)
+
+
+def due(events: DataFrame, key: str, days: int = 7, late: str = LATE) -> DataFrame:
+    """R2: for each event (key, ts) whether the key was due: never seen before, or longer ago than the time to live, after
+    which its state is dropped. Order holds within a batch; an event older than its key's last one is never due."""
+
+    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, rows = (state.get[0] if state.exists else None), []
+        for e in pd.concat([p for p in parts if len(p)]).sort_values("ts").itertuples():
+            at = e.ts.timestamp()
+            rows.append((k[0], e.ts, last is None or at - last > days * 86400))
+            last = at if last is None else max(last, at)
+        state.update((last,))
+        _expire(state, last, days * 86400)
+        yield pd.DataFrame(rows, columns=[key, "ts", "due"])
+
+    out = f"{key} long, ts timestamp, due boolean"
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def persist(spark: SparkSession, path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A writer for `run_once` that appends each batch's first row of every key that isn't stored yet, as soon as it is
+    found. A batch that is repeated after a failure stores nothing twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy(*keys).agg(F.min(order).alias(order))
+        try:
+            rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        except AnalysisException:  # nothing stored yet
+            if number:
+                raise
+        rows.write.mode("append").parquet(path)
+
+    return each
+
+
+def breaker(events: DataFrame, key: str, limit: int = 3, base: int = 90, cap: int = 600, keep: float = 86400, late: str = LATE) -> DataFrame:
     """A circuit for each key: `limit` failures in a row open it for base * 2^trips seconds, `cap` at most; the first
-    event after that closes it on success or opens it again. `events`: (key, ts, failed). One row for each change."""
+    event after that closes it on success or opens it again. `events`: (key, ts, failed). One row for each change. A key
+    without events for `keep` seconds is forgotten. Events are ordered within a batch; what a later batch brings of
+    earlier times counts as coming after."""
     out = f"{key} long, ts timestamp, state string, trips int"
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run, trips, until = state.get if state.exists else (0, 0, 0.0)
-        rows = []
-        for e in pd.concat(list(parts)).sort_values("ts").itertuples():
+        rows, at = [], 0.0
+        for e in pd.concat([p for p in parts if len(p)]).sort_values("ts").itertuples():
             at = e.ts.timestamp()
             if at < until:
                 continue
@@ -64,9 +112,10 @@ def breaker(events: DataFrame, key: str, limit: int = 3, base: int = 90, cap: in
                 run, until = 0, 0.0
                 trips = 0 if half else trips
         state.update((run, trips, until))
+        _expire(state, max(at, until), keep)
         yield pd.DataFrame(rows, columns=[key, "ts", "state", "trips"])
 
-    return events.groupBy(key).applyInPandasWithState(step, out, "run int, trips int, until double", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, "run int, trips int, until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:
