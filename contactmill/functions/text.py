@@ -20,14 +20,15 @@ CREDENTIALS = (" jr.", " jr", " sr.", " sr", " iii", " iv", " ii", " esq.", " es
 FUND_SUFFIXES = (" ventures", " capital", " partners", " fund", " management", " advisors", " group", " co.", " llc", " lp", " inc.")
 SALUTATIONS = ("Meet ", "About ", "Dr. ", "Prof. ")
 COMPANY_WORDS = (
-    "capital ventures partners fund group holdings management investments equity advisors advisory associates foundation institute accelerator incubator "
-    "llc inc corp ltd limited gmbh sa ag seed series portfolio companies company growth emerging strategic continuity labs studio studios platform sciences "
-    "technologies technology digital global international development research innovation catalyst operating team meet about join alumni network community "
-    "program programs scout scouts leadership board blog press media news contact apply subscribe follow visit learn read view more twitter linkedin facebook "
-    "instagram youtube cookies cookie functional performance targeting marketing privacy overview principles core history resources navigation submission "
-    "submissions shared values philosophy customers colleagues communities startups information connect links help select sign check bio life games start path "
-    "next fundamentals availability activity putting challenging convention smarter together humbly day demo"
-).split()
+    "capital", "ventures", "partners", "fund", "group", "holdings", "management", "investments", "equity", "advisors", "advisory", "associates", "foundation", "institute", "accelerator",
+    "incubator", "llc", "inc", "corp", "ltd", "limited", "gmbh", "sa", "ag", "seed", "series", "portfolio", "companies", "company", "growth", "emerging", "strategic", "continuity", "labs",
+    "studio", "studios", "platform", "sciences", "technologies", "technology", "digital", "global", "international", "development", "research", "innovation", "catalyst", "operating",
+    "team", "meet", "about", "join", "alumni", "network", "community", "program", "programs", "scout", "scouts", "leadership", "board", "blog", "press", "media", "news", "contact", "apply",
+    "subscribe", "follow", "visit", "learn", "read", "view", "more", "twitter", "linkedin", "facebook", "instagram", "youtube", "cookies", "cookie", "functional", "performance",
+    "targeting", "marketing", "privacy", "overview", "principles", "core", "history", "resources", "navigation", "submission", "submissions", "shared", "values", "philosophy", "customers",
+    "colleagues", "communities", "startups", "information", "connect", "links", "help", "select", "sign", "check", "bio", "life", "games", "start", "path", "next", "fundamentals",
+    "availability", "activity", "putting", "challenging", "convention", "smarter", "together", "humbly", "day", "demo",
+)
 STAGES = (
     ("pre-seed", "Pre-Seed"), ("preseed", "Pre-Seed"), ("seed", "Seed"), ("series a", "Series A"), ("series b", "Series B"), ("series c", "Series C"), ("series d", "Series D"), ("series e", "Series E"),
     ("growth", "Growth"), ("late stage", "Late Stage"), ("late-stage", "Late Stage"), ("early stage", "Early Stage"), ("early-stage", "Early Stage"), ("ipo", "IPO"), ("public", "Public"), ("acquired", "Acquired"), ("exited", "Exited"),
@@ -321,3 +322,88 @@ def reject_email(c: Column, ignore: tuple[str, ...], domain: Column | None = Non
     """P20: whether an address is unwanted: an ignored part, an odd length, or another domain than the one asked for."""
     bad = ~F.length(c).between(5, 60) | F.exists(F.array(F.lit(""), *map(F.lit, ignore)), lambda x: (x != "") & F.contains(F.lower(c), x))
     return bad if domain is None else bad | (F.lower(F.substring_index(c, "@", -1)) != domain)
+
+
+# Words and phrases that tell investors, their firms and their boards.
+MANAGER_WORDS = ("capital", "ventures", "partners", "equity", "fund", "growth", "management", "advisors", "holdings", "associates", "investment")
+SPEAKER_ROLES = ("partner", "managing", "general partner", "gp", "principal", "venture", "investor", "director", "founder", "ceo", "president", "chairman", "managing director", "md", "operating partner", "venture partner", "investment", "portfolio", "fund manager")
+SPEAKER_FIRMS = ("capital", "ventures", "partners", "vc", "fund", "equity", "growth", "investment", "holdings", "advisors", "management", "associates")
+BIO_WORDS = ("venture", "investor", "vc", "capital", "portfolio", "fund", "partner at", "investing in", "seed stage", "series a", "angel", "limited partner", "general partner")
+BIO_FUND = r"(?i)(?:partner|managing director|gp|general partner|principal|investor|founder|ceo|venture partner|operating partner)\s+(?:at|@|of|,)\s+([A-Z][A-Za-z\s&\-]+(?:Capital|Ventures|Partners|Fund|VC|Equity|Growth|Management|Advisors|Holdings|Associates|Group))"
+BOARD_PHRASES = ("board seat", "board member", "board director", "board of directors", "sits on the board", "joins the board", "board observer")
+FUND_WORDS = ("capital", "ventures", "partners", "fund", "vc", "holdings", "group", "advisors", "investments", "management", "equity", "labs")
+LED_BY = r"(?i)(?:led by|with participation from|joined by|co-led by|backed by|investors? include)\s+([A-Z][A-Za-z\s&,]+(?:Capital|Ventures|Partners|Fund|VC|Holdings|Group|Advisors|Investment[s]?))"
+TEAM_PATHS = ("team", "people", "about", "who-we-are", "our-team", "partners", "leadership", "staff", "investors", "bios", "professionals", "contact", "connect", "reach-out", "get-in-touch", "management", "executives", "board", "advisors", "advisory", "principals", "firm", "managing-directors", "founders", "bio", "profiles", "directory", "roster", "meet-us")
+
+
+def any_part(c: Column, parts: tuple[str, ...]) -> Column:
+    """Whether the text, in lower case, contains one of the parts."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(c), p)), F.lit(False))
+
+
+def is_manager_name(c: Column) -> Column:
+    """A word of the name is one that managers' names have."""
+    return F.coalesce(F.exists(words(F.lower(c)), lambda w: w.isin(*MANAGER_WORDS)), F.lit(False))
+
+
+def manager_name(c: Column) -> Column:
+    """The fund's number and legal form cut off its end."""
+    n = F.regexp_replace(F.trim(c), r"\s+(I{1,3}V?|V|VI{0,3}|[0-9]+)\s*$", "")
+    return F.trim(F.btrim(F.regexp_replace(n, r"(?i)\s+(LP|LLC|L\.P\.?|Ltd\.?)\s*$", ""), F.lit(" .,")))
+
+
+def is_investor_speaker(role: Column, company: Column) -> Column:
+    """Role or company of a speaker tells an investor."""
+    return any_part(F.concat_ws(" ", role, company), SPEAKER_ROLES + SPEAKER_FIRMS)
+
+
+def bio_fund(c: Column) -> Column:
+    """The fund that a text names behind a role; null if none."""
+    return F.nullif(F.trim(F.regexp_extract(c, BIO_FUND, 1)), F.lit(""))
+
+
+def led_by(c: Column) -> Column:
+    """Funds that an announcement names as investors."""
+    return let(F.regexp_extract(c, LED_BY, 1), split_funds)
+
+
+def split_funds(c: Column) -> Column:
+    """Names of a list joined by commas or "and": such with a fund's word, or of two capitalised words or more."""
+    parts = F.transform(F.split(F.regexp_replace(c, r"(?i)\band\b", ","), ","), lambda p: F.trim(F.rtrim(F.trim(p), F.lit("."))))
+
+    def fund(p: Column) -> Column:
+        ws = F.split(p, r"\s+")
+        proper = (F.size(ws) >= 2) & F.forall(ws, lambda w: (F.length(w) <= 2) | F.regexp_like(w, F.lit(r"^\p{Lu}")))
+        return (F.length(p) >= 3) & (proper | F.exists(ws, lambda w: F.lower(w).isin(*FUND_WORDS)))
+
+    return F.filter(parts, fund)
+
+
+def is_team_path(url: Column) -> Column:
+    """Whether an address may be a team's page."""
+    return any_part(url_path(url), TEAM_PATHS)
+
+
+def board_signals(home: Column, bios: Column, news: Column, most: int = 5) -> Column:
+    """Mentions of board seats, at most five: on the homepage each phrase; of members (name, bio) and of the first ten
+    news items (headline, snippet) the first phrase."""
+    phrases = F.array(*map(F.lit, BOARD_PHRASES))
+    said = lambda c: F.filter(phrases, lambda p: F.contains(F.lower(c), p))
+    quote = lambda head, p: F.concat(head, F.lit(" mentions '"), p, F.lit("'"))
+    first = lambda items, body, head: F.filter(F.transform(items, lambda x: quote(head(x), F.get(said(body(x)), F.lit(0)))), lambda s: s.isNotNull())
+    a = F.transform(said(F.coalesce(home, F.lit(""))), lambda p: quote(F.lit("homepage"), p))
+    b = first(bios, lambda m: m["bio"], lambda m: F.concat(m["name"], F.lit(" bio")))
+    c = first(F.slice(news, 1, 10), lambda n: F.concat_ws(" ", n["headline"], n["snippet"]), lambda n: F.concat(F.lit("news: '"), F.left(n["headline"], F.lit(50)), F.lit("'")))
+    return F.slice(F.concat(a, b, c), 1, most)
+
+
+def derived_status(status: Column, email: Column, verified: Column, source: Column) -> Column:
+    """An unknown status from what else is known of the address."""
+    v = F.coalesce(verified, F.lit(False))
+    known = F.when(blank(email).isNull(), "unknown").when(source == "scraped", "scraped").when(v, "verified").when(source.isin("guessed", "pattern"), "guessed").otherwise("unknown")
+    return F.when(F.coalesce(status, F.lit("unknown")) == "unknown", known).otherwise(status)
+
+
+def not_fund_row(name: Column, fund: Column) -> Column:
+    """A row of a person: its name isn't its fund's."""
+    return F.lower(F.trim(F.coalesce(name, F.lit("")))) != F.lower(F.trim(F.coalesce(fund, F.lit(""))))

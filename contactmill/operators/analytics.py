@@ -131,3 +131,47 @@ def rates(df: DataFrame) -> DataFrame:
 def last_n(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """The last n points of each series."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
+
+
+def run_totals(df: DataFrame) -> DataFrame:
+    """A10: each run's greatest lead count and its errors."""
+    return df.groupBy("run_id").agg(F.max("lead_count").alias("lead_count"), F.sum("error_count").alias("error_count"))
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """Unique leads of an index, those with an address, and those seen more than once."""
+    return index.agg(F.count(F.lit(1)).alias("total_unique_leads"), F.count_if(F.col("email").isNotNull()).alias("with_email"), F.count_if(F.coalesce("times_seen", F.lit(1)) > 1).alias("seen_multiple_times"))
+
+
+def running_count(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """Number of rows of a series so far."""
+    return df.withColumn("n_so_far", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """Cached domains, those that take mail, and those whose lookup failed. `cache`: (domain, has_mx, dns_error)."""
+    return cache.agg(F.count(F.lit(1)).alias("domains_cached"), F.count_if(F.coalesce("has_mx", F.lit(False))).alias("domains_with_mx"), F.count_if(F.coalesce("dns_error", F.lit(False))).alias("dns_error_domains"))
+
+
+def decision_makers(df: DataFrame, by: str, score: str, order: str, least: float = 60, fallback: int = 3, most: int = 10) -> DataFrame:
+    """A group's members of `least` or more, its first three by score if there are none; ten at most, earlier first in a tie."""
+    w = Window.partitionBy(by)
+    many = F.count_if(F.col(score) >= least).over(w)
+    rank = F.row_number().over(w.orderBy(F.desc(score), order))
+    return df.withColumn("_n", F.least(F.lit(most), F.when(many > 0, many).otherwise(fallback))).withColumn("rank", rank).where(F.col("rank") <= F.col("_n")).drop("_n")
+
+
+def best_of(df: DataFrame, by: list[str], score: str, order: str, *take: str) -> DataFrame:
+    """Of each group the row of greatest score, the first in a tie."""
+    return df.groupBy(*by).agg(F.max_by(F.struct(score, *take), F.struct(F.col(score), -F.col(order))).alias("_b")).select(*by, "_b.*")
+
+
+def top_entries(counts: Column, n: int = 5) -> Column:
+    """The n keys of a map with the greatest values, in the map's order in a tie."""
+    rows = F.transform(F.map_entries(counts), lambda e, i: F.struct((-e["value"]).alias("v"), i.alias("i"), e["key"].alias("k")))
+    return F.transform(F.slice(F.array_sort(rows), 1, n), lambda r: r["k"])
+
+
+def vendor_order(email: Column, linkedin: Column) -> list[Column]:
+    """Without address first, then without profile."""
+    return [F.when(email.isNull(), 0).otherwise(1), F.when(linkedin.isNull(), 0).otherwise(1)]

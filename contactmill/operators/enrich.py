@@ -9,11 +9,15 @@ from contactmill.functions.text import email_ok
 
 # Fixed values.
 DISPOSABLE = (
-    "tempmail.com throwaway.email guerrillamail.com mailinator.com yopmail.com trashmail.com fakeinbox.com sharklasers.com grr.la dispostable.com 10minutemail.com temp-mail.org "
-    "guerrillamailblock.com tempail.com mohmal.com getnada.com emailondeck.com maildrop.cc harakirimail.com mailnesia.com inboxkitten.com burnermail.io temp-mail.io mailcatch.com "
-    "mytemp.email mintemail.com trashmail.me trashmail.net armyspy.com cuvox.de dayrep.com einrot.com fleckens.hu gustr.com jourrapide.com rhyta.com superrito.com teleworm.us"
-).split()
-ROLE_PREFIXES = "info contact hello admin support team office press media sales marketing noreply no-reply webmaster postmaster abuse security billing help".split()
+    "tempmail.com", "throwaway.email", "guerrillamail.com", "mailinator.com", "yopmail.com", "trashmail.com", "fakeinbox.com", "sharklasers.com", "grr.la", "dispostable.com",
+    "10minutemail.com", "temp-mail.org", "guerrillamailblock.com", "tempail.com", "mohmal.com", "getnada.com", "emailondeck.com", "maildrop.cc", "harakirimail.com", "mailnesia.com",
+    "inboxkitten.com", "burnermail.io", "temp-mail.io", "mailcatch.com", "mytemp.email", "mintemail.com", "trashmail.me", "trashmail.net", "armyspy.com", "cuvox.de", "dayrep.com",
+    "einrot.com", "fleckens.hu", "gustr.com", "jourrapide.com", "rhyta.com", "superrito.com", "teleworm.us",
+)
+ROLE_PREFIXES = (
+    "info", "contact", "hello", "admin", "support", "team", "office", "press", "media", "sales", "marketing", "noreply", "no-reply", "webmaster", "postmaster", "abuse", "security",
+    "billing", "help",
+)
 
 
 def fill_from(rows: DataFrame, facts: DataFrame, on: list[str], fill: list[str], order: str | None = None) -> DataFrame:

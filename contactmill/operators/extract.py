@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 PROFILE_URL = r"https?://(?:[a-z]+\.)?linkedin\.com/in/[A-Za-z0-9_%-]+/?"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-INVEST = re.compile(r"\b(invest(?:s|ed|ment)?|led|leads|backs?|backed|raises?|raised|funding|acquires?|acquired)\b", re.I)
+INVEST = ("invested", "led", "co-led", "participated", "backed", "announced", "closed", "raised", "funded", "seed round", "series", "joined", "co-invested", "invested in", "portfolio company")
 
 
 class Node:
@@ -116,7 +116,7 @@ def team(html: str | None) -> list[tuple[str, str, str, str]]:
     def add(name: str, role: str, email: str = "", url: str = "") -> None:
         name = re.sub(r"\s+", " ", name).strip()
         if person_like(name) and name.lower() not in out:
-            out[name.lower()] = (name, role.strip()[:120], email.removeprefix("mailto:").lower(), url.partition("?")[0])
+            out[name.lower()] = (name, role.strip(), email.removeprefix("mailto:").lower(), url.partition("?")[0])
 
     for p in _people(json_ld(html)):
         same = p.get("sameAs") or ""
@@ -171,7 +171,7 @@ def posts(html: str | None, most: int = 20) -> list[tuple[str, str, bool]]:
     for n in parse(html).find("article", "li", "div"):
         heads = [h for h in n.walk() if h.tag in HEADINGS]
         if len(heads) == 1 and (title := heads[0].text()) and title not in [t for t, _, _ in out]:
-            out.append((title, next((a.attrs.get("href", "") for a in n.find("a")), ""), bool(INVEST.search(title))))
+            out.append((title, next((a.attrs.get("href", "") for a in n.find("a")), ""), any(v in title.lower() for v in INVEST)))
     return out[:most]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import identity_queries, relational, scores, states, texts  # noqa: F401  registering
+from . import answers, identity_queries, lists, pages, ranks, relational, scores, states, texts  # noqa: F401  registering
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

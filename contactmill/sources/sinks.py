@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactmill.operators.analytics import chunks
@@ -60,3 +62,19 @@ def upload_batches(df: DataFrame, parts: list[str], size: int = 100, rename: dic
 def write_targets(df: DataFrame, path: str) -> None:
     """One address of each host, sorted."""
     df.groupBy("domain").agg(F.min("url").alias("value")).select("value").orderBy("value").write.mode("overwrite").text(path)
+
+
+def write_config(spark: SparkSession, text: str, path: str) -> None:
+    """A small file that readers see whole or not at all: written beside its place, then renamed onto it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, temp = hadoop.Path(path), hadoop.Path(f"{path}.{uuid4().hex}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(temp)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(temp, target):
+        raise OSError(f"{temp} could not be renamed")
