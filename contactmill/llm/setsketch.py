@@ -295,8 +295,8 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             now = open_.drop("root").join(roots.select("cid", "root"), "cid")
             several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
             open_ = scratch.put("open", now.join(several, "band"))
-            if open_.isEmpty():
-                break
+        if open_.isEmpty():
+            break
         if step == 0:
             pairs = open_.select(F.col("cid").alias("a"), F.col("lo").alias("b"), F.col("root").alias("ra"), F.col("lo").alias("rb"))
         elif step <= RINGS:
@@ -320,6 +320,8 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             members = open_.join(tops, "band").select("pivot", "cid", "n", "root")
             members = members.union(tops.select("pivot", F.col("pivot").alias("cid"), F.col("pn").alias("n"), F.col("pr").alias("root"))).distinct()
             links = remaining_links(members, sets, percent, scratch)
+        if links.isEmpty():
+            continue
         new = components(links, scratch).select(F.col("v").alias("root"), F.col("root").alias("new"))
         roots = scratch.put("roots", roots.join(new, "root", "left").select("cid", "n", F.coalesce("new", "root").alias("root")))
     named = classes.join(roots.select("cid", "root"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
