@@ -110,7 +110,8 @@ def person_like(name: str) -> bool:
 
 
 def team(html: str | None) -> list[tuple[str, str, str, str]]:
-    """H2, H5, H9: (name, role, email, linkedin): JSON-LD first, then cards, then headings with the text behind; by name once."""
+    """H2, H5, H9: (name, role, email, linkedin): JSON-LD first, then cards, then headings with the text behind; where none
+    of these has a person, labels of pictures and links, then captions of figures. By name once."""
     tree, out = parse(html), {}
 
     def add(name: str, role: str, email: str = "", url: str = "") -> None:
@@ -135,9 +136,32 @@ def team(html: str | None) -> list[tuple[str, str, str, str]]:
         for a, b in zip(flat, flat[1:]):
             if a.tag in HEADINGS and b.tag not in HEADINGS:
                 add(a.text(), b.text())
+    if not out:
+        for n in tree.walk():
+            for label in (n.attrs.get("alt", "") if n.tag == "img" else "", n.attrs.get("aria-label", ""), n.attrs.get("title", "") if n.tag == "a" else ""):
+                add(label, "")
+    if not out:
+        for figure in tree.find("figure"):
+            for caption in figure.find("figcaption")[:1]:
+                said = lines(caption)
+                add(said[0] if said else "", said[1] if len(said) > 1 else "")
     return list(out.values())
 
 
+def lines(node: Node) -> list[str]:
+    """The node's text, parted at line breaks and blocks, blanks left out."""
+    out, stack = [""], list(reversed(node.children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out[-1] += n
+        else:
+            if n.tag in ("br", "p", "div", "li"):
+                out.append("")
+            stack += reversed(n.children)
+    return [x for x in (re.sub(r"\s+", " ", s).strip() for s in out) if x]
+
+
 def portfolio(html: str | None, mode: str = "card") -> list[tuple[str, str, str, int | None]]:
     """H6 (T25): (company, stage, url, year). "card": cards up to 1000 characters with any heading, last year named;
     "strict": up to 500 with exactly one heading, greatest year. Below five companies logos, then outside links count too."""

@@ -74,3 +74,8 @@ def statistics(observed: DataFrame) -> DataFrame:
     """Share of each pattern over all domains, three decimals."""
     per = observed.where("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("domains"))
     return per.select("*", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 3).alias("share"))  # one row a pattern
+
+
+def sample(df: DataFrame, n: int, seed: int, key: str = "email") -> DataFrame:
+    """N rows, the same ones each time, by a hash of the seed and the key; a top-k, not a full sort."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), key)), key).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t_
@@ -10,13 +10,15 @@ from contactmill.operators import enrich, lookups, matching, patterns
 
 from .base import Tables, query
 
-_K = F.col("c_custkey")
+
+def _k() -> Column:
+    return F.col("c_custkey")
 
 
 def _people(t: Tables) -> DataFrame:
     """Customers as people: a first name by the id's last digits, a last name of their own, a domain by nation."""
-    first = F.element_at(F.array(*[F.lit(n) for n in ("ann", "bob", "cyd")]), (_K % 3 + 1).cast("int"))
-    return t.customer.select(F.concat(F.lit("n"), "c_nationkey", F.lit(".test")).alias("domain"), _K.alias("seq"), first.alias("first"), F.concat(F.lit("fox"), _letters(_K), F.lit("z")).alias("last"))
+    first = F.element_at(F.array(*[F.lit(n) for n in ("ann", "bob", "cyd")]), (_k() % 3 + 1).cast("int"))
+    return t.customer.select(F.concat(F.lit("n"), "c_nationkey", F.lit(".test")).alias("domain"), _k().alias("seq"), first.alias("first"), F.concat(F.lit("fox"), _letters(_k()), F.lit("z")).alias("last"))
 
 
 def _letters(n):
@@ -48,11 +50,11 @@ def leftover_emails(t: Tables) -> DataFrame:
 @query("select c_custkey as seq, case c_custkey % 4 when 0 then 'google_workspace' when 1 then 'microsoft_365' when 2 then 'protonmail' end as provider, case when c_custkey % 4 < 2 then '{first}.{last}@{domain}' when c_custkey % 4 = 2 then '{first}@{domain}' end as pattern from customer")
 def provider_hints(t: Tables) -> DataFrame:
     """Mail providers by SPF, then MX, and the pattern that they suggest."""
-    m = _K % 4
+    m = _k() % 4
     txt = F.when(m == 0, '"v=spf1 include:unknown.test include:_spf.Google.com ~all"').when(m == 1, "v=spf1 include:spf.protection.outlook.com -all")
     mx = F.when(m == 2, F.array(F.lit("mx.other.test"), F.lit("Mail.ProtonMail.ch"))).otherwise(F.array(F.lit("mx.own.test")))
     name = lookups.provider(txt, mx)
-    return t.customer.select(_K.alias("seq"), name.alias("provider")).withColumn("pattern", lookups.pattern_hint(F.col("provider")))
+    return t.customer.select(_k().alias("seq"), name.alias("provider")).withColumn("pattern", lookups.pattern_hint(F.col("provider")))
 
 
 @query(f"with {_PEOPLE} select domain, seq, case when seq % 3 = 0 then first || '.' || last else first[1] || last end || '@' || domain as email from p where seq % 3 <> 2")
@@ -68,7 +70,7 @@ def avatar_emails(t: Tables) -> DataFrame:
 def catch_all_emails(t: Tables) -> DataFrame:
     """Names as written for domains that take anything."""
     domain = F.concat(F.lit("n"), "c_nationkey", F.lit(".test"))
-    p = t.customer.select(domain.alias("domain"), _K.alias("seq"), F.when(_K % 5 == 0, " Solo ").otherwise("Ána  de O'Fox").alias("name"), F.when(_K % 2 == 1, "known@x.test").alias("email"))
+    p = t.customer.select(domain.alias("domain"), _k().alias("seq"), F.when(_k() % 5 == 0, " Solo ").otherwise("Ána  de O'Fox").alias("name"), F.when(_k() % 2 == 1, "known@x.test").alias("email"))
     return lookups.catch_all_emails(p, t.nation.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".test")).alias("domain"), (F.col("n_nationkey") < 10).alias("catch_all")))
 
 
@@ -86,9 +88,9 @@ def vendor_contacts(t: Tables) -> DataFrame:
 @query("select c_custkey as seq, case c_custkey % 4 when 0 then 'v@x.test' when 1 then 'own@x.test' when 2 then 'v@x.test' else 'own@x.test' end as email, case c_custkey % 4 when 1 then 'scraped' when 3 then 'guessed' else 'verified' end as email_status, case when c_custkey % 4 = 3 then null else 'Partner' end as role from customer")
 def vendor_person(t: Tables) -> DataFrame:
     """A vendor's answer for a person over no address, or one that was guessed; none for every fourth."""
-    m = _K % 4
-    rows = t.customer.select(_K.alias("seq"), F.when(m != 0, "own@x.test").alias("email"), F.when(m == 1, "scraped").otherwise("guessed").alias("email_status"), F.lit("N/A").alias("role"), F.lit("").alias("linkedin"))
-    answers = t.customer.where("c_custkey % 4 <> 3").select(_K.alias("seq"), F.lit("v@x.test").alias("v_email"), F.lit("Partner").alias("v_role"), F.lit(None).cast("string").alias("v_linkedin"))
+    m = _k() % 4
+    rows = t.customer.select(_k().alias("seq"), F.when(m != 0, "own@x.test").alias("email"), F.when(m == 1, "scraped").otherwise("guessed").alias("email_status"), F.lit("N/A").alias("role"), F.lit("").alias("linkedin"))
+    answers = t.customer.where("c_custkey % 4 <> 3").select(_k().alias("seq"), F.lit("v@x.test").alias("v_email"), F.lit("Partner").alias("v_role"), F.lit(None).cast("string").alias("v_linkedin"))
     return lookups.vendor_person(rows, answers).drop("linkedin")
 
 
@@ -130,7 +132,7 @@ def validation_join(t: Tables) -> DataFrame:
 @query("select c_custkey, case c_custkey % 5 when 0 then 'unknown' when 1 then 'scraped' when 2 then 'verified' when 3 then 'guessed' else 'catch_all' end as status from customer")
 def derived_status(t: Tables) -> DataFrame:
     """An unknown status from what else is known."""
-    m = _K % 5
+    m = _k() % 5
     got = t_.derived_status(F.when(m == 4, "catch_all").otherwise("unknown"), F.when(m == 0, "N/A").otherwise("a@x.test"), m.isin(1, 2), F.when(m == 1, "scraped").when(m == 3, "pattern"))
     return t.customer.select("c_custkey", got.alias("status"))
 
@@ -138,7 +140,7 @@ def derived_status(t: Tables) -> DataFrame:
 @query("select c_custkey from customer where c_custkey % 4 <> 0")
 def person_rows(t: Tables) -> DataFrame:
     """Rows whose name isn't their fund's."""
-    fund = F.when(_K % 4 == 0, F.concat(F.lit(" "), F.upper("c_name"))).otherwise("Fund")
+    fund = F.when(_k() % 4 == 0, F.concat(F.lit(" "), F.upper("c_name"))).otherwise("Fund")
     return t.customer.where(t_.not_fund_row(F.col("c_name"), fund)).select("c_custkey")
 
 
@@ -167,7 +169,7 @@ def bio_links(t: Tables) -> DataFrame:
 @query("select c_nationkey as nation, c_mktsegment as seg, max_by(c_name, c_custkey) as last_name, max(c_custkey) as last_key from customer group by all")
 def scraped_index(t: Tables) -> DataFrame:
     """The last row of each key wins."""
-    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg"), F.col("c_name").alias("last_name"), _K.alias("last_key"))
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg"), F.col("c_name").alias("last_name"), _k().alias("last_key"))
     return matching.last_by_key(rows, ["nation", "seg"], "last_key", "last_name", "last_key")
 
 
@@ -183,6 +185,15 @@ def keyserver_emails(t: Tables) -> DataFrame:
 @query("select c_custkey, case when c_custkey % 2 = 0 then 'Partner' else 'Own' end as role, case when c_custkey % 3 = 0 then 'Oslo' end as location from customer")
 def profile_fill(t: Tables) -> DataFrame:
     """Role and place of a profile where they are missing."""
-    rows = t.customer.select("c_custkey", F.concat(F.lit("in/"), _K).alias("linkedin"), F.when(_K % 2 == 1, "Own").alias("role"), F.lit(None).cast("string").alias("location"))
-    facts = rows.select("linkedin", F.lit("Partner").alias("role"), F.when(_K % 3 == 0, "Oslo").alias("location"))
+    rows = t.customer.select("c_custkey", F.concat(F.lit("in/"), _k()).alias("linkedin"), F.when(_k() % 2 == 1, "Own").alias("role"), F.lit(None).cast("string").alias("location"))
+    facts = rows.select("linkedin", F.lit("Partner").alias("role"), F.when(_k() % 3 == 0, "Oslo").alias("location"))
     return enrich.fill_from(rows, facts, ["linkedin"], ["role", "location"]).select("c_custkey", "role", "location")
+
+
+@query(f"with {_PEOPLE} select * from (select domain, seq, first || '.' || last || '@' || domain as email from p where seq % 3 = 0) order by md5('42|' || email), email limit 50")
+def verify_sample(t: Tables) -> DataFrame:
+    """Each person's best candidate, of one tier, and a seeded sample of fifty to be verified."""
+    p = _people(t).withColumn("tier", F.when(F.col("seq") % 3 == 0, "HIGH").otherwise("LOW"))
+    c = p.select("domain", "seq", "tier", F.posexplode(patterns.candidates(F.col("first"), F.col("last"), F.col("domain"))).alias("pos", "c"))
+    best = patterns.top(c.select("domain", "seq", "tier", "c.pattern", "c.email", (0.9 - F.col("pos") / 10).alias("score")), ["seq"], 1)
+    return patterns.sample(best.where("tier = 'HIGH'"), 50, 42).select("domain", "seq", "email")

@@ -3,7 +3,7 @@ so that every answer is known."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t_
@@ -13,14 +13,16 @@ from contactmill.sources import readers, sinks
 
 from .base import Tables, query
 
-_N = F.col("s_suppkey")
+
+def _n() -> Column:
+    return F.col("s_suppkey")
 
 
 @query("select s_name as name, case when s_suppkey % 2 = 0 then 'https://' else 'http://' end || 's' || s_suppkey || '.test' as website, 'N' || s_nationkey as location, 'a,' || s_suppkey as areas from supplier")
 def fuzzy_header_csv(t: Tables) -> DataFrame:
     """A table whose headers only resemble the fields; bare sites get a scheme."""
-    site = F.concat(F.when(_N % 2 == 0, "").otherwise("http://"), F.lit("s"), _N, F.lit(".test"))
-    odd = t.supplier.select(F.concat(F.lit(" "), "s_name").alias("Firm Name"), site.alias("Web Site"), F.concat(F.lit("N"), "s_nationkey").alias("HQ City"), F.concat(F.lit("a | "), _N).alias("Sector Focus"))
+    site = F.concat(F.when(_n() % 2 == 0, "").otherwise("http://"), F.lit("s"), _n(), F.lit(".test"))
+    odd = t.supplier.select(F.concat(F.lit(" "), "s_name").alias("Firm Name"), site.alias("Web Site"), F.concat(F.lit("N"), "s_nationkey").alias("HQ City"), F.concat(F.lit("a | "), _n()).alias("Sector Focus"))
     short = odd.limit(1).withColumn("Firm Name", F.lit("x"))
     return readers.fuzzy_csv(odd.union(short)).select("name", "website", "location", F.array_join("focus_areas", ",").alias("areas"))
 
@@ -28,7 +30,7 @@ def fuzzy_header_csv(t: Tables) -> DataFrame:
 @query("select s_suppkey, s_name as name, 'https://s' || s_suppkey || '.test/' as website from supplier union all select s_suppkey, 'Second one', 'http://second.test' from supplier")
 def markdown_links(t: Tables) -> DataFrame:
     """Links of a text; short names, badges and code hosting left out."""
-    text = F.concat(F.lit("See ["), "s_name", F.lit("](https://s"), _N, F.lit(".test/) and [ab](https://short.test), [Build](https://badge.test/x) [Code](https://github.com/x) [Second one](http://second.test)"))
+    text = F.concat(F.lit("See ["), "s_name", F.lit("](https://s"), _n(), F.lit(".test/) and [ab](https://short.test), [Build](https://badge.test/x) [Code](https://github.com/x) [Second one](http://second.test)"))
     return readers.markdown_links(t.supplier.select("s_suppkey", text.alias("text")), "text")
 
 
@@ -37,7 +39,7 @@ def form_d_officers(t: Tables) -> DataFrame:
     """People of filings with namespaces; clarification before relationship before Principal; investors left out."""
     person = lambda first, last, roles, more: F.concat(F.lit(f"<n:relatedPersonInfo><n:relatedPersonName><n:firstName>{first}</n:firstName>"), F.concat(F.lit("<n:lastName>"), last, F.lit("</n:lastName>")) if last is not None else F.lit(""), F.lit("</n:relatedPersonName><n:relatedPersonRelationshipList>" + "".join(f"<n:relationship>{r}</n:relationship>" for r in roles) + "</n:relatedPersonRelationshipList>"), more, F.lit("</n:relatedPersonInfo>"))
     note = F.concat(F.lit("<n:relationshipClarification>Chief of "), "s_nationkey", F.lit("</n:relationshipClarification>"))
-    people = F.concat(person("Ann", _N, ["Director"], note), person("Bob", F.lit("Li"), ["Director", "Promoter"], F.lit("")), person("Cy", None, [], F.lit("")), person("Di", F.lit("Fo"), ["Investor"], F.lit("")))
+    people = F.concat(person("Ann", _n(), ["Director"], note), person("Bob", F.lit("Li"), ["Director", "Promoter"], F.lit("")), person("Cy", None, [], F.lit("")), person("Di", F.lit("Fo"), ["Investor"], F.lit("")))
     xml = F.concat(F.lit('<n:edgarSubmission xmlns:n="http://n.test"><n:primaryIssuer><n:entityName>'), "s_name", F.lit("</n:entityName></n:primaryIssuer><n:relatedPersonsList>"), people, F.lit("</n:relatedPersonsList></n:edgarSubmission>"))
     return readers.form_d_people(t.supplier.select("s_suppkey", xml.alias("xml")), "xml")
 
@@ -52,15 +54,15 @@ def person_lines(t: Tables) -> DataFrame:
 @query("select company, filed, cik, file from (select s_name as company, '2001-0' || (s_suppkey % 9 + 1) || '-15' as filed, s_suppkey::varchar as cik, 'f/' || s_suppkey || '.txt' as file from supplier) order by filed desc, cik, file limit 20")
 def newest_filings(t: Tables) -> DataFrame:
     """The twenty newest filings."""
-    line = F.concat(F.rpad("s_name", 62, " "), F.lit("D/A   "), F.lpad(_N.cast("string"), 8, "0"), F.lit("  2001-0"), _N % 9 + 1, F.lit("-15  f/"), _N, F.lit(".txt"))
+    line = F.concat(F.rpad("s_name", 62, " "), F.lit("D/A   "), F.lpad(_n().cast("string"), 8, "0"), F.lit("  2001-0"), _n() % 9 + 1, F.lit("-15  f/"), _n(), F.lit(".txt"))
     return readers.newest(readers.company_index(t.supplier.select(line.alias("value"))), 20).select("company", F.col("filed").cast("string").alias("filed"), "cik", "file")
 
 
 @query("select s_name as name, case when s_suppkey % 2 = 0 then 'Partner' end as role, 'N' || s_nationkey as location, 'openvc' as source from supplier where s_suppkey % 5 <> 0")
 def adapter_cards(t: Tables) -> DataFrame:
     """Cards by an adapter of the registry: the first selector that isn't blank; cards without name left out."""
-    name = F.when(_N % 5 == 0, " ").otherwise(F.col("s_name"))
-    card = F.create_map(F.lit("name"), F.lit(" "), F.lit("title"), name, F.lit("position"), F.when(_N % 2 == 0, "Partner").otherwise("N/A"), F.lit("city"), F.concat(F.lit("N"), "s_nationkey"))
+    name = F.when(_n() % 5 == 0, " ").otherwise(F.col("s_name"))
+    card = F.create_map(F.lit("name"), F.lit(" "), F.lit("title"), name, F.lit("position"), F.when(_n() % 2 == 0, "Partner").otherwise("N/A"), F.lit("city"), F.concat(F.lit("N"), "s_nationkey"))
     assert "openvc" in readers.adapters.names("vc") and "openvc" not in readers.adapters.names("pe")
     return readers.adapters.leads(t.supplier.select(card.alias("card")), "openvc").select("name", "role", "location", "source")
 
@@ -68,7 +70,7 @@ def adapter_cards(t: Tables) -> DataFrame:
 @query("select s_name as name, null::varchar as email, case when s_suppkey % 2 = 0 then 'verified' else 'unknown' end as email_status, case when s_suppkey % 3 = 0 then 0 else s_suppkey end as lead_score, case when s_suppkey % 2 = 0 then '2001-02-03 04:05:06' end as scraped_at, 'a,b' as areas from supplier")
 def stored_leads(t: Tables) -> DataFrame:
     """A stored table as leads: blanks null, unknown status, score 0, bad times null, areas by semicolon."""
-    rows = t.supplier.select(F.col("s_name").alias("Name"), F.lit("N/A").alias("Email"), F.when(_N % 2 == 0, "verified").otherwise("").alias("Email Status"), F.when(_N % 3 == 0, "none").otherwise(_N.cast("string")).alias("Lead Score"), F.when(_N % 2 == 0, "2001-02-03T04:05:06").otherwise("yesterday").alias("Scraped At"), F.lit("a; b;").alias("Focus Areas"))
+    rows = t.supplier.select(F.col("s_name").alias("Name"), F.lit("N/A").alias("Email"), F.when(_n() % 2 == 0, "verified").otherwise("").alias("Email Status"), F.when(_n() % 3 == 0, "none").otherwise(_n().cast("string")).alias("Lead Score"), F.when(_n() % 2 == 0, "2001-02-03T04:05:06").otherwise("yesterday").alias("Scraped At"), F.lit("a; b;").alias("Focus Areas"))
     return readers.checkpoint(rows).select("name", "email", "email_status", "lead_score", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"), F.array_join("focus_areas", ",").alias("areas"))
 
 
@@ -81,24 +83,24 @@ def cached_entries(t: Tables) -> DataFrame:
 @query("select s_suppkey, 'Blue ' || s_nationkey || ' Capital' as manager, s_suppkey % 3 <> 0 as is_manager from supplier")
 def pension_managers(t: Tables) -> DataFrame:
     """Managers of a disclosure table, without number and legal form."""
-    raw = F.concat(F.lit("Blue "), "s_nationkey", F.lit(" Capital"), F.when(_N % 2 == 0, " L.P.").otherwise(" LLC IV"))
-    label = F.when(_N % 3 == 0, "City Retirement System").otherwise(raw)
+    raw = F.concat(F.lit("Blue "), "s_nationkey", F.lit(" Capital"), F.when(_n() % 2 == 0, " L.P.").otherwise(" LLC IV"))
+    label = F.when(_n() % 3 == 0, "City Retirement System").otherwise(raw)
     return t.supplier.select("s_suppkey", t_.manager_name(raw).alias("manager"), t_.is_manager_name(label).alias("is_manager"))
 
 
 @query("select s_suppkey, s_suppkey % 3 <> 2 as investor, case when s_suppkey % 2 = 0 then 'Blue Sky Ventures' end as fund, s_suppkey % 2 = 0 or s_suppkey % 3 = 0 as bio from supplier")
 def speakers_and_bios(t: Tables) -> DataFrame:
     """Speakers who invest, and the fund that a bio names."""
-    m = _N % 3
+    m = _n() % 3
     role, company = F.when(m == 0, "General Partner").otherwise("Engineer"), F.when(m == 1, "Blue Growth").otherwise("Blue Bakery")
-    bio = F.when(_N % 2 == 0, "Anna is a partner at Blue Sky Ventures and cooks.").when(m == 0, "Angel from Oslo").otherwise("Cooks")
+    bio = F.when(_n() % 2 == 0, "Anna is a partner at Blue Sky Ventures and cooks.").when(m == 0, "Angel from Oslo").otherwise("Cooks")
     return t.supplier.select("s_suppkey", t_.is_investor_speaker(role, company).alias("investor"), t_.bio_fund(bio).alias("fund"), t_.any_part(bio, t_.BIO_WORDS).alias("bio"))
 
 
 @query("select s_suppkey, array_to_string(case s_suppkey % 3 when 0 then ['Blue Sky Ventures', 'Red Rock Capital'] when 1 then ['Green Fund'] else [] end, ';') as funds from supplier")
 def announced_investors(t: Tables) -> DataFrame:
     """Funds that an announcement names."""
-    m = _N % 3
+    m = _n() % 3
     text = F.when(m == 0, "A round led by Blue Sky Ventures and Red Rock Capital").when(m == 1, "it was backed by Green Fund last year").otherwise("no names")
     return t.supplier.select("s_suppkey", F.array_join(t_.led_by(text), ";").alias("funds"))
 
@@ -197,16 +199,16 @@ def verified_domains(t: Tables) -> DataFrame:
 @query("select distinct 'd' || (s_suppkey % 60) || '.test' as domain from supplier where s_suppkey % 60 >= 10 union select 'c' || (c_nationkey) || '.test' from customer")
 def domain_pool(t: Tables) -> DataFrame:
     """The domains of all lists that aren't known."""
-    s = t.supplier.select(F.concat(F.lit("d"), _N % 60, F.lit(".test")).alias("domain"))
+    s = t.supplier.select(F.concat(F.lit("d"), _n() % 60, F.lit(".test")).alias("domain"))
     c = t.customer.select(F.concat(F.lit("c"), "c_nationkey", F.lit(".test")).alias("domain"))
-    return readers.expand_domains([s, c, s], t.supplier.where("s_suppkey % 60 < 10").select(F.concat(F.lit("d"), _N % 60, F.lit(".test")).alias("domain")))
+    return readers.expand_domains([s, c, s], t.supplier.where("s_suppkey % 60 < 10").select(F.concat(F.lit("d"), _n() % 60, F.lit(".test")).alias("domain")))
 
 
 @query("select lower(s_name) as name, any_value(website) as website, min(src) as source from (select s_name, 's' || s_suppkey || '.test' as website, 'seed:a' as src from supplier union all select s_name, 't.test', 'seed:b' from supplier where s_suppkey % 2 = 0) where src = 'seed:a' group by lower(s_name)")
 def expand_seed(t: Tables) -> DataFrame:
     """Seed files, written and read again, as one list; the first file wins."""
     folder = new_folder(t.spark, "seeds")
-    t.supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("s"), _N, F.lit(".test")).alias("website")).write.csv(f"{folder}/a", header=True)
+    t.supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("s"), _n(), F.lit(".test")).alias("website")).write.csv(f"{folder}/a", header=True)
     t.supplier.where("s_suppkey % 2 = 0").select(F.upper("s_name").alias("name"), F.lit("t.test").alias("website")).write.csv(f"{folder}/b", header=True)
     got = readers.read_seeds(t.spark, {"a": f"{folder}/a", "b": f"{folder}/b"})
     return got.select(F.lower("name").alias("name"), "website", "source")

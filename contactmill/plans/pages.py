@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t_
@@ -10,13 +10,15 @@ from contactmill.operators import extract
 
 from .base import Tables, query
 
-_N = F.col("s_suppkey")
+
+def _n() -> Column:
+    return F.col("s_suppkey")
 
 
 def _page(t: Tables, *parts) -> DataFrame:
     """One page a supplier from text and columns."""
     html = F.concat(F.lit("<html><body>"), *[p if not isinstance(p, str) else F.lit(p) for p in parts], F.lit("</body></html>"))
-    return t.supplier.select(_N.alias("page_id"), html.alias("html"))
+    return t.supplier.select(_n().alias("page_id"), html.alias("html"))
 
 
 def _word(n):
@@ -31,7 +33,7 @@ def json_ld_people(t: Tables) -> DataFrame:
     """H1, H2: people of JSON-LD: direct, in a graph and as employees; broken blocks are passed over, repeats too."""
     ld = lambda *x: ('<script type="application/ld+json">', *x, "</script>")
     pages = _page(
-        t, *ld('{"@type": "Person", "name": "Ann Fox', _word(_N), '", "jobTitle": "Partner", "email": "mailto:Ann@x.test", "sameAs": ["https://linkedin.com/in/ann?x=1"]}'), *ld("{broken"),
+        t, *ld('{"@type": "Person", "name": "Ann Fox', _word(_n()), '", "jobTitle": "Partner", "email": "mailto:Ann@x.test", "sameAs": ["https://linkedin.com/in/ann?x=1"]}'), *ld("{broken"),
         *ld('{"@graph": [{"@type": "Organization", "employee": [{"@type": "Person", "name": "Bob Li", "jobTitle": "Analyst"}]}, {"@type": "Person", "name": "Cy Dow"}]}'), *ld('[{"@type": "Person", "name": "BOB LI"}]'),
     )
     return extract.records(pages, "team")
@@ -40,10 +42,18 @@ def json_ld_people(t: Tables) -> DataFrame:
 @query(f"""select s_suppkey as page_id, unnest(['Ann Fox' || {_WORD}, 'Bob Li', 'Cy Dow']) as name, unnest(['Partner', 'Analyst', 'Chief Cook']) as role, unnest(['ann@x.test', '', '']) as email, unnest(['', 'https://linkedin.com/in/bob', '']) as linkedin from supplier""")
 def team_records(t: Tables) -> DataFrame:
     """People of cards, then of headings with the text behind."""
-    pages = _page(t, '<div><h3>Ann Fox', _word(_N), '</h3><p>Partner</p><a href="mailto:Ann@x.test"></a></div><div><h3>Our Offices 12</h3><p>Oslo</p></div><li><h4>Bob  Li</h4> Analyst <a href="https://linkedin.com/in/bob?y"></a></li><section><h2>Team</h2><h2>Cy Dow</h2><span>Chief Cook</span></section>')
+    pages = _page(t, '<div><h3>Ann Fox', _word(_n()), '</h3><p>Partner</p><a href="mailto:Ann@x.test"></a></div><div><h3>Our Offices 12</h3><p>Oslo</p></div><li><h4>Bob  Li</h4> Analyst <a href="https://linkedin.com/in/bob?y"></a></li><section><h2>Team</h2><h2>Cy Dow</h2><span>Chief Cook</span></section>')
     return extract.records(pages, "team")
 
 
+@query("""select s_suppkey as page_id, case when s_suppkey % 2 = 0 then n else m end as name, case when s_suppkey % 2 = 0 then '' else r end as role from supplier, (select unnest(['Ann Fox', 'Bob Li', 'Cy Dow']) as n, unnest(['Dee Roe', 'Eve Ash', null]) as m, unnest(['Partner', '', null]) as r) where s_suppkey % 2 = 0 or m is not null""")
+def label_records(t: Tables) -> DataFrame:
+    """H9: people of pictures' and links' labels, else of figures' captions."""
+    labels = '<img alt="Ann Fox"><img alt="a logo"><a aria-label="Bob Li"></a><a title="Cy Dow" href="/c"></a><a title="Ann Fox"></a>'
+    figures = "<figure><img><figcaption>Dee Roe<br>Partner<br>Oslo</figcaption></figure><figure><figcaption><div>Eve  Ash</div></figcaption></figure><figure></figure>"
+    return extract.records(_page(t, F.when(_n() % 2 == 0, labels).otherwise(figures)), "team").select("page_id", "name", "role")
+
+
 @query("""select s_suppkey as page_id, unnest(['Blue ' || s_nationkey, 'Red', 'Green Inc', 'Grey']) as company, unnest(['seed', '', '', '']) as stage, unnest(['https://b.test', '', '', 'https://grey.test']) as url, unnest([2019, null, null, null])::bigint as year from supplier""")
 def portfolio_records(t: Tables) -> DataFrame:
     """H6: companies of cards, then logos, then outside links; the last year named."""
@@ -67,7 +77,7 @@ def page_blocks(t: Tables) -> DataFrame:
 @query("""select s_suppkey, 'https://www.linkedin.com/in/b;https://x.linkedin.com/in/a-' || s_suppkey as profiles, 'https://r.test/?q=' || s_suppkey as result, 'og' as description, 'Ann' as registrant, 'ann@x.test' as contact from supplier""")
 def link_fields(t: Tables) -> DataFrame:
     """Profile links, targets of a result page, meta data and a registry answer."""
-    html = F.concat(F.lit('<meta name="description" content="plain"><meta property="og:description" content="og"><a href="https://www.linkedin.com/in/b/?t=1">b</a> https://x.linkedin.com/in/A-'), _N, F.lit(' https://www.linkedin.com/in/b <a href="/l/?uddg=https%3A%2F%2Fr.test%2F%3Fq%3D'), _N, F.lit('&amp;x">'))
+    html = F.concat(F.lit('<meta name="description" content="plain"><meta property="og:description" content="og"><a href="https://www.linkedin.com/in/b/?t=1">b</a> https://x.linkedin.com/in/A-'), _n(), F.lit(' https://www.linkedin.com/in/b <a href="/l/?uddg=https%3A%2F%2Fr.test%2F%3Fq%3D'), _n(), F.lit('&amp;x">'))
     who = F.struct(F.lit("Domain: x\n Registrant Name: Ann\nRegistrant Email: Ann@X.test\n").alias("w"))["w"]
     h = extract.whois(who)
     return t.supplier.select("s_suppkey", html.alias("h")).select("s_suppkey", F.array_join(F.array_sort(extract.profile_urls(F.col("h"))), ";").alias("profiles"), F.regexp_replace(F.get(extract.result_urls(F.col("h")), F.lit(0)), "&amp;x$", "").alias("result"), F.coalesce(extract.meta(F.col("h"))["og:description"], extract.meta(F.col("h"))["description"]).alias("description"), h["name"].alias("registrant"), h["email"].alias("contact"))
@@ -76,15 +86,15 @@ def link_fields(t: Tables) -> DataFrame:
 @query("""select s_suppkey, 'ann' || s_suppkey || '@blue.test,bob@red.co' as emails, 'ann' || s_suppkey || '@blue.test,cy@mail.test,dee@x.org,eve@at.test' as html_emails from supplier""")
 def address_extract(t: Tables) -> DataFrame:
     """Addresses of texts and of pages, plain, linked and obfuscated."""
-    text = F.concat(F.lit("Write to ann"), _N, F.lit("@blue.test or bob@red.co, not logo@2x.png or me@example.com"))
-    html = F.concat(F.lit('<a href="mailto:ann'), _N, F.lit('@blue.test">x</a> cy [at] mail [dot] test <b data-m="dee&#64;x.org"></b> eve(at)at.test'))
+    text = F.concat(F.lit("Write to ann"), _n(), F.lit("@blue.test or bob@red.co, not logo@2x.png or me@example.com"))
+    html = F.concat(F.lit('<a href="mailto:ann'), _n(), F.lit('@blue.test">x</a> cy [at] mail [dot] test <b data-m="dee&#64;x.org"></b> eve(at)at.test'))
     return t.supplier.select("s_suppkey", F.array_join(F.filter(t_.emails(text), t_.email_ok), ",").alias("emails"), F.array_join(t_.emails_in_html(html), ",").alias("html_emails"))
 
 
 @query("select s_suppkey, s_suppkey % 4 <> 3 as unwanted from supplier")
 def address_rejects(t: Tables) -> DataFrame:
     """P20: addresses with an ignored part, of an odd length or of another domain."""
-    m = _N % 4
+    m = _n() % 4
     e = F.when(m == 0, "noreply@x.test").when(m == 1, "a@b").when(m == 2, "ann@y.test").otherwise("Ann@x.test")
     return t.supplier.select("s_suppkey", t_.reject_email(e, ("noreply",), F.lit("x.test")).alias("unwanted"))
 
@@ -92,7 +102,7 @@ def address_rejects(t: Tables) -> DataFrame:
 @query("select s_suppkey, case s_suppkey % 3 when 0 then 'Managing Partner' when 1 then 'Vice President Oslo' end as role, case s_suppkey % 3 when 0 then 'Ann Fox' when 1 then 'Bob Li' else 'Cy' end as person, case s_suppkey % 3 when 0 then 'checks of $1M to $5M' when 1 then '$250k - $2M initial' end as checks, case s_suppkey % 3 when 0 then 'based in Oslo.' when 1 then 'Austin, TX' end as place from supplier")
 def prose_fields(t: Tables) -> DataFrame:
     """Roles, salutations, check sizes and places from prose."""
-    m = _N % 3
+    m = _n() % 3
     pick = lambda a, b, c: F.when(m == 0, a).when(m == 1, b).otherwise(c)
     role = t_.role_text(pick("ManagingPartner", "Vice  President\nOslo", "x"))
     person = t_.clean_person_name(pick("Meet Ann Fox..", "Dr. Bob Li", "Cy"))
@@ -104,7 +114,7 @@ def prose_fields(t: Tables) -> DataFrame:
 @query("select s_suppkey, s_suppkey % 3 <> 2 as team, case s_suppkey % 3 when 0 then 'homepage mentions ''board seat'';Ann bio mentions ''board member''' when 1 then 'news: ''Ann joins'' mentions ''joins the board''' else '' end as board from supplier")
 def team_paths_and_boards(t: Tables) -> DataFrame:
     """Addresses of team pages; mentions of board seats, five at most."""
-    m = _N % 3
+    m = _n() % 3
     url = F.when(m == 0, "https://x.test/Our-Team/").when(m == 1, "https://x.test/about").otherwise("https://team.test/blog")
     bios = F.when(m == 0, F.array(F.struct(F.lit("Ann").alias("name"), F.lit("A Board Member, sits on the board").alias("bio")))).otherwise(F.array(F.struct(F.lit("Bob").alias("name"), F.lit("cooks").alias("bio"))))
     news = F.array(F.struct(F.lit("Ann joins").alias("headline"), F.when(m == 1, "she joins the board").otherwise("us").alias("snippet")))
