@@ -218,8 +218,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     numbers = found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
         found = F.broadcast(found)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    out = docs.select(F.struct(*keep).alias("row"), key.alias("key"), n_words.alias("n_words")).join(found, "key", "left")
+    # Counted behind the join, so that a caller who only asks for contaminated documents has the words of few texts counted.
+    n_words = F.coalesce(F.regexp_count("row.text", F.lit(_WORD)), F.lit(0)).cast("long")
+    out = docs.select(F.struct(*keep).alias("row"), key.alias("key")).join(found, "key", "left").withColumn("n_words", n_words)
     out = out.withColumns({"spans": F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")), "items": F.coalesce("items", F.expr("cast(array() as array<bigint>)"))})
     hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"]).cast("long")
     out = out.select("row.*", "n_words", "spans", "items", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), _digest(F.col("items")).alias("items_sha256"))
