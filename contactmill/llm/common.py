@@ -67,9 +67,8 @@ class Scratch:
         for path in filter(None, (self.at.pop(n, None) for n in names)):
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        if self.count % 3 == 0:
-            gc.collect()
-            self.spark._jvm.System.gc()
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
