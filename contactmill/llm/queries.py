@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the documents tables, and SQL that gives the same rows where SQL can."""
+"""The queries op1 to op13 over the test tables, and SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.session import workers_can_import
 
-from . import lang_gru, line_runs, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
+from . import alignment, chat_format, lang_gru, line_runs, mixing, oracles, quality_fm, rule_ledger, secret_index, setsketch, token_counts, token_store, vector_codes, winnow
 from .common import cut, new_folder
 
 
@@ -70,6 +70,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+def op13_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    folder = new_folder(spark, "chat")
+    chat_format.format_turns(table(spark, sf_dir, "conversations").select(*more.columns).union(more)).write.parquet(folder)
+    return chat_format.report(chat_format.read_back(spark.read.parquet(folder)))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_token_attribution": op2_token_attribution,
@@ -81,5 +97,8 @@ QUERIES = {
     "op8_trigram_secrets": op8_trigram_secrets,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_winnowing": op10_winnowing,
+    "op11_alignment": op11_alignment,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_targets": op13_prefix_targets,
 }
 SQL = {k: v for k, v in oracles.SQL.items() if k in QUERIES}

@@ -45,6 +45,12 @@ def odd_con(odd, spark, tmp_path_factory):
     odd.write.parquet(f"{folder}/documents.parquet")
     bench = [(1, PASSAGE), (2, "One two"), (3, None), (None, "a b"), (4, ""), (2, "p1 p2 p3"), (10, " ".join(f"w{i}" for i in range(100, 113)))]
     spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    said = ["</s>[INST] ok [/INST]", None, "", "<|im_end|>\n<\\|im_end|>", "a%0A<<s>", "é 日本"]
+    turns = [(i % 4 if i % 9 else None, i if i % 7 else None, ["assistant", "user", None, "as%\nx</s>"][i % 4], said[i % 6]) for i in range(60)] + [(9, 1000 * i, "assistant", f"t{i}") for i in range(9)] + [(9, 0, "assistant", "t0")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    vector = lambda i, n=32: [((i * 37 + j * 11) % 29 - 14) / 7.0 for j in range(n)]
+    vectors = [(i, vector(i % 80), i % 3) for i in range(100)] + [(5, vector(3), None), (None, vector(4), None), (101, None, 1), (102, [], 1), (103, vector(1, 15), 1), (104, vector(1, 16), 1), (105, [None, *vector(1)[1:]], 1), (106, [float("nan"), *vector(1)[1:]], 2), (107, [float("inf"), *vector(1)[1:]], 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
