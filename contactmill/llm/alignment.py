@@ -1,11 +1,11 @@
 """Cross-tokenizer alignment: groups and links between two tokenizers' tokens of the same bytes.
 
 Each text is encoded by a byte-level vocabulary (A, as a space and the text) and by a piece vocabulary (B, which adds that
-space itself). A token is stored as one long, its end in bytes times 2^SHIFT plus its id. From there on Spark's functions on
-arrays do all: `array_intersect` of the two end arrays gives the ends that both share; a mark behind each shared end, put in
-place by sorting longs, cuts either side into groups, which a `sequence` of group numbers pairs up; the last tokens of a group
-end together and are its link. (`aggregate` builds no array here: it would copy it at each step, n^2 for a text of n tokens.
-It adds up what is not an array.)
+space itself). A token is stored as one long, its end in bytes times 2^SHIFT plus its id, and an end as the mark that sorts behind
+its token: the greatest id. From there on Spark's functions on arrays do all: `array_intersect` of the two end arrays gives
+the ends that both share, which, put in place by sorting longs, cut either side into groups, which `zip_with` pairs up; the last tokens of a group, found by
+`transform`, end together and are its link. (`aggregate` would copy an array that it builds at each step, n^2 for a text of n
+tokens; a `sequence` of group numbers costs more than `zip_with`. Neither is used.)
 
 Links are counted by id pair over the whole corpus, at most once a document and pair through the shuffle. The table of counts
 is broadcast only where a count shows it to be small, else documents' pairs meet it by a shuffled join.
@@ -18,13 +18,20 @@ with the name of an added one is replaced.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, small
-from .encoding import CACHE_UNITS, Encoder
+from .common import Scratch, slices, small
 
 SHIFT = 20
 MARK = (1 << SHIFT) - 1
@@ -33,26 +40,6 @@ BROADCAST_PAIRS = 1_000_000
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-class SpacedBytes(Encoder):
-    """A: ids of a space and a text; strings of special tokens are plain text."""
-
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.tokenizer.encode_special_tokens = True
-        letters = {c: b for b, c in _byte_letters().items()}
-        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = [b""] * (max(tokens.values()) + 1)
-        for token, i in tokens.items():
-            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        assert len(self.bytes) < MARK
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-
-    def _units(self, text: str) -> list[str] | None:
-        """As for the text behind the first space, which belongs to the first unit."""
-        units = super()._units(text[1:])
-        return [" " + units[0], *units[1:]] if units else None
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -60,122 +47,149 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Pieces:
-    """B: ids by the library, each unit encoded once while it is remembered.
+class Bytes:
+    """A: a byte-level vocabulary, its strings of special tokens plain text.
 
-    No piece of the vocabulary holds a space behind another character, or a newline (looked up when it is loaded), so tokens
-    don't reach over a single space or a newline, and a text is the concatenation of its units: a word with the space or
-    newline before it. A text with spaces in a row or at its ends, or a newline behind a space or at its beginning, is given to the library whole.
+    Its merges are numbered like the tokens that they make (looked up when it is loaded), so that a token's number is its rank, and
+    `tiktoken`, which merges by rank, gives the ids of `tokenizers` in a third of the time. Its split by pattern can't
+    take very long runs of white space, which are left to `tokenizers`.
     """
 
+    #: Fixed value: the pattern of byte-level vocabularies.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    LONG = 50_000
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        given = json.loads(Path(path).read_text(encoding="utf-8"))
+        model, split = given["model"], given["pre_tokenizer"]
+        tokens = {k: i for k, i in model["vocab"].items() if i not in {t["id"] for t in given["added_tokens"]}}
+        assert split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not given["normalizer"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        assert sorted(tokens.values()) == list(range(256 + len(pairs))) and all(tokens[a + b] == 256 + i for i, (a, b) in enumerate(pairs))
+        letters = {c: b for b, c in _byte_letters().items()}
+        ranks = {bytes(letters[c] for c in k): i for k, i in tokens.items()}
+        self.path, self.library = path, None
+        self.fast = tiktoken.Encoding("a", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(len(ranks), np.int64)
+        for k, i in ranks.items():
+            self.size[i] = len(k)
+
+    def _whole(self, text: str) -> list[int]:
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a space and the text."""
+        spaced = " " + text
+        slow = len(text) >= self.LONG and re.search(rf"\s{{{self.LONG}}}", spaced)
+        return np.array(self._whole(spaced) if slow else self.fast.encode_ordinary(spaced), np.int64)
+
+
+class Pieces:
+    """B: a piece vocabulary."""
+
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        assert len(pieces) < MARK
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.by_units = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _whole(self, texts: list[str], cut: int = 0) -> list[bytes | None]:
-        """Packed ids without the first `cut`; None where the pieces don't spell a space and the text."""
-        out = []
-        for text, ids in zip(texts, self.model.encode(texts, num_threads=1), strict=True):
-            spelt = b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
-            out.append(np.array(ids[cut:], "<i4").tobytes() if spelt and (not cut or ids and self.bytes[ids[0]] == b" ") else None)
-        return out
-
-    def _units(self, text: str) -> list[str] | None:
-        if not self.by_units or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\0" in text:
-            return None
-        return (" " + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.young) > CACHE_UNITS:
-            self.old, self.young = self.young, {}
-        missing = []
-        for u in units.difference(self.young):
-            if u in self.old:
-                self.young[u] = self.old[u]
-            else:
-                missing.append(u)
-        after_space, after_line = [u for u in missing if u[0] == " "], [u for u in missing if u[0] != " "]
-        for part, cut, texts in ((after_space, 0, [u[1:] for u in after_space]), (after_line, 1, after_line)):
-            for at in range(0, len(part), 4096):
-                self.young.update(zip(part[at : at + 4096], self._whole(texts[at : at + 4096], cut)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """For each text its ids, or None if they don't spell it."""
-        parts = [self._units(t) if t else [] for t in texts]
-        self._learn({u for p in parts if p for u in p})
-        out = []
-        for text, units in zip(texts, parts, strict=True):
-            packed = self._whole([text]) if units is None else list(map(self.young.__getitem__, units))
-            out.append(None if None in packed else np.frombuffer(b"".join(packed), "<i4"))
-        return out
+        # Texts aren't normalised, and what no piece spells is spelt by bytes: so only U+2581 changes, and a text's length with it.
+        assert b"\x0a\x08identity" in self.model.serialized_model_proto() and sum(map(self.model.is_byte, range(len(pieces)))) == 256
+        self.size = np.array([1 if self.model.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.model.encode(texts, num_threads=1, return_type="numpy")
+
+
+class Both:
+    """Ids of whole texts in both vocabularies."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        self.a, self.b = Bytes(path_a), Pieces(path_b)
+        assert max(len(self.a.size), len(self.b.size)) < MARK
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each text the ids of A and those of B; none where either doesn't spell the space and the text, or the text is empty."""
+        nothing = np.zeros(0, np.int64)
+        a, b = [self.a.encode(t) if t else nothing for t in texts], self.b.encode(texts) if texts else []
+        for i, t in enumerate(texts):
+            n = 1 + len(t.encode())
+            if not t or int(self.a.size[a[i]].sum()) != n or int(self.b.size[b[i]].sum()) != n:
+                a[i] = b[i] = nothing
+        return a, b
+
+
+@cache
+def _encoder(path_a: str, path_b: str) -> Both:
+    """One for all tasks of a worker."""
+    return Both(path_a, path_b)
 
 
 def _lists(ids: list[np.ndarray], size: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each text the ends of its tokens, and its tokens: end times 2^SHIFT plus id."""
+    """Of each text the marks of its tokens' ends, and its tokens: end times 2^SHIFT plus MARK, or plus id."""
     count = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
     at = np.concatenate(([0], np.cumsum(count)))
     ends = np.concatenate(([0], np.cumsum(size[flat])))
     ends = ends[1:] - np.repeat(ends[at[:-1]], count)
     offsets = pa.array(at, pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array((ends << SHIFT) | flat))
+    return pa.ListArray.from_arrays(offsets, pa.array((ends << SHIFT) | MARK)), pa.ListArray.from_arrays(offsets, pa.array((ends << SHIFT) | flat))
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Every row of `docs` (any columns, and text) without its text, with a_ends, a, b_ends and b: ends in bytes, and tokens as end times 2^SHIFT plus id."""
+    """Every row of `docs` (any columns, and text) without its text, with a_ends, a, b_ends and b: of each token its end in bytes times 2^SHIFT plus MARK, and plus its id."""
+    keep = [c for c in docs.columns if c != "text"]
+    # Arrays without nulls, which Spark sorts and intersects as plain numbers.
+    added = [T.StructField(n, T.ArrayType(T.LongType(), False), False) for n in ("a_ends", "a", "b_ends", "b")]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *added])
 
-    def start():
-        one, two = SpacedBytes(path_a), Pieces(path_b)
-        nothing = np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _encoder(path_a, path_b)
+        for batch in batches:
+            for part in slices(batch):
+                ids = both.encode([t or "" for t in part.column("text").to_pylist()])
+                made = [x for side, v in enumerate((both.a, both.b)) for x in _lists(ids[side], v.size)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], names=[*keep, *[f.name for f in added]])
 
-        def step(texts):
-            texts = [(t or b"").decode() for t in texts]
-            a, b = one.encode([" " + t if t else "" for t in texts]), two.encode(texts)
-            for i, t in enumerate(texts):
-                # Byte-level tokens spell their text whatever it is; the length is looked at all the same.
-                if not t or b[i] is None or int(one.size[a[i]].sum()) != 1 + len(t.encode()):
-                    a[i] = b[i] = nothing
-            return [*_lists(a, one.size), *_lists(b, two.size)]
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
-        return step
 
-    return map_texts(docs, [c for c in docs.columns if c != "text"], "a_ends array<int>, a array<long>, b_ends array<int>, b array<long>", start)
-
-
-def _parts(side: Column, marks: Column) -> Column:
-    """The ids of each group of one side, comma-joined, in order; one empty string behind the last."""
-    low = lambda x: x.bitwiseAND(F.lit(MARK).cast("long"))
-    ids = F.transform(F.sort_array(F.concat(side, marks)), lambda x: F.when(low(x) == MARK, F.lit(-1)).otherwise(low(x)).cast("int"))
-    return F.split(F.array_join(ids.cast("array<string>"), ","), ",-1,?")
+def _parts(marked: Column) -> Column:
+    """The ids of each group of one side, comma-joined, in order; `marked` holds a mark behind each group's last token."""
+    ids = F.transform(marked, lambda x: x.bitwiseAND(F.lit(MARK).cast("long"))).cast("array<string>")
+    text = F.replace(F.concat(F.array_join(ids, ","), F.lit(",")), F.lit(f",{MARK},"), F.lit(";"))
+    return F.split(F.rtrim(text, F.lit(";")), ";")
 
 
 def align(rows: DataFrame) -> DataFrame:
-    """Rows of `tokens` with n_a, n_b, n_groups, groups_sha256 and `links`, one long a group: the id of A times 2^SHIFT plus the id of B."""
+    """Rows of `tokens` with n_a, n_b, n_groups, groups_sha256 and `links`, a pair of ids (a, b) for each group.
+
+    Steps without a lambda are selects of their own, used more than once so that Spark keeps them apart: there they are compiled, and
+    longs are sorted as such; below a lambda they would be interpreted. Lambdas are kept as small as can be."""
     keep = [c for c in rows.columns if c not in ("a_ends", "a", "b_ends", "b")]
-    rows = rows.withColumn("_ends", F.array_intersect("a_ends", "b_ends"))
-    rows = rows.withColumn("_marks", F.transform("_ends", lambda e: F.shiftleft(e.cast("long"), SHIFT) + F.lit(MARK)))
-    rows = rows.select(*keep, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("_ends").cast("long").alias("n_groups"), _parts(F.col("a"), F.col("_marks")).alias("_a"), _parts(F.col("b"), F.col("_marks")).alias("_b"))
-    numbers = F.when(F.col("n_groups") > 0, F.sequence(F.lit(0), F.col("n_groups").cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    last = lambda parts, g: F.substring_index(F.get(parts, g), ",", -1).cast("long")
-    groups = F.transform(numbers, lambda g: F.concat(F.get(F.col("_a"), g), F.lit("|"), F.get(F.col("_b"), g)))
-    links = F.transform(numbers, lambda g: F.shiftleft(last(F.col("_a"), g), SHIFT) + last(F.col("_b"), g))
-    digest = F.when(F.col("n_groups") > 0, F.sha2(F.array_join(groups, ";"), 256)).otherwise("")
-    return rows.select(*keep, "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), links.alias("links"))
+    rows = rows.withColumn("_marks", F.array_intersect("a_ends", "b_ends"))
+    rows = rows.select(*keep, F.size("_marks").alias("_n"), F.sort_array(F.concat("a", "_marks")).alias("_a"), F.sort_array(F.concat("b", "_marks")).alias("_b"))
+    tokens_of = lambda c: (F.size(c) - F.col("_n")).cast("long")
+    rows = rows.select(*keep, tokens_of("_a").alias("n_a"), tokens_of("_b").alias("n_b"), F.col("_n").cast("long").alias("n_groups"), _parts(F.col("_a")).alias("_a"), _parts(F.col("_b")).alias("_b"))
+    last = lambda parts: F.transform(parts, lambda x: F.substring_index(x, ",", -1)).cast("array<int>")
+    links = F.arrays_zip(last(F.col("_a")).alias("a"), last(F.col("_b")).alias("b"))
+    text = F.array_join(F.zip_with("_a", "_b", lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    digest = F.sha2(text, 256)
+    some = F.col("n_groups") > 0
+    return rows.select(*keep, "n_a", "n_b", "n_groups", F.when(some, digest).otherwise("").alias("groups_sha256"), F.when(some, links).alias("links"))
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """(pair, count, best) of links (pair): how many hold each pair, and whether no other id of A has more with its id of B."""
-    n = links.groupBy("pair").agg(F.count(F.lit(1)).alias("count")).withColumn("to", F.col("pair").bitwiseAND(F.lit(MARK).cast("long")))
-    most = n.groupBy("to").agg(F.max("count").alias("most"))  # one row an id of B
-    return n.join(small(most, MARK), "to").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+def with_best(n: DataFrame) -> DataFrame:
+    """Counts (a, b, count) of pairs with `best`: whether no other a has more with its b."""
+    most = n.groupBy("b").agg(F.max("count").alias("most"))  # one row an id of B
+    return n.join(small(most, MARK), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, keep: list[str] | None = None) -> DataFrame:
@@ -186,12 +200,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep: list[str] | None =
     # What passes through is one struct, so that no name clashes with an inner one.
     found = align(tokens(docs.select(F.struct(*keep).alias("_doc"), "text"), path_a, path_b))
     rows = scratch.put("rows", found.withColumn("_row", F.monotonically_increasing_id()))
-    links = rows.select("_row", F.explode("links").alias("pair"))
-    counts = scratch.put("counts", pair_counts(links))
+    links = rows.select("_row", F.explode("links").alias("pair")).select("_row", "pair.a", "pair.b")
+    counts = scratch.put("counts", with_best(scratch.put("n", links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")))))
+    scratch.drop("n")
     if counts.count() <= BROADCAST_PAIRS:
-        each = links.join(F.broadcast(counts), "pair").withColumn("n", F.lit(1).cast("long"))
+        each = links.join(F.broadcast(counts), ["a", "b"]).withColumn("n", F.lit(1).cast("long"))
     else:
-        each = links.groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("n")).join(counts, "pair")
+        each = links.groupBy("_row", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(counts, ["a", "b"])
     sums = each.groupBy("_row").agg(F.sum("n").alias("n_links"), F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
     given = [c if c in ("n_a", "n_b", "n_groups", "groups_sha256") else F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ADDED]
     return rows.drop("links").join(sums, "_row", "left").select("_doc.*", *given)

@@ -25,14 +25,20 @@ def texts(spark, sf):
 # 11
 
 
-def brute_alignment(texts: list[str | None]) -> list[tuple]:
-    """By the contract, with the libraries alone: n_a, n_b, n_groups, n_links, n_best, count_sum, digest."""
+def libraries():
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
-    from tokenizers.decoders import ByteLevel
 
-    one, two = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
+    one = Tokenizer.from_file(A)
     one.encode_special_tokens = True
+    return one, SentencePieceProcessor(model_file=B)
+
+
+def brute_alignment(texts: list[str | None]) -> list[tuple]:
+    """By the contract, with the libraries alone: n_a, n_b, n_groups, n_links, n_best, count_sum, digest."""
+    from tokenizers.decoders import ByteLevel
+
+    one, two = libraries()
     shown = {}
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000:
@@ -103,11 +109,14 @@ def test_alignment_against_brute_force(spark, texts, monkeypatch, limit):
     assert sum(w[0] > 0 for w in want) > 60 and want[TEXTS.index("x▁y")][0] == 0 and want[TEXTS.index(" one")][0] > 0
 
 
-def test_units_of_pieces_encode_like_whole_texts(texts):
-    pieces = alignment.Pieces(B)
-    given = [t for t in texts if t and "▁" not in t]
-    for t, ids in zip(given, pieces.encode(given), strict=True):
-        assert ids is not None and ids.tolist() == pieces.model.encode(t), t[:40]
+def test_ids_are_the_libraries(texts):
+    """By rank or by the library, and where white space is very long."""
+    both, (one, two) = alignment.Both(A, B), libraries()
+    given = [t for t in texts if t and "▁" not in t] + [" " * 120_000 + "x", "x" + "\n\t " * 40_000, "a" * 60_000]
+    for t, a, b in zip(given, *both.encode(given), strict=True):
+        assert a.tolist() == one.encode(" " + t, add_special_tokens=False).ids, t[:40]
+        assert b.tolist() == two.encode(t), t[:40]
+    assert both.a.library is not None
 
 
 def test_alignment_query_is_the_operators(spark, sf):
