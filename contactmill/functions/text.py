@@ -1,17 +1,17 @@
 """Cleaning, normalising and recognising text, as Column to Column functions.
 
-All stay built-in expressions but the two Unicode decompositions (`strip_marks`, `ascii_letters`), which Spark lacks and
-which are Arrow UDFs. Missing values are null here; `blank` maps the usual spellings of a missing value to null.
+All are built-in expressions. Unicode decompositions, which Spark lacks, are tables made from the standard library when first asked
+for, and applied by `translate`. Missing values are null here; `blank` maps the usual spellings of a missing value to null.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 BLANKS = ("", "n/a", "n/a (invalid)", "unknown", "none", "null")
@@ -57,6 +57,11 @@ CHECK_FORMS = (
     r"(?i)\$([\d.]+[MmKk]?)\s*(?:to|[-–])\s*\$([\d.]+[MmKk]?)\s*(?:check|investment|initial)",
     r"(?i)(?:up to|typically|average)\s+\$?([\d.]+[MmKk]?)\s*(?:per|check|investment)",
 )
+ROLE_NOISE = (r"Based\s+In\s*", r"Specialty\s*", r"Specialists?\s*", r"Focus\s*", r"Location\s*", r"Office\b\s*:?\s*", r"Region\s*")
+ROLE_PLACES = (
+    "Bay Area", "San Francisco", "New York", "Palo Alto", "Boston", "London", "Berlin", "Tel Aviv", "Singapore", "Beijing", "Shanghai",
+    "Los Angeles", "Chicago", "Austin", "Seattle", "Menlo Park", "Mountain View", "Toronto", "Mumbai", "Bangalore", "Bengaluru",
+)
 PLACE_FORMS = (
     r"(?i)(?:based|headquartered|located|offices?)\s+in\s+([A-Z][a-zA-Z\s,]+?)(?:\.|,\s*(?:with|and)|$)",
     r"\b([A-Z][a-z]+(?:\s[A-Z][a-z]+)?,\s*(?:CA|NY|MA|TX|IL|WA|CO|GA|FL|PA|CT|DC|VA))\b",
@@ -80,20 +85,74 @@ def first_of(*options: Column) -> Column:
     return F.coalesce(*[blank(o) for o in options])
 
 
-@F.pandas_udf(T.StringType())
-def strip_marks(s: pd.Series) -> pd.Series:
+_HANGUL, _JAMO = (0xAC00, 0xD7A3), (0x1100, 0x1161, 0x11A7)
+
+
+@cache
+def _unmarked() -> tuple[str, str, dict[str, str]]:
+    """What each character is without its combining marks: letters and what replaces them, marks (replaced by nothing) last,
+    and the few that become several characters. Hangul syllables, which do too, follow a rule of their own."""
+    one: dict[str, str] = {}
+    gone, several = [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c) == "Mn":
+            gone.append(c)
+        elif unicodedata.decomposition(c):
+            plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+            if len(plain) == 1 and plain != c:
+                one[c] = plain
+            elif len(plain) != 1:
+                several[c] = plain
+    return "".join(one) + "".join(gone), "".join(one.values()), several
+
+
+@cache
+def _spelt() -> tuple[str, str, dict[str, str]]:
+    """The letters a to z that each character outside ASCII has in its compatibility form, in the same three parts; all characters
+    without any are left as they are."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.decomposition(c):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower() if "a" <= x <= "z")
+            if len(plain) == 1:
+                one[c] = plain
+            elif plain:
+                several[c] = plain
+    return "".join(one), "".join(one.values()), several
+
+
+def _letter_by_letter(c: Column, several: dict[str, str], hangul: bool = False) -> Column:
+    """The text with characters replaced by several others; texts that hold none aren't taken apart."""
+    table = F.create_map(*[x for k, v in several.items() for x in (F.lit(k), F.lit(v))]) if several else None
+    rare = "".join(f"\\x{{{ord(k):x}}}" for k in several) + (f"\\x{{{_HANGUL[0]:x}}}-\\x{{{_HANGUL[1]:x}}}" if hangul else "")
+    if not rare:
+        return c
+
+    def spelt(x: Column) -> Column:
+        out = F.coalesce(F.element_at(table, x), x) if several else x
+        if not hangul:
+            return out
+        n = F.ascii(x) - _HANGUL[0]
+        jamo = lambda at, count, start: F.substring(F.lit("".join(chr(start + i) for i in range(count))), at + 1, F.lit(1))
+        last = F.when(n % 28 > 0, jamo(n % 28, 28, _JAMO[2])).otherwise("")
+        syllable = F.concat(jamo(F.floor(n / 588).cast("int"), 19, _JAMO[0]), jamo(F.floor(n % 588 / 28).cast("int"), 21, _JAMO[1]), last)
+        return F.when((n >= 0) & (n <= _HANGUL[1] - _HANGUL[0]), syllable).otherwise(out)
+
+    return F.when(F.regexp_like(c, F.lit(f"[{rare}]")), F.array_join(F.transform(F.split(c, ""), spelt), "")).otherwise(c)
+
+
+def strip_marks(c: Column) -> Column:
     """Canonical decomposition without its combining marks (é to e)."""
-    return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
-
-
-@F.pandas_udf(T.StringType())
-def _ascii(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+    letters, plain, several = _unmarked()
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.translate(_letter_by_letter(c, several, hangul=True), letters, plain)).otherwise(c)
 
 
 def ascii_letters(c: Column) -> Column:
     """Compatibility decomposition, lower case, only a to z."""
-    return F.regexp_replace(F.lower(_ascii(c)), "[^a-z]", "")
+    letters, plain, several = _spelt()
+    lower = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spelt = F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.translate(_letter_by_letter(lower, several), letters, plain)).otherwise(lower)
+    return F.regexp_replace(spelt, "[^a-z]", "")
 
 
 def _cut_start(c: Column, options: tuple[str, ...], fold: bool = True) -> Column:
@@ -313,11 +372,34 @@ def usable_email(c: Column) -> Column:
 
 
 def role_text(c: Column) -> Column:
-    """Words of camel case parted, white space collapsed; null below 3 characters."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2"), r"\s+", " "))
+    """Words of camel case parted, page noise and places cut out, white space collapsed; null below 3 characters."""
+    t = F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")
+    for noise in ROLE_NOISE:
+        t = F.regexp_replace(t, f"(?i){noise}", " ")
+    # None of the places is within another, so one pass is as many.
+    t = F.regexp_replace(t, f"(?i){'|'.join(ROLE_PLACES)}", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
     return F.when(F.length(t) >= 3, t)
 
 
+def place(c: Column, blocks: Column | None = None) -> Column:
+    """A place: of the page's JSON-LD blocks (an array of JSON texts) the first address, else what the first form that
+    matches names; null if none."""
+
+    def address(block: Column) -> Column:
+        """City and region, or a short text; null where the block has neither."""
+        get = lambda path: F.get_json_object(block, f"$.address{path}")
+        city, region, whole = F.nullif(get(".addressLocality"), F.lit("")), F.nullif(get(".addressRegion"), F.lit("")), get("")
+        plain = ~F.startswith(whole, F.lit("{")) & ~F.startswith(whole, F.lit("[")) & (F.length(whole) < 100)
+        return F.when(city.isNotNull(), F.concat_ws(", ", city, region)).when(plain, whole)
+
+    found = F.coalesce(*[F.nullif(F.rtrim(F.trim(F.regexp_extract(c, p, 1)), F.lit(",")), F.lit("")) for p in PLACE_FORMS])
+    if blocks is None:
+        return found
+    first = F.get(F.filter(F.transform(blocks, address), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(first.isNotNull(), F.nullif(first, F.lit(""))).otherwise(found)
+
+
 def reject_email(c: Column, ignore: tuple[str, ...], domain: Column | None = None) -> Column:
     """P20: whether an address is unwanted: an ignored part, an odd length, or another domain than the one asked for."""
     bad = ~F.length(c).between(5, 60) | F.exists(F.array(F.lit(""), *map(F.lit, ignore)), lambda x: (x != "") & F.contains(F.lower(c), x))

@@ -109,12 +109,12 @@ def running_balance(ledger: DataFrame, user: str, amount: str, *order: str) -> D
 
 
 def spend(used: Column, left: Column) -> Column:
-    """Never more than is left."""
+    """Never more than is left; `prefix.ledger` keeps what is left."""
     return F.least(used, left)
 
 
 def chunks(df: DataFrame, order: list[str], size: int, parts: list[str]) -> DataFrame:
-    """Number of the batch of `size` rows, counted within `parts`."""
+    """Number of the batch of `size` rows, counted within `parts`; `prefix.chunks` counts over the whole table."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1) / size))
 
 

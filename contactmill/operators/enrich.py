@@ -81,3 +81,10 @@ def snowball(seen: DataFrame, named: DataFrame, known: DataFrame, order: str = "
     """Funds that a known fund's companies name as co-investors, first naming wins, known domains left out."""
     first = named.join(seen, "company", "left_semi").groupBy("fund").agg(F.min_by("company", order).alias("via"), F.min_by("domain", order).alias("domain"))
     return first.where("domain is not null").join(known.select("domain").distinct(), "domain", "left_anti")
+
+
+def sample_pairs(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """N of the distinct pairs (company, fund), the same ones each time: the least by a hash of the seed and the pair; a top-k,
+    not a full sort."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("company").cast("string"), F.col("fund").cast("string")))
+    return pairs.select("company", "fund").distinct().orderBy(h, "company", "fund").limit(n)

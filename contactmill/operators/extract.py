@@ -253,10 +253,27 @@ def profile_urls(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(PROFILE_URL), F.lit(0)), lambda u: F.rtrim(F.lower(u), F.lit("/")))))
 
 
+# Whose name a registry answer gives, and addresses that aren't a person's.
+OWNER_PREFIXES = ("Registrant Organization:", "Registrant Name:", "org-name:", "owner:", "Organization:")
+REGISTRY_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+REGISTRY_REFUSED = r"(?i)redacted|privacy|protected|noreply|abuse|hostmaster|postmaster|example\.com|icann\.org|iana\.org"
+
+
 def whois(text: Column) -> Column:
-    """registrant's name, organisation and first address of a registry answer."""
-    line = lambda k: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*Registrant {k}:\s*(.*)$", 1)), F.lit(""))
-    return F.struct(line("Name").alias("name"), line("Organization").alias("organization"), F.lower(line("Email")).alias("email"))
+    """Of a registry answer the first owner's name that is given and not redacted, its distinct addresses in order but for
+    the registry's own and redacted ones, and the first of them."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
+    value = lambda x: F.trim(F.regexp_extract(x, rf"(?i)^\s*(?:{'|'.join(OWNER_PREFIXES)})(.*)$", 1))
+    named = F.filter(F.transform(lines, value), lambda v: (F.length(v) > 2) & ~F.contains(F.upper(v), F.lit("REDACTED")))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REGISTRY_EMAIL), F.lit(0)), lambda e: F.btrim(F.lower(e), F.lit(".")))
+    emails = F.array_distinct(F.filter(found, lambda e: ~F.regexp_like(e, F.lit(REGISTRY_REFUSED))))
+    return F.struct(F.get(named, F.lit(0)).alias("name"), emails.alias("emails"), F.get(emails, F.lit(0)).alias("email"))
+
+
+def registry_contacts(answers: DataFrame) -> DataFrame:
+    """One contact a domain of registry answers (domain, answer) that have an address, its name the owner's or the domain."""
+    w = answers.select("domain", whois(F.col("answer")).alias("w")).where("w.email is not null")
+    return w.groupBy("domain").agg(F.max_by("w", F.struct("w.email", "w.name")).alias("w")).select("domain", F.coalesce("w.name", "domain").alias("name"), F.col("w.email").alias("email"), F.concat(F.lit("https://"), "domain").alias("website"))
 
 
 def result_urls(html: Column, param: str = "uddg") -> Column:

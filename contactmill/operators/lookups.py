@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactmill.functions import text as t
 
-from . import matching, patterns
+from . import matching, patterns, prefix
 
 # Mail providers by a part of the SPF include or of the MX host, in order, and the pattern each suggests.
 SPF_PROVIDERS = (
@@ -60,9 +60,10 @@ def fill_pattern(pattern: Column, first: Column, last: Column, domain: Column) -
 def domain_emails(people: DataFrame, found: DataFrame, leftover: bool = False) -> DataFrame:
     """(domain, seq, email, how) from addresses seen for a domain: best match by name, each address
     once (J8); with `leftover` the rest in order (J9). `people`: (domain, seq, first, last); `found`: (domain, email, pos)."""
-    pairs = matching.name_pairs(people, found.select("domain", "email"))
+    named = people.select("domain", "first", "last").distinct().withColumn("seq", F.lit(0).cast("long"))
     score = t.email_name_score(F.col("email"), F.col("first"), F.col("last"))
-    best = matching.greedy_match(people, pairs.select("domain", "seq", "email", score.alias("score")))
+    pairs = matching.name_pairs(named, found.select("domain", "email")).withColumn("score", score)
+    best = matching.greedy_match(people, pairs, alike=["first", "last"])
     out = best.withColumn("how", F.lit("name"))
     if leftover:
         rest = people.join(best.select("domain", "seq"), ["domain", "seq"], "left_anti").select("domain", "seq")
@@ -119,17 +120,39 @@ def discover_patterns(people: DataFrame, delivered: DataFrame, probes: int = 3)
     return c.groupBy("domain").agg(F.min_by("pattern", "pos").alias("pattern"))
 
 
-def guess_batch(people: DataFrame, observed: DataFrame, mx: DataFrame) -> DataFrame:
-    """People (domain, seq, first, last, email) without address get one by their domain's learned pattern (A13), else,
-    where the domain takes mail (mx: domain, has_mx), by the commonest pattern. Learned from observed rows only: guesses
-    are not learned from within a batch."""
-    known = patterns.learn(observed).select("domain", F.col("pattern").alias("_p"))
+def guess_batch(people: DataFrame, mx: DataFrame, order: list[str] = ("late", "seq"), blocks: int | None = None) -> DataFrame:
+    """Addresses for people (domain, seq, first, last, email) without one, in order, by what was learned before.
+
+    A person with an address is an observation of its pattern (A13). One without gets the domain's commonest pattern so far, the
+    one seen first in a tie; if nothing was seen yet and the domain takes mail (mx: domain, has_mx), the commonest
+    pattern of all, and that guess counts as an observation for later people of the domain. `late` is whether a person has no address,
+    so by default all addresses are learned from before any is guessed; with order=["seq"] people are taken as they come.
+    Returns (domain, seq, email, how): known, pattern, default or none.
+
+    A default is guessed at most once a domain: its guess is the first thing seen. So all counts are running sums, one a pattern,
+    over blocks of ordered rows; a domain of many people is no task's own.
+    """
     gate = mx.groupBy("domain").agg(F.max("has_mx").alias("_mx"))
-    out = people.join(known, "domain", "left").join(gate, "domain", "left")
+    rows = people.select("domain", "seq", "first", "last", "email").join(gate, "domain", "left")
+    named = (F.coalesce("first", F.lit("")) != "") & (F.coalesce("last", F.lit("")) != "")
+    rows = rows.withColumns({"late": F.col("email").isNull(), "_pattern": patterns.detect(F.col("email"), F.col("first"), F.col("last")), "_open": F.col("email").isNull() & named & F.coalesce("_mx", F.lit(False))})
+    rows = prefix.ordered(rows, ["domain", *order, *[c for c in ("seq",) if c not in order]], blocks)
+    rows = prefix.counts_before(rows, "domain", _seen=F.col("_pattern").isNotNull(), _asked=F.col("_open"))
+    default = F.col("_open") & (F.col("_seen") == 0) & (F.col("_asked") == 0)
+    rows = rows.withColumn("_default", default).withColumn("_saw", F.when(F.col("_default"), patterns.PATTERNS[0]).otherwise(F.col("_pattern")))
+    kinds = {f"_n{i}": F.col("_saw") == p for i, p in enumerate(patterns.PATTERNS)}
+    rows = prefix.counts_before(rows, "domain", **kinds)
+    # Which of equally common ones was seen first: its first place in the domain.
+    first = rows.where("_saw is not null").groupBy("domain", "_saw").agg(F.min(F.struct("_block", "_at")).alias("at"))
+    first = first.groupBy(F.col("domain").alias("_d")).agg(F.map_from_entries(F.collect_list(F.struct("_saw", "at"))).alias("_firsts"))
+    rows = rows.join(first, F.col("domain").eqNullSafe(F.col("_d")), "left")
+    # Fewest first: the greatest count, then the earliest place, so both are negated or kept for one `least`.
+    best = F.least(*[F.when(F.col(f"_n{i}") > 0, F.struct((-F.col(f"_n{i}")).alias("n"), F.col("_firsts")[p].alias("at"), F.lit(p).alias("p"))) for i, p in enumerate(patterns.PATTERNS)])["p"]
     made = lambda p: fill_pattern(p, F.col("first"), F.col("last"), F.col("domain"))
-    guess = F.when(F.col("_p").isNotNull(), made(F.col("_p"))).when(F.coalesce("_mx", F.lit(False)), made(F.lit(patterns.PATTERNS[0])))
-    how = F.when(F.col("email").isNotNull(), "known").when(guess.isNull(), "none").when(F.col("_p").isNotNull(), "pattern").otherwise("default")
-    return out.select("domain", "seq", F.coalesce("email", guess).alias("email"), how.alias("how"))
+    rows = rows.withColumn("_best", best)
+    guess = F.when(F.col("_default"), made(F.lit(patterns.PATTERNS[0]))).when(F.col("_best").isNotNull(), made(F.col("_best")))
+    how = F.when(F.col("email").isNotNull(), "known").when(guess.isNull(), "none").when(F.col("_default"), "default").otherwise("pattern")
+    return rows.select("domain", "seq", F.coalesce("email", guess).alias("email"), how.alias("how"))
 
 
 def validated(rows: DataFrame, results: DataFrame) -> DataFrame:

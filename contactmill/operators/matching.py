@@ -2,46 +2,81 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t
+from contactmill.session import new_folder
 
 THRESHOLD = 0.3
+#: Letters that a local part has at most.
+LOCAL = 64
 
 
-def name_pairs(people: DataFrame, emails: DataFrame, gram: int = 3) -> DataFrame:
+def name_pairs(people: DataFrame, emails: DataFrame) -> DataFrame:
     """(domain, seq, first, last, email) of people (domain, seq, first, last) and the addresses (domain, email) of their
-    domain whose local part contains the first or last name; all others score 0. Joined by the first letters of the names
-    and the pieces of the local parts, so people and addresses of a large domain are not all paired."""
+    domain whose local part contains the first or last name; all others score 0. Whole names meet the pieces of the local
+    parts that are as long as some name, so a joined pair is a pair of the result, and common beginnings pair nothing.
+    People of one name are joined as one."""
+    names = people.select("domain", "first", "last").distinct()
+    parts = names.select("domain", F.explode(F.array("first", "last")).alias("piece")).where("piece != ''").distinct()
+    # At most as many numbers as a local part has letters; longer names are in no address.
+    sizes = sorted(r[0] for r in parts.select(F.length("piece").alias("n")).where(F.col("n") <= LOCAL).distinct().collect())
     local = F.lower(F.substring_index("email", "@", 1))
-    pieces = F.flatten(F.transform(F.array(*map(F.lit, range(1, gram + 1))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(local) - n + 1)), lambda i: F.substring(local, i, n))))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(local) - n + 1), lambda i: F.substring(local, i, n))
+    pieces = F.flatten(F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length(local)), cut))
     at = emails.select("domain", "email").distinct().select("domain", "email", F.explode(F.array_distinct(pieces)).alias("piece"))
-    who = people.select("domain", "seq", "first", "last", F.explode(F.array_distinct(F.array(F.left("first", F.lit(gram)), F.left("last", F.lit(gram))))).alias("piece")).where("piece != ''")
-    hit = F.contains(local, F.col("first")) | F.contains(local, F.col("last"))
-    return who.join(at, ["domain", "piece"]).where(hit).select("domain", "seq", "first", "last", "email").distinct()
+    hits = parts.join(at, ["domain", "piece"])
+    by = lambda c: names.join(hits.withColumnRenamed("piece", c), ["domain", c]).select("domain", "first", "last", "email")
+    found = by("first").union(by("last")).distinct()
+    return people.select("domain", "seq", "first", "last").join(found, ["domain", "first", "last"]).select("domain", "seq", "first", "last", "email")
 
 
-def greedy_match(people: DataFrame, found: DataFrame, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:
-    """One address for each person: people in order take the best one still free, at `threshold` or above.
+def greedy_match(people: DataFrame, found: DataFrame, score: str = "score", threshold: float = THRESHOLD, alike: list[str] | None = None) -> DataFrame:
+    """One address for each person: people in order take the best one still free, at `threshold` or above; of equal scores
+    the address that sorts first. Returns (domain, seq, email).
 
-    `found` has (domain, seq, email, score). Sequential by nature, so a domain is one group; it is bounded by a domain's
-    people times its addresses, both of which are lists a site shows. Returns (domain, seq, email).
-    """
+    People (domain, seq, the columns `alike`) that agree in `alike` share one list of addresses, `found` (domain, the columns
+    `alike`, email, score); by default each person has an own one, by seq. Repeated people count once.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for seq, rows in pdf.sort_values(["seq", score, "email"], ascending=[True, False, True]).groupby("seq", sort=True):
-            for row in rows.itertuples():
-                if getattr(row, score) >= threshold and row.email not in used:
-                    used.add(row.email)
-                    out.append((row.domain, seq, row.email))
-                    break
-        return pd.DataFrame(out, columns=["domain", "seq", "email"])
-
-    pairs = people.select("domain", "seq").join(found.where(F.col(score) >= threshold), ["domain", "seq"])
-    return pairs.groupBy("domain").applyInPandas(run, "domain string, seq long, email string")
+    The same result by deferred acceptance in rounds: everyone stands at a place of their list, an address keeps the earliest of
+    those who stand there, and the others move on to the next place that no earlier one holds. Who has left a place has
+    left it to someone earlier, so with one order for all nobody moves too far, and the end is the one of taking turns.
+    Of people with one list, the n-th in order gets a later place than the one before, so they move on together. A round is
+    a few joins; what it starts from is stored.
+    """
+    alike = alike or ["seq"]
+    spark, folder, count = people.sparkSession, new_folder(people.sparkSession, "match"), iter(range(1 << 30))
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    list_key = F.md5(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in alike])).alias("list")
+    place = F.row_number().over(Window.partitionBy("domain", "list").orderBy(F.desc(score), "email"))
+    lists = found.where(F.col(score) >= threshold).select("domain", list_key, "email", score).groupBy("domain", "list", "email").agg(F.max(score).alias(score))
+    lists = put(lists.select("domain", "list", "email", place.alias("place")))
+    number = F.row_number().over(Window.partitionBy("domain", "list").orderBy("seq"))
+    standing = people.select("domain", "seq", list_key).distinct().join(lists.select("domain", "list").distinct(), ["domain", "list"], "left_semi")
+    standing = put(standing.select("domain", "list", "seq", number.alias("n")).withColumn("place", F.col("n")))
+    while True:
+        at = standing.join(lists, ["domain", "list", "place"])  # who stands behind the end of the list is gone
+        holders = at.groupBy("domain", "email").agg(F.min("seq").alias("holder"))
+        at = put(at.join(holders, ["domain", "email"]).select("domain", "list", "seq", "n", "place", "email", "holder"))
+        lost = at.where("seq > holder")
+        if lost.isEmpty():
+            return at.select("domain", "seq", "email")
+        held = at.where("seq = holder").select("domain", "email", "holder")
+        ahead = lost.select("domain", "list", "seq", F.col("place").alias("left_at")).join(lists, ["domain", "list"]).where("place > left_at")
+        free = ahead.join(held, ["domain", "email"], "left").where("holder is null or holder > seq")
+        moved = free.groupBy("domain", "list", "seq").agg(F.min("place").alias("to"))
+        # Without a free place: behind the end. Then nobody stands before or beside an earlier one of the same list.
+        end = lists.groupBy("domain", "list").agg((F.max("place") + 1).alias("end"))
+        now = at.select("domain", "list", "seq", "n", "place", (F.col("seq") > F.col("holder")).alias("out")).join(moved, ["domain", "list", "seq"], "left").join(end, ["domain", "list"])
+        now = now.withColumn("place", F.when(F.col("out"), F.coalesce("to", "end")).otherwise(F.col("place")))
+        least = F.max(F.col("place") - F.col("n")).over(Window.partitionBy("domain", "list").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        standing = put(now.withColumn("place", F.col("n") + least).where("place < end").select("domain", "list", "seq", "n", "place"))
 
 
 def best_match(pairs: DataFrame, score: str = "score", threshold: float = THRESHOLD) -> DataFrame:

@@ -18,6 +18,12 @@ ROLE_CODES = (("partner", 4), ("gp", 4), ("managing director", 4), ("principal",
 SECTORS = {"sector_ai": ("ai", "artificial", "machine learning"), "sector_saas": ("saas", "software"), "sector_fintech": ("fintech", "financial"), "sector_health": ("health", "bio", "medical")}
 CHECK_SCALE = 10_000_000
 
+#: The features in order.
+FEATURES = [
+    "stage_encoded", "sector_count", *SECTORS, "sector_other", "has_email", "email_verified", "email_catch_all", "has_linkedin", "role_encoded", "check_size_min_normalized", "check_size_max_normalized", "times_seen",
+    "days_since_scraped", "has_website",
+]
+
 
 def stage_code(stage: Column) -> Column:
     """Place of a stage, -1 if unknown."""

@@ -104,14 +104,27 @@ def discovered_patterns(t: Tables) -> DataFrame:
     return lookups.discover_patterns(p, delivered)
 
 
-@query(f"""with {_PEOPLE}, x as (select *, split_part(domain, '.', 1)[2:]::bigint as n from p) select domain, seq, case when seq % 7 = 0 then 'own@x.test' when n % 3 = 0 then last || '@' || domain when n % 3 = 1 then first || '.' || last || '@' || domain end as email,
-case when seq % 7 = 0 then 'known' when n % 3 = 0 then 'pattern' when n % 3 = 1 then 'default' else 'none' end as how from x""")
+# Each person's address if known, as the shape that it has, in the order in which people are taken.
+_TAKEN = """x as (select p.*, split_part(domain, '.', 1)[2:]::bigint as n, case when seq % 7 = 0 and seq % 2 = 0 then '{last}@{domain}' when seq % 7 = 0 then '{first}@{domain}' end as shape from p),
+y as (select *, case when n % 3 = 0 or shape is null then shape end as known from x),
+f as (select domain, min(seq) filter (where known is not null) as seen, min(seq) filter (where known is null and n % 3 <> 2) as asked from y group by domain),
+o as (select y.*, known is null and n % 3 <> 2 and y.seq = f.asked and coalesce(f.seen > f.asked, true) as fresh from y join f using (domain)),
+s as (select *, case when fresh then '{first}.{last}@{domain}' else known end as saw from o),
+c as (select a.domain, a.seq, b.saw, count(*) as k, min(b.seq) as early from s a join s b on a.domain = b.domain and b.seq < a.seq where b.saw is not null group by all),
+w as (select domain, seq, arg_min(saw, (-k, early)) as best from c group by all),
+z as (select s.*, case when fresh then '{first}.{last}@{domain}' else best end as use from s left join w using (domain, seq))
+select domain, seq, case when known is not null then case known when '{last}@{domain}' then last else first end || '@' || domain when use is not null then replace(replace(replace(use, '{first}', first), '{last}', last), '{domain}', domain) end as email,
+case when known is not null then 'known' when fresh then 'default' when use is not null then 'pattern' else 'none' end as how from z"""
+
+
+@query(f"with {_PEOPLE}, {_TAKEN}")
 def guess_batch(t: Tables) -> DataFrame:
-    """Learned pattern, else the commonest one where the domain takes mail."""
-    rows = _people(t).withColumn("email", F.when(F.col("seq") % 7 == 0, "own@x.test"))
-    nations = t.nation.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".test")).alias("domain"), F.col("n_nationkey").alias("n"))
-    observed = nations.where("n % 3 = 0").select("domain", F.explode(F.array(F.lit("{last}@{domain}"), F.lit("{first}@{domain}"), F.lit("{last}@{domain}"))).alias("pattern"), F.col("n").alias("seq"))
-    return lookups.guess_batch(rows, observed, nations.select("domain", (F.col("n") % 3 == 1).alias("has_mx")))
+    """People as they come; what was seen or guessed before them tells the pattern. Each third domain has addresses, the next only takes mail."""
+    p = _people(t).withColumn("n", F.substring_index(F.substring("domain", 2, 9), ".", 1).cast("long"))
+    own = F.when(F.col("seq") % 7 == 0, F.concat(F.when(F.col("seq") % 2 == 0, F.col("last")).otherwise(F.col("first")), F.lit("@"), "domain"))
+    rows = p.withColumn("email", F.when(F.col("n") % 3 == 0, own))
+    gate = t.nation.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".test")).alias("domain"), (F.col("n_nationkey") % 3 != 2).alias("has_mx"))
+    return lookups.guess_batch(rows, gate, order=["seq"])
 
 
 @query("select domain, pattern, best, total from (values ('a.test', '{last}@{domain}', 5, 9), ('b.test', '{first}@{domain}', 2, 2)) as v(domain, pattern, best, total)")

@@ -129,6 +129,15 @@ def pattern_statistics(t: Tables) -> DataFrame:
     return patterns.statistics(_observed(t))
 
 
+@query(f"""with {_PEOPLE}, {_CAND}, {_OBS}, d as (select domain, pattern, count(*) as n, min(seq) as first from obs group by all), g as (select domain, arg_max(pattern, (n, -first)) as pattern, max(n) as best, sum(n)::bigint as n, min(first) as first from d group by domain)
+select * from (select 'group' as level, domain, pattern, n, null::bigint as groups, round(best / n::double, 3) as share from g order by n desc, first limit 50)
+union all select 'value', null, pattern, count(*), null, round(count(*) / sum(count(*)) over ()::double, 3) from obs group by pattern
+union all select 'total', null, null, count(*), count(distinct domain), 1.0::double from obs""")
+def pattern_levels(t: Tables) -> DataFrame:
+    """Patterns in all, over all domains, and of the fifty domains of most observations, in one pass."""
+    return patterns.levels(_observed(t), "domain", "pattern", "seq")
+
+
 @query(f"""with {_PEOPLE}, {_CAND}, {_OBS}, {_LEARN}, l as (select domain, pattern as lp, case when total >= 2 and best / total >= 0.67::double then 'domain_lock' else 'domain_hint' end as source from best where rn = 1 and domain not like '%1.test'),
 s as (select seq, c.pattern, email, coalesce(source, 'base_rate') as source, round(case when c.pattern is not distinct from lp then case source when 'domain_lock' then 0.90::double when 'domain_hint' then 0.72::double end else 0.1::double * 0.6::double end * case when seq % 4 = 0 then 0.3::double else 1.0::double end, 4) as score from cand c left join l on c.dom = l.domain)
 select seq, pattern, email, source, score, case when score >= 0.75 then 'HIGH' when score >= 0.4 then 'MEDIUM' else 'LOW' end as tier, rn::bigint as rank from (select *, row_number() over (partition by seq order by score desc, pattern desc, email desc) as rn from s) where rn <= 2""")
@@ -142,6 +151,27 @@ def pattern_confidence(t: Tables) -> DataFrame:
     return patterns.top(rows, ["seq"]).select("seq", "pattern", "email", "source", "score", patterns.confidence_tier(F.col("score")).alias("tier"), "rank")
 
 
+_RATE = "case c.pattern " + " ".join(f"when '{k}' then {v}" for k, v in patterns.BASE_RATES.items()) + " end::double"
+
+
+@query(f"""with {_PEOPLE}, {_CAND}, {_OBS}, {_LEARN}, l as (select domain, pattern as lp, case when total >= 2 and best / total >= 0.67::double then 'domain_lock' else 'domain_hint' end as source, case when total >= 2 and best / total >= 0.67::double then least(0.92::double, 0.70::double + 0.10::double * total) else least(0.75::double, 0.50::double + 0.08::double * total) end as conf from best where rn = 1 and domain in (select min(dom) over (partition by length(dom)) from p)),
+q as (select p.*, coalesce(lp, '{patterns.COMMONEST}') as lp, coalesce(source, 'base_rate') as source, coalesce(conf, 0.41::double) as conf, seq % 5 <> 0 as mx, case seq % 6 when 0 then la || '@' || dom when 1 then 'zz@' || dom end as own from p left join l on p.dom = l.domain),
+s as (select q.dom, q.seq, conf, c.pattern, c.email, source, round(case when c.pattern = lp then case source when 'domain_lock' then 0.90::double when 'domain_hint' then 0.72::double else {_RATE} end else {_RATE} * 0.6::double end * case when mx then 1.0::double else 0.3::double end, 4) as score from q join cand c on c.seq = q.seq where own is null),
+r as (select *, row_number() over (partition by seq order by score desc, pattern desc, email desc) as rank from s),
+a as (select dom, seq, conf, pattern, email, source, score, rank from r where rank <= 2 union all
+  select dom, seq, conf, case when seq % 6 = 1 then 'other' else '{{last}}@{{domain}}' end, own, 'scraped', case when mx then least(0.98::double, conf + 0.15::double) else 0.6::double end, 1 from q where own is not null)
+select dom as domain, seq, conf as confidence, pattern, email, source, score, rank::bigint as rank, case when score >= 0.75 then 'HIGH' when score >= 0.4 then 'MEDIUM' else 'LOW' end as tier from a""")
+def ranked_addresses(t: Tables) -> DataFrame:
+    """Likeliest addresses with the confidence in each domain's pattern; scraped ones pass through."""
+    people = _people(t)
+    lowest = people.groupBy(F.length("domain").alias("n")).agg(F.min("domain").alias("domain"))
+    learned = patterns.learn(_observed(t)).join(lowest.select("domain"), "domain", "left_semi")
+    own = F.when(F.col("seq") % 6 == 0, F.concat("last", F.lit("@"), "domain")).when(F.col("seq") % 6 == 1, F.concat(F.lit("zz@"), "domain"))
+    seen = people.select("domain", "seq", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("old@"), "domain").alias("email")), F.struct(F.lit(1).alias("pos"), own.alias("email")))).alias("x")).select("domain", "seq", "x.*")
+    scraped = matching.last_by_key(seen.where("seq % 6 < 2"), ["domain", "seq"], "pos", "email")
+    return patterns.rank_addresses(people.withColumn("has_mx", F.col("seq") % 5 != 0), learned, scraped)
+
+
 @query(f"""with {_PEOPLE}, {_CAND} select c.seq, c.pattern, case when split_part(email, '@', 1) = fi || '.' || la then 1.0::double when split_part(email, '@', 1) = fi then 0.8::double when split_part(email, '@', 1) = fi || la then 0.9::double when split_part(email, '@', 1) in (fi[1] || la, fi[1] || '.' || la) then 0.85::double
 when split_part(email, '@', 1) = la then 0.6::double when split_part(email, '@', 1) = fi || '_' || la then 0.9::double when split_part(email, '@', 1) = la || '.' || fi then 0.8::double else 0.0::double end as score from cand c join p using (seq)""")
 def email_name_match(t: Tables) -> DataFrame:
@@ -166,13 +196,23 @@ def fuzzy_ratio(t: Tables) -> DataFrame:
     return fuzzy.merge_similar(rows, "name", "p_partkey").select("p_partkey", "merged_key")
 
 
-@query()
+_SHOWN = """s as (select distinct dom, fi[1] || la as x from p where seq % 3 <> 0),
+j as (select p.dom, seq, x || '@' || p.dom as email, case when fi = '' or la = '' then 0 when x = fi || '.' || la then 1 when x = fi then 0.8 when x = fi || la then 0.9 when x in (fi[1] || la, fi[1] || '.' || la) then 0.85
+when x = la then 0.6 when x = fi || '_' || la then 0.9 when x = la || '.' || fi then 0.8 when contains(x, fi) and contains(x, la) then 0.7 when contains(x, fi) then 0.4 when contains(x, la) then 0.5 else 0 end::double as score from p join s using (dom))"""
+
+
+@query(f"""with recursive {_PEOPLE}, {_SHOWN}, l as (select dom, seq, list(email order by score desc, email) as wish from j where score >= 0.3 group by all),
+o as (select *, row_number() over (partition by dom order by seq) as n from l),
+g as (select dom, 0::bigint as n, null::bigint as seq, null::varchar as email, []::varchar[] as used from (select distinct dom from o)
+  union all select o.dom, o.n, o.seq, list_filter(o.wish, lambda w: not list_contains(g.used, w))[1], list_append(g.used, list_filter(o.wish, lambda w: not list_contains(g.used, w))[1]) from g join o on o.dom = g.dom and o.n = g.n + 1)
+select dom as domain, seq, email from g where email is not null""")
 def greedy_match(t: Tables) -> DataFrame:
-    """Addresses of a domain to its people, one each."""
+    """Addresses of a domain to its people, one each; in SQL, people take turns."""
     people = _people(t)
     shown = people.where("seq % 3 <> 0").select("domain", F.concat(F.left("first", F.lit(1)), "last", F.lit("@"), "domain").alias("email")).distinct()
-    pairs = matching.name_pairs(people, shown).withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
-    return matching.greedy_match(people, pairs.select("domain", "seq", "email", "score"))
+    named = people.select("domain", "first", "last").distinct().withColumn("seq", F.lit(0))
+    pairs = matching.name_pairs(named, shown).withColumn("score", t_.email_name_score(F.col("email"), F.col("first"), F.col("last")))
+    return matching.greedy_match(people, pairs, alike=["first", "last"])
 
 
 @query("""with p as (select p_partkey as seq, split_part(p_name, ' ', 1) as f, split_part(p_name, ' ', 2) as l, lower(replace(p_brand, '#', '')) || '.test' as domain from part),

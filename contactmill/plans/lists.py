@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t_
-from contactmill.operators import analytics, dedupe
+from contactmill.operators import analytics, dedupe, prefix
 from contactmill.session import new_folder
-from contactmill.sources import readers, sinks
+from contactmill.sources import formats, readers, sinks
+from contactmill.streaming import streams
 
 from .base import Tables, query
 
@@ -58,6 +59,42 @@ def newest_filings(t: Tables) -> DataFrame:
     return readers.newest(readers.company_index(t.supplier.select(line.alias("value"))), 20).select("company", F.col("filed").cast("string").alias("filed"), "cik", "file")
 
 
+def _index_files(t: Tables) -> str:
+    """A folder of filing indexes, one file a part of the suppliers."""
+    folder = new_folder(t.spark, "filings")
+    line = F.concat(F.rpad("s_name", 62, " "), F.when(_n() % 3 == 2, "10-K").otherwise("D/A"), F.lit("   "), F.lpad(_n().cast("string"), 8, "0"), F.lit("  2001-0"), _n() % 9 + 1, F.lit("-15  f/"), _n(), F.lit(".txt"))
+    t.supplier.select(line.alias("value")).repartition(3).write.text(folder)
+    return folder
+
+
+@query("select s_suppkey::varchar as cik, s_name as company from supplier where s_suppkey % 3 <> 2")
+def filing_source(t: Tables) -> DataFrame:
+    """Filing indexes by format name, two of their columns."""
+    formats.register(t.spark)
+    return t.spark.read.format("filing_index").schema("cik string, company string").option("path", _index_files(t)).load()
+
+
+@query("select s_name as company, 'D/A' as form, s_suppkey::varchar as cik, '2001-0' || (s_suppkey % 9 + 1) || '-15' as filed, 'f/' || s_suppkey || '.txt' as file from supplier where s_suppkey % 3 <> 2")
+def filing_stream(t: Tables) -> DataFrame:
+    """Filing indexes as a stream, which is started again when more files have come."""
+    formats.register(t.spark)
+    path, out = _index_files(t), new_folder(t.spark, "filing-stream")
+    for _ in range(2):
+        streams.run_once(t.spark.readStream.format("filing_index").option("path", path).load(), out)
+    return t.spark.read.parquet(f"{out}/out").withColumn("filed", F.col("filed").cast("string"))
+
+
+@query("select s_name as name, case when s_suppkey % 2 = 0 then 'Partner' end as role, 'N' || s_nationkey as location, 'openvc' as source from supplier where s_suppkey % 5 <> 0")
+def card_source(t: Tables) -> DataFrame:
+    """Cards by format name and adapter."""
+    formats.register(t.spark)
+    folder = new_folder(t.spark, "cards")
+    name = F.when(_n() % 5 == 0, " ").otherwise(F.col("s_name"))
+    card = F.struct(F.lit(" ").alias("name"), name.alias("title"), F.when(_n() % 2 == 0, "Partner").otherwise("N/A").alias("position"), F.concat(F.lit("N"), "s_nationkey").alias("city"))
+    t.supplier.select(F.to_json(card).alias("value")).repartition(3).write.text(folder)
+    return t.spark.read.format("adapter_cards").schema("name string, role string, location string, source string").option("path", folder).option("adapter", "openvc").load()
+
+
 @query("select s_name as name, case when s_suppkey % 2 = 0 then 'Partner' end as role, 'N' || s_nationkey as location, 'openvc' as source from supplier where s_suppkey % 5 <> 0")
 def adapter_cards(t: Tables) -> DataFrame:
     """Cards by an adapter of the registry: the first selector that isn't blank; cards without name left out."""
@@ -159,17 +196,41 @@ def run_totals(t: Tables) -> DataFrame:
     return analytics.run_totals(rows)
 
 
-@query(f"with {_LEADS} select fund, name, lead_score, ((row_number() over (partition by fund order by lead_score desc, name) - 1) // 5)::bigint as batch from leads where lead_score >= 80")
+@query(f"with {_LEADS} select fund, name, lead_score, ((row_number() over (order by lead_score desc, name, fund) - 1) // 5)::bigint as batch from leads where lead_score >= 80")
 def hot_messages(t: Tables) -> DataFrame:
-    """K9: hot leads of each fund in messages of five."""
-    return sinks.hot_messages(_leads(t), ["fund"]).select("fund", "name", "lead_score", "batch")
+    """K9: all hot leads in messages of five."""
+    return sinks.hot_messages(_leads(t)).select("fund", "name", "lead_score", "batch")
 
 
-@query(f"""with {_LEADS} select fund as company, email as "Email", ((row_number() over (partition by fund order by email) - 1) // 100)::bigint as batch from leads where email is not null""")
+@query(f"""with {_LEADS} select fund as company, email as "Email", ((row_number() over (order by email) - 1) // 100)::bigint as batch from leads where email is not null""")
 def crm_batches(t: Tables) -> DataFrame:
-    """Fields renamed for the receiver, rows in numbered batches."""
+    """Fields renamed for the receiver, all rows in numbered batches."""
     rows = _leads(t).where("email is not null").select("fund", "email")
-    return sinks.upload_batches(rows, ["company"], rename={"fund": "company"}).withColumnRenamed("email", "Email")
+    return sinks.upload_batches(rows, ["email"], rename={"fund": "company"}).withColumnRenamed("email", "Email")
+
+
+@query(f"""with {_LEADS} select name as "Name", email as "Email", lead_score::varchar as "Lead Score", (((row_number() over (order by lead_score desc, name) - 1) // 1000)::bigint)::varchar as page from leads where lead_score >= 20 and email is not null and c_mktsegment <> 'MACHINERY'""")
+def paged_export(t: Tables) -> DataFrame:
+    """K5: filtered contacts as CSV in pages of a thousand, best first, read again."""
+    path = new_folder(t.spark, "pages")
+    rows = _leads(t).where(~F.array_contains("focus_areas", "MACHINERY"))
+    sinks.write_pages(rows, path, [F.desc("lead_score"), "name"], min_score=20, score="lead_score", has_email=True)
+    return t.spark.read.csv(path, header=True).select("Name", "Email", "Lead Score", "page")
+
+
+@query("select o_orderkey, o_totalprice, ((row_number() over (order by o_totalprice desc, o_orderkey) - 1) // 5000)::bigint as batch from orders")
+def global_batches(t: Tables) -> DataFrame:
+    """Batches of five thousand over all rows, in one order."""
+    return prefix.chunks(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 5000)
+
+
+@query("select 'weights: ' || count(*) || chr(10) as text from customer")
+def stored_config(t: Tables) -> DataFrame:
+    """A configuration that replaces another one, read again."""
+    path = f"{new_folder(t.spark, 'config')}/config.yaml"
+    for n in (0, t.customer.count()):
+        sinks.write_config(t.spark, f"weights: {n}\n", path)
+    return t.spark.createDataFrame([(sinks.read_config(t.spark, path),)], "text string")
 
 
 @query("select min(url) as value from pages where nullif(regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#]*)', 1)), '^www\\.', ''), '') is not null group by nullif(regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#]*)', 1)), '^www\\.', ''), '')")

@@ -99,16 +99,31 @@ def address_rejects(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", t_.reject_email(e, ("noreply",), F.lit("x.test")).alias("unwanted"))
 
 
-@query("select s_suppkey, case s_suppkey % 3 when 0 then 'Managing Partner' when 1 then 'Vice President Oslo' end as role, case s_suppkey % 3 when 0 then 'Ann Fox' when 1 then 'Bob Li' else 'Cy' end as person, case s_suppkey % 3 when 0 then 'checks of $1M to $5M' when 1 then '$250k - $2M initial' end as checks, case s_suppkey % 3 when 0 then 'based in Oslo.' when 1 then 'Austin, TX' end as place from supplier")
+@query("select s_suppkey, case s_suppkey % 3 when 0 then 'Managing Partner' when 1 then 'Vice President Oslo' else 'Investor Relations' end as role, case s_suppkey % 3 when 0 then 'Ann Fox' when 1 then 'Bob Li' else 'Cy' end as person, case s_suppkey % 3 when 0 then 'checks of $1M to $5M' when 1 then '$250k - $2M initial' end as checks, case s_suppkey % 3 when 0 then 'Oslo' when 1 then 'Austin, TX' else 'City' || s_suppkey || ', Vestland' end as place from supplier")
 def prose_fields(t: Tables) -> DataFrame:
-    """Roles, salutations, check sizes and places from prose."""
+    """Roles, salutations, check sizes and places from prose, places from JSON-LD first."""
     m = _n() % 3
     pick = lambda a, b, c: F.when(m == 0, a).when(m == 1, b).otherwise(c)
-    role = t_.role_text(pick("ManagingPartner", "Vice  President\nOslo", "x"))
+    role = t_.role_text(pick("ManagingPartner Menlo Park", "Vice  President\nOslo", "Based InBay AreaSpecialtySpecialistsFocusInvestor Relations"))
     person = t_.clean_person_name(pick("Meet Ann Fox..", "Dr. Bob Li", "Cy"))
     checks = t_.first_match(pick("We write checks of $1M to $5M early", "from $250k - $2M initial", "nothing"), t_.CHECK_FORMS)
-    place = t_.first_match(pick("We are based in Oslo.", "Write to Austin, TX today", "nowhere"), t_.PLACE_FORMS)
-    return t.supplier.select("s_suppkey", role.alias("role"), person.alias("person"), checks.alias("checks"), place.alias("place"))
+    blocks = F.array(F.lit('{"@type": "WebSite"}'), pick('{"address": {"addressRegion": "TX"}}', '{"name": "x"}', F.concat(F.lit('{"address": {"addressLocality": "City'), _n(), F.lit('", "addressRegion": "Vestland"}}'))))
+    where = t_.place(pick("We are based in Oslo.", "Write to Austin, TX today", "based in Paris."), blocks)
+    return t.supplier.select("s_suppkey", role.alias("role"), person.alias("person"), checks.alias("checks"), where.alias("place"))
+
+
+@query("""with a as (select s_suppkey, 'd' || s_suppkey || '.test' as domain, case s_suppkey % 4 when 0 then 'Blue ' || s_name when 1 then s_name when 2 then 'd' || s_suppkey || '.test' end as name, case when s_suppkey % 4 <> 3 then 'ann' || s_suppkey || '@x.test' end as email from supplier)
+select c_custkey, coalesce(a.email, case when c_custkey % 2 = 0 then 'own@x.test' end) as email, a.name as registrant from customer left join a on a.email is not null and a.s_suppkey = c_custkey % (select count(*) from supplier)""")
+def registry_emails(t: Tables) -> DataFrame:
+    """registrants' names and addresses of registry answers, joined to contacts by domain."""
+    m = _n() % 4
+    line = F.when(m == 0, F.concat(F.lit("Domain: x\r\n  org-name: REDACTED FOR PRIVACY\r\nowner:   Blue "), "s_name", F.lit("\r\nOrganization: No"))).when(m == 1, F.concat(F.lit("Registrant Name: A\nregistrant organization: "), "s_name")).otherwise("Registrant Name: Redacted")
+    address = F.when(m == 3, "abuse@registrar.test hostmaster@x.test a@iana.org").otherwise(F.concat(F.lit("privacy@x.test Ann"), _n(), F.lit("@X.test. bob@y.test")))
+    answers = t.supplier.select(F.concat(F.lit("d"), _n(), F.lit(".test")).alias("domain"), F.concat(line, F.lit("\nEmail: "), address).alias("answer"))
+    found = extract.registry_contacts(answers).select("domain", F.col("name").alias("registrant"), F.col("email").alias("found"))
+    count = F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("many")))  # one row
+    rows = t.customer.join(count).select("c_custkey", F.concat(F.lit("d"), F.col("c_custkey") % F.col("many"), F.lit(".test")).alias("domain"), F.when(F.col("c_custkey") % 2 == 0, "own@x.test").alias("own"))
+    return rows.join(found, "domain", "left").select("c_custkey", F.coalesce("found", "own").alias("email"), "registrant")
 
 
 @query("select s_suppkey, s_suppkey % 3 <> 2 as team, case s_suppkey % 3 when 0 then 'homepage mentions ''board seat'';Ann bio mentions ''board member''' when 1 then 'news: ''Ann joins'' mentions ''joins the board''' else '' end as board from supplier")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.operators import analytics as a
-from contactmill.operators import dedupe, enrich, matching, state
+from contactmill.operators import dedupe, enrich, matching, patterns, state
 from contactmill.sources import readers
 
 from .base import Tables, query
@@ -68,6 +68,17 @@ def pattern_source_stats(t: Tables) -> DataFrame:
     return a.breakdown(t.lineitem, ["l_returnflag", "l_linestatus"])
 
 
+@query("""with x as (select l_suppkey, l_returnflag || l_linestatus as flags, l_orderkey * 10 + l_linenumber as k from lineitem), c as (select l_suppkey, flags, count(*) as n, min(k) as first from x group by all),
+g as (select l_suppkey, arg_max(flags, (n, -first)) as flags, max(n) as best, sum(n)::bigint as n, min(first) as first from c group by l_suppkey)
+select * from (select 'group' as level, l_suppkey, flags as status, n, null::bigint as groups, round(best / n::double, 3) as share from g order by n desc, first limit 50)
+union all select 'value', null, flags, count(*), null, round(count(*) / sum(count(*)) over ()::double, 3) from x group by flags
+union all select 'total', null, null, count(*), count(distinct l_suppkey), 1.0::double from x""")
+def status_levels(t: Tables) -> DataFrame:
+    """Statuses in all, their shares, and the fifty suppliers of most lines with their commonest status."""
+    rows = t.lineitem.select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return patterns.levels(rows, "l_suppkey", "status", "k")
+
+
 @query(f"select count(*) as total, count(*) filter (where event_type <> 'error') as ok, count(*) filter (where event_type = 'error') as failed, round(avg(v), 2) as avg_duration from (select *, case when event_type <> 'view' then value end as v from events) where ts > timestamp '{EVENTS_AS_OF}' - interval 7 days and ts <= timestamp '{EVENTS_AS_OF}'")
 def crawl_health(t: Tables) -> DataFrame:
     """A6."""
@@ -224,6 +235,12 @@ def snowball_join(t: Tables) -> DataFrame:
     return enrich.snowball(seen, named, t.supplier.where("s_suppkey < 10").select(F.concat(F.lit("d"), "s_suppkey").alias("domain")))
 
 
+@query("select company, fund from (select distinct l_partkey as company, l_suppkey as fund from lineitem) order by md5('42|' || company || '|' || fund), company, fund limit 500")
+def snowball_sample(t: Tables) -> DataFrame:
+    """Five hundred of the stored pairs of company and fund, the same ones each time."""
+    return enrich.sample_pairs(t.lineitem.select(F.col("l_partkey").alias("company"), F.col("l_suppkey").alias("fund")), 500)
+
+
 @query("select vertical, count(*) as n from (select case when c_mktsegment in ('AUTOMOBILE', 'MACHINERY') then 'industry' else 'home' end as vertical from customer where trim(c_name) <> '') group by 1")
 def vertical_counts(t: Tables) -> DataFrame:
     """A23."""

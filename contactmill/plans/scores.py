@@ -104,3 +104,20 @@ def ml_quality_score(t: Tables) -> DataFrame:
     rows = feats.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     model, _ = ml.train(rows, ["n_words", "distinct_part", "symbols", "capitals", "word_length"], "label", "doc_id")
     return ml.predict(model, feats).select("doc_id", "ml_score", "confidence")
+
+
+def lead_rows(t: Tables) -> DataFrame:
+    """Leads with features and whether their score is a good one."""
+    c = F.col
+    rows = leads(t).withColumnRenamed("sectors", "focus_areas").withColumn("website", F.when(c("seq") % 4 != 0, "x.test"))
+    score = scoring.total(PROFILE, c("stage"), c("focus_areas"), c("check_size"), c("scraped_at"), c("role"), c("email"), c("email_status"), c("linkedin"), c("times_seen"))
+    label = rows.select("seq", ml.target(score).cast("double").alias("label"))
+    return ml.lead_features(rows, "seq", PROFILE.as_of).join(label, "seq")
+
+
+@query()
+def ml_lead_score(t: Tables) -> DataFrame:
+    """A model of good leads, trained on the 17 features and the rule score of 60 or more."""
+    rows = lead_rows(t)
+    model, _ = ml.train(rows, ml.FEATURES, "label", "seq", rounds=20, trees=20)
+    return ml.predict(model, rows).select("seq", "ml_score", "confidence", "label")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactmill.functions import text as t_
-from contactmill.operators import extract, scoring, state
+from contactmill.operators import extract, phrases, scoring, state
 from contactmill.sources import readers
 
 from .base import Tables, query
@@ -39,6 +39,14 @@ def keyword_buckets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(t_.keyword_counts(F.col("text"), BUCKETS)).alias("bucket", "n"))
 
 
+@query("""with p as (select distinct lower(trim(unnest(string_split_regex(text, '[.!?\n]+')))) as phrase from benchmark)
+select doc_id, phrase from documents join p on phrase <> '' and contains(lower(text), phrase)""")
+def phrase_hits(t: Tables) -> DataFrame:
+    """Sentences of the benchmark that stand in documents, by one automaton."""
+    p = t.benchmark.select(F.explode(F.split("text", r"[.!?\n]+")).alias("phrase")).select(F.lower(F.trim("phrase")).alias("phrase")).where("phrase != ''").distinct()
+    return phrases.phrase_hits(t.documents, p, ["doc_id"])
+
+
 _DIGEST = "left(sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))), 16)"
 
 

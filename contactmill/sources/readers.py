@@ -247,5 +247,11 @@ def _card(selectors: dict[str, tuple[str, ...]]) -> Callable[[DataFrame], DataFr
     return lambda cards: cards.select(*[t.first_of(*[F.col("card")[s] for s in names]).alias(field) for field, names in selectors.items()])
 
 
+# The places of a card where each field may stand, in order.
+SELECTORS = {
+    "name": ("name", "title", "h3", "h2"), "role": ("role", "position", "subtitle"), "fund": ("fund", "company", "firm"), "location": ("location", "city"), "stage": ("stage", "stages"), "check_size": ("check_size", "check"),
+    "linkedin": ("linkedin",), "website": ("website", "url"), "email": ("email",),
+}
+
 for _name, _verticals in {"angelmatch": ("vc",), "crunchbase": ("vc", "pe"), "landscape": ("vc",), "openvc": ("vc",), "signal": ("vc",), "visible": ("vc",), "wellfound": ("vc",), "regional": ()}.items():
-    adapters.add(_name, *_verticals)(_card({"name": ("name", "title", "h3", "h2"), "role": ("role", "position", "subtitle"), "fund": ("fund", "company", "firm"), "location": ("location", "city"), "stage": ("stage", "stages"), "check_size": ("check_size", "check"), "linkedin": ("linkedin",), "website": ("website", "url"), "email": ("email",)}))
+    adapters.add(_name, *_verticals)(_card(SELECTORS))

@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL twin, or at least to its end."""
+"""Every registered query of the library against its SQL twin; those without one are held against brute force elsewhere."""
 
 import pytest
 from differential import differences, duck

@@ -1,5 +1,9 @@
 """Hand-written cases of the operators' rules."""
 
+import json
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +201,35 @@ def test_sinks(spark, tmp_path):
     assert (back[0]["Tier"], back[0]["Focus Areas"], back[0]["Email"]) == ("🔴 HOT", "a; b", "N/A")
     again = readers.checkpoint(spark.read.csv(str(tmp_path / "out"), header=True)).orderBy("name").collect()
     assert again[0]["focus_areas"] == ["a", "b"] and again[0]["email"] is None and again[1]["lead_score"] == 10
+
+
+def test_role_text(spark):
+    assert one(spark, t.role_text, "Based InBay AreaSpecialtySpecialistsFocusInvestor Relations") == "Investor Relations"
+    assert one(spark, t.role_text, "Partner, Tel Aviv office: ") == "Partner,"
+    assert one(spark, t.role_text, "Berlin") is None and one(spark, t.role_text, None) is None
+
+
+def test_place(spark):
+    place = lambda text, *blocks: one(spark, lambda c, b: t.place(c, F.from_json(b, "array<string>")), text, json.dumps(list(blocks)))
+    assert place("We are based in Oslo.") == "Oslo" and place("Headquartered in New York, with an office") == "New York"
+    assert place("at Palo Alto, CA now") == "Palo Alto, CA" and place("in boston") == "boston" and place("nowhere") is None
+    assert place("based in Oslo.", "{}", '{"address": {"addressLocality": "Bergen"}}') == "Bergen"
+    assert place("based in Oslo.", '{"address": {"addressRegion": "CA"}}', '{"address": "1 Main St"}') == "1 Main St"
+    assert place("based in Oslo.", json.dumps({"address": "x" * 100})) == "Oslo"
+
+
+def test_whois_takes_the_first_given_name(spark):
+    text = "Registrant Name: REDACTED\nOrganization: X\n  ORG-NAME: Blue Fund\nowner: Red\nprivacy@a.test Ann@B.test. ann@b.test x@icann.org"
+    got = one(spark, extract.whois, text)
+    assert (got["name"], got["emails"], got["email"]) == ("Blue Fund", ["ann@b.test"], "ann@b.test")
+
+
+def test_unicode_like_the_standard_library(spark):
+    """Every code point, and texts of several."""
+    marks = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    letters = lambda x: re.sub("[^a-z]", "", unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
+    texts = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000] + ["José Núñez", "ﬁne 한국어 x", "ǅungla ㎏ Ⅷ", "e\u0301\u0323", "", "plain"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").repartition(8)
+    rows = df.select("x", t.strip_marks(F.col("x")).alias("m"), t.ascii_letters(F.col("x")).alias("l")).collect()
+    assert len(rows) == len(texts)
+    assert [r["x"] for r in rows if r["m"] != marks(r["x"])] == [] and [r["x"] for r in rows if r["l"] != letters(r["x"])] == []
