@@ -3,13 +3,14 @@
 Words are maximal runs of ASCII digits, ASCII letters (lower-cased) and characters beyond ASCII. Every K-gram of words is
 hashed and the minimum of each WINDOW consecutive hashes is kept as a fingerprint, on both sides, so any shared span of
 SPAN = K + WINDOW - 1 words leaves a common fingerprint. Items of fewer words than SPAN have one fingerprint, the hash of
-all their words. Fingerprints of items and documents are joined by Spark; a document has each of its fingerprints once, so
-a text of one repeated word costs no more than others. Before they leave a Python worker, the documents' fingerprints pass
-a filter of FILTER_BITS bits of the items' fingerprints, whose size doesn't depend on the benchmark's.
+all their words, and are one window.
 
-Each pair of a document and an item that have a common fingerprint is extended once: the item's windows of SPAN words (the
-whole item if it is shorter) are looked up at every place of the document, in time linear in both, and windows that overlap
-or touch make spans. Hashes only propose, words decide.
+A fingerprint is joined together with what extends it: the window of SPAN words that it stands for. So texts that share a fingerprint
+and nothing longer (a common lead sentence) never meet, however many they are, and a join's rows are occurrences of windows. Equal
+windows of many items are one row of the join; the lists of items that hold a window are named by a digest, of which a document
+has each once, and are added when its windows are together. Before a document's windows leave a Python worker, their fingerprints
+and hashes pass two filters of FILTER_BITS bits of the items', whose size doesn't depend on the benchmark's. Hashes only
+propose, words decide: the join compares the windows' words. Windows of a document that overlap or touch make spans.
 
 Null text has no words; a document without words is clean. An item without words, or without an id, is skipped. Items
 with one id count as one. Documents may repeat, and have null ids; those with equal id and text share their result. Other
@@ -71,38 +72,19 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def winnow(hashes: np.ndarray) -> np.ndarray:
-    """The distinct minima of each WINDOW consecutive hashes."""
+def lows(hashes: np.ndarray) -> np.ndarray:
+    """The minimum of each WINDOW consecutive hashes: of each window of SPAN words its fingerprint."""
     if len(hashes) < WINDOW:
         return np.empty(0, np.uint64)
     low = hashes[: len(hashes) - WINDOW + 1].copy()
     for j in range(1, WINDOW):
         np.minimum(low, hashes[j : j + len(low)], out=low)
-    return np.unique(low)
-
-
-def spans(doc: list[bytes], item: list[bytes]) -> list[tuple[int, int]]:
-    """Merged spans of the document's words that lie in an occurrence of a window of the item."""
-    k = min(SPAN, len(item))
-    if not k or len(doc) < k:
-        return []
-    number: dict[bytes, int] = {}
-    theirs = np.array([number.setdefault(w, len(number) + 1) for w in item], np.int64)
-    mine = np.fromiter((number.get(w, 0) for w in doc), np.int64, len(doc))
-    h = grams(theirs.astype(np.uint64), k)
-    keys, first = np.unique(h, return_index=True)
-    g = grams(mine.astype(np.uint64), k)
-    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-    found = np.flatnonzero(keys[at] == g)
-    use = np.arange(k)
-    same = (mine[found[:, None] + use] == theirs[first[at[found]][:, None] + use]).all(axis=1)
-    for i in np.flatnonzero(~same):  # other windows of one hash
-        same[i] = any((mine[found[i] + use] == theirs[q + use]).all() for q in np.flatnonzero(h == g[found[i]]))
-    start = found[same]
-    if not len(start):
-        return []
-    cut = np.flatnonzero(np.diff(start) > k)
-    return list(zip(start[np.concatenate(([0], cut + 1))].tolist(), (start[np.concatenate((cut, [len(start) - 1]))] + k).tolist(), strict=True))
+    return low
+
+
+def winnow(hashes: np.ndarray) -> np.ndarray:
+    """The distinct minima of each WINDOW consecutive hashes."""
+    return np.unique(lows(hashes))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,86 +97,94 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_prints(items: DataFrame) -> DataFrame:
-    """(item_id, size, print): the fingerprints of the items; size is SPAN or the words of a shorter item."""
+def _at(hashes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """`grams(hashes, k)` at some places only."""
+    out = np.full(len(places), k, np.uint64)
+    for j in range(k):
+        out = (out ^ hashes[places + j]) * _BASE
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, size, print, full, words): the windows of the items, each with its fingerprint, the hash of all its words, and those
+    words; size is SPAN or the words of a shorter item."""
 
     def start():
         hashes = Hashes()
 
         def step(texts):
-            sizes, prints = [], []
+            out = []
             for t in texts:
-                h = np.array([hashes[w] for w in words(t)], np.uint64)
-                sizes.append(min(SPAN, len(h)))
-                prints.append((winnow(grams(h, K)) if len(h) >= SPAN else grams(h, len(h)) if len(h) else h).view(np.int64))
-            return sizes, prints
+                ws = words(t)
+                h = np.array([hashes[w] for w in ws], np.uint64)
+                k = min(SPAN, len(h))
+                full = grams(h, k) if k else h
+                low = lows(grams(h, K)) if k == SPAN else full
+                out.append([{"size": k, "print": int(p), "full": int(f), "words": b" ".join(ws[j : j + k]).decode()} for j, (p, f) in enumerate(zip(low.view(np.int64), full.view(np.int64)))])
+            return [out]
 
         return step
 
-    out = map_texts(items, ["item_id"], "size int, prints array<long>", start)
-    return out.select("item_id", "size", F.explode("prints").alias("print")).distinct()
-
+    out = map_texts(items, ["item_id"], "windows array<struct<size:int,print:long,full:long,words:string>>", start)
+    return out.select("item_id", F.explode("windows").alias("w")).select("item_id", "w.*").distinct()
 
-def _place(prints: Column) -> Column:
-    return F.shiftrightunsigned(prints, 64 - (FILTER_BITS.bit_length() - 1))
 
-
-def print_filter(prints: DataFrame) -> np.ndarray:
-    """The places of all fingerprints, as bits: FILTER_BITS / 64 numbers, however many fingerprints there are."""
-    place = _place(F.col("print"))
-    rows = prints.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod({}, 64) as int))".format("shiftrightunsigned(print, {})".format(64 - (FILTER_BITS.bit_length() - 1))))).alias("bits")).collect()
+def print_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """The places of all hashes, as bits: FILTER_BITS / 64 numbers, however many hashes there are."""
+    place = F.shiftrightunsigned(F.col(column), 64 - (FILTER_BITS.bit_length() - 1))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({column}, {64 - (FILTER_BITS.bit_length() - 1)}), 64) as int))")
+    rows = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for r in rows:
         out[r["at"]] = r["bits"]
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def document_prints(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """(key, print): the fingerprints of rows (key, text) that pass the filter."""
-    held = rows.sparkSession.sparkContext.broadcast((print_filter(prints), sorted(r["size"] for r in prints.select("size").distinct().collect())))
+def document_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, place, size, print, words): the windows of rows (key, text) that pass both filters."""
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    held = rows.sparkSession.sparkContext.broadcast((print_filter(windows, "print"), print_filter(windows, "full"), sizes))
 
     def start():
-        hashes, (bits, sizes) = Hashes(), held.value
-        shift = np.uint64(64 - (len(bits).bit_length() - 1))
+        hashes, (prints, fulls, sizes) = Hashes(), held.value
+        shift = np.uint64(64 - (len(prints).bit_length() - 1))
 
         def step(texts):
             out = []
             for t in texts:
-                ws = words(t)
+                ws, got = words(t), []
                 h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-                all_ = [winnow(grams(h, K)) if k == SPAN else grams(h, k) for k in sizes]
-                all_ = [np.unique(p[bits[(p >> shift).astype(np.int64)]]) for p in all_]
-                out.append(np.concatenate(all_).view(np.int64) if all_ else np.empty(0, np.int64))
+                for k in sizes:
+                    low = lows(grams(h, K)) if k == SPAN else grams(h, k)
+                    at = np.flatnonzero(prints[(low >> shift).astype(np.int64)])
+                    at = at[fulls[(_at(h, at, k) >> shift).astype(np.int64)]]
+                    got += [{"place": j, "size": k, "print": p, "words": b" ".join(ws[j : j + k]).decode()} for j, p in zip(at.tolist(), low.view(np.int64)[at].tolist())]
+                out.append(got)
             return [out]
 
         return step
 
-    out = map_texts(rows, ["key"], "prints array<long>", start)
-    return out.select("key", F.explode("prints").alias("print"))
+    out = map_texts(rows, ["key"], "windows array<struct<place:int,size:int,print:long,words:string>>", start)
+    return out.select("key", F.explode("windows").alias("w")).select("key", "w.*")
 
 
-def found_spans(pairs: DataFrame) -> DataFrame:
-    """(key, spans, items) of pairs (key, item_id, text, item) in which windows occur."""
+def found_spans(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, spans, items) of rows (key, text) in which windows of items occur."""
     kind = "array<struct<s:int,e:int>>"
-
-    def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, doc = None, []
-        for p in parts:
-            out = []
-            for key, text, item in zip(p["key"], p["text"], p["item"]):
-                if key != name:
-                    name, doc = key, words(text.encode())
-                out.append([{"s": a, "e": b} for a, b in spans(doc, words(item.encode()))])
-            p = pd.DataFrame({"key": p["key"], "item_id": p["item_id"], "spans": out})
-            yield p[p["spans"].str.len() > 0]
+    held = windows.groupBy("size", "print", "words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    held = held.withColumn("list", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), ",")))
+    lists = held.groupBy("list").agg(F.first("items").alias("items"))
 
     def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield p.assign(spans=[[{"s": a, "e": b} for a, b in merged([(x["s"], x["e"]) for x in s])] for s in p["spans"]])
 
-    found = pairs.sortWithinPartitions("key").mapInPandas(extend, f"key string, item_id long, spans {kind}")
-    found = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    return found.mapInPandas(merge, f"key string, spans {kind}, items array<long>")
+    hits = document_windows(rows, windows).join(small(held.drop("items")), ["size", "print", "words"])
+    of = hits.groupBy("key").agg(F.collect_set(F.struct(F.col("place").alias("s"), (F.col("place") + F.col("size")).alias("e"))).alias("spans"), F.collect_set("list").alias("lists"))
+    of = of.mapInPandas(merge, f"key string, spans {kind}, lists array<string>")
+    named = of.select("key", F.explode("lists").alias("list")).join(small(lists), "list").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return of.drop("lists").join(named, "key")
 
 
 def _digest(ids: Column) -> Column:
@@ -207,14 +197,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
     scratch = Scratch(docs.sparkSession, "winnow")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    prints = scratch.put("prints", item_prints(items))
-    rows = docs.where("text is not null").select(key.alias("key"), "text")
-    pairs = document_prints(rows, prints).join(small(prints.select("print", "item_id")), "print").select("key", "item_id").distinct()
-    pairs = scratch.put("pairs", pairs)
-    texts = rows.join(small(pairs.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    pairs = pairs.join(texts, "key").join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    found = scratch.put("found", found_spans(pairs.select("key", "item_id", "text", "item")))
-    scratch.drop("prints", "pairs")
+    windows = scratch.put("windows", item_windows(items))
+    # Rows that repeat give the same windows, of which a document has each once.
+    found = scratch.put("found", found_spans(docs.where("text is not null").select(key.alias("key"), "text"), windows))
+    scratch.drop("windows")
     numbers = found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
         found = F.broadcast(found)
