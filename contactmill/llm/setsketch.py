@@ -42,8 +42,6 @@ SCREEN = 0.17
 RINGS, RING = 1, 1000
 #: Keys of classes, 8 bytes each, that may be broadcast to find their texts.
 BROADCAST_CLASSES = 500_000
-#: Links, 16 bytes each, of a task that takes part in finding components.
-LINKS_A_TASK = 500_000
 CACHE_WORDS = 300_000
 
 _MIX = np.random.default_rng(11).integers(0, 2**64, (2, REGISTERS), np.uint64)
@@ -204,20 +202,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root) for every end of a link (u, v): root is the least of its component. Large-star and small-star in turn."""
+    """(v, root) for every end of a link (u, v): root is the least of its component. Large-star and small-star in turn.
+
+    Least neighbours are found by an aggregation, of which each task sends a row a class at most, and given to the edges by a
+    join, whose tasks Spark parts where one class (a hub, in the end each component's least) has most of the edges."""
     edges = scratch.put("edges", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    n = 1 + edges.count() // LINKS_A_TASK
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(edges)
     while before[0]:
         # Large star: each neighbour above u joins the least of u and its neighbours.
         both = edges.union(edges.select("v", "u"))
-        low = both.repartition(n, "u").groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.put("large", both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition(n, "u").distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.put("large", both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: u and its neighbours below join the least of them.
-        low = large.repartition(n, "u").groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.put("edges", below.union(low.select("u", F.col("m").alias("v"))).repartition(n, "u").distinct())
+        edges = scratch.put("edges", below.union(low.select("u", F.col("m").alias("v"))).distinct())
         after = mark(edges)
         if tuple(after) == tuple(before):
             break
@@ -267,9 +267,15 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch:
     least = F.greatest(F.lit(1), F.ceil((F.col("f") + besides("f")) / (2 * p))).cast("int")
     some = e.where((F.size("ts") >= least) & (F.col("f") + besides("r") <= 0) & (F.col("r") + besides("f") <= 0))
     some = some.select("pivot", "cid", "root", "f", "r", F.explode(F.slice("ts", F.lit(1), F.size("ts") - least + 1)).alias("t")).select("pivot", "cid", "root", "f", "r", "t.t")
+    # Differences that one root's members share pair nothing: roots are joined first, then those of their members that can link.
+    some = scratch.put("some", some)
+    per = some.groupBy("pivot", "t", "root").agg(F.min("f").alias("f"), F.min("r").alias("r"))
+    x, y = (per.select("pivot", "t", *[F.col(c).alias(f"{c}_{i}") for c in ("root", "f", "r")]) for i in "ab")
+    bound = (F.col("f_a") + F.col("r_b") <= 0) & (F.col("f_b") + F.col("r_a") <= 0)
+    roots = x.join(y, ["pivot", "t"]).where((F.col("root_a") > F.col("root_b")) & bound).select("pivot", "t", "root_a", "root_b")
     x, y = (some.select("pivot", "t", *[F.col(c).alias(f"{c}_{i}") for c in ("cid", "root", "f", "r")]) for i in "ab")
-    can = (F.col("cid_a") > F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("f_a") + F.col("r_b") <= 0) & (F.col("f_b") + F.col("r_a") <= 0)
-    pairs = scratch.put("pairs", x.join(y, ["pivot", "t"]).where(can).select("pivot", "cid_a", "cid_b", "root_a", "root_b").distinct())
+    members = roots.join(x, ["pivot", "t", "root_a"]).join(y, ["pivot", "t", "root_b"]).where(bound)
+    pairs = scratch.put("pairs", members.select("pivot", "cid_a", "cid_b", "root_a", "root_b").distinct())
     side = lambda i: d.select("pivot", F.col("cid").alias(f"cid_{i}"), F.col("f").alias(f"f_{i}"), F.col("delta").alias(f"d_{i}"))
     pairs = pairs.join(side("a"), ["pivot", "cid_a"]).join(side("b"), ["pivot", "cid_b"])
     found = pairs.where(F.col("f_a") + F.col("f_b") <= 2 * p * F.size(F.array_intersect("d_a", "d_b")))
