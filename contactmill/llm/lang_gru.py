@@ -5,8 +5,9 @@ at every byte the two states give a probability for each language (so every posi
 probabilities are the mean over its bytes that can be part of a letter. The prediction is the language with the highest
 mean, the first by name in a tie, and its score that mean.
 
-Trained by backpropagation through time, with Adam, on a bounded sample: at most TRAIN_ROWS rows of each language, those
-with the lowest hash of their id, held-out ids aside, of the TRAIN_LANGS languages with the most rows; an id that repeats
+Trained by backpropagation through time, with Adam, on a bounded sample: of each language at most TRAIN_ROWS rows, those
+with the lowest hash of their id, held-out ids aside, and of those as many as together have no more than the language's share of TRAIN_BYTES
+bytes, one at least. Every language is learned that has a row of TRAIN_BYTES or less. An id that repeats
 counts once, and rows without id aren't learned from. Their texts are learned from whole: batches go through all segments
 in random order, again and again up to EPOCH_STEPS batches, and once at least. Prediction reads every text whole. Only text
 is an input.
@@ -24,9 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts
+from .common import held_out, map_texts, small
 
-TRAIN_ROWS, TRAIN_LANGS = 300, 200
+TRAIN_ROWS, TRAIN_BYTES = 300, 48_000_000
 #: Parts of a language from which its first rows are gathered.
 SALT = 64
 STEPS, HIDDEN = 96, 8
@@ -202,23 +203,25 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.minimum(STEPS, size[of] - (np.arange(len(of)) - first[of]) * STEPS), of
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
-    """The network, fitted on at most `rows` rows of each language; None where no row has one."""
-    use = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    # The languages with the most rows, then of each the first rows by hash: within salted parts, and among those.
-    langs = [r["lang"] for r in use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()]
-    use = use.where(F.col("lang").isin(langs))
-    ids = use.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
-    ids = ids.groupBy("lang", "doc_id", "_h").agg(F.min("_t").alias("_t")).withColumn("_part", F.pmod("_h", F.lit(SALT)))  # an id that repeats counts once
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Network | None:
+    """The network, fitted on at most `rows` rows of each language and `size` bytes, or a row of each; None where no row has one."""
+    use = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (F.octet_length("text") <= size) & ~held_out(F.col("doc_id")))
+    n_langs = use.agg(F.count_distinct("lang")).first()[0]
+    ids = use.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"), F.octet_length("text").cast("long").alias("_b"))
+    ids = ids.groupBy("lang", "doc_id", "_h").agg(F.min(F.struct("_t", "_b")).alias("x")).select("lang", "doc_id", "_h", "x.*")  # an id that repeats counts once
+    ids = ids.withColumn("_part", F.pmod("_h", F.lit(SALT)))
+    # The first rows by hash: within salted parts, and among those.
     for parts in (["lang", "_part"], ["lang"]):
         ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "doc_id"))).where(F.col("_n") <= rows)
-    texts = use.withColumn("_t", F.xxhash64("text")).join(F.broadcast(ids.select("lang", "doc_id", "_t")), ["lang", "doc_id", "_t"])
+    so_far = F.sum("_b").over(Window.partitionBy("lang").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    ids = ids.withColumn("_sum", so_far).where((F.col("_n") == 1) | (F.col("_sum") <= size // max(1, n_langs)))
+    texts = use.withColumn("_t", F.xxhash64("text")).join(small(ids.select("lang", "doc_id", "_t")), ["lang", "doc_id", "_t"])
     texts = texts.dropDuplicates(["lang", "doc_id"]).orderBy("lang", "doc_id")  # at most `rows` of each language now
     sample = texts.select("lang", F.col("text").cast("binary").alias("text")).collect()
     parts = [(r["lang"], bytes(r["text"])) for r in sample if r["text"]]
     if not parts:
         return None
-    langs = sorted(set(langs) & {lang for lang, _ in parts})
+    langs = sorted({lang for lang, _ in parts})
     net = Network(langs)
     x, length, of = segments([p for _, p in parts])
     net.fit(np.ascontiguousarray(x.T), (np.arange(STEPS)[:, None] < length).astype(np.float32), np.array([langs.index(lang) for lang, _ in parts])[of])
