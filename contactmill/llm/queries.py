@@ -28,7 +28,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
+    return token_counts.report(token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

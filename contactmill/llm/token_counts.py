@@ -5,7 +5,8 @@ character intervals. A token within one section counts there. A token that cross
 holds most of its characters, the earlier one in a tie (rule "most"), or to the section of its first character (rule
 "first") or of its last one (rule "last"). A token that touches no section counts as outside. So a document's counts add
 up to its tokens, whatever its sections, which does not hold if sections are encoded one by one. Tokens that share one
-character (its bytes) each count.
+character (its bytes) each count. `count_tokens` gives each section with its place and its count, `by_section` as a row of its
+own; `report` sums them up.
 
 Null and empty texts have no tokens and no sections. Null ids, repeated rows and empty input are allowed. Other columns
 pass through; an input column with the name of an added one is replaced.
@@ -14,14 +15,17 @@ pass through; an input column with the name of an added one is replaced.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 from .encoding import Encoder
 
+#: What `count_tokens` adds, and the numbers that `report` gives of it.
+FOUND = ("section_counts", "n_tokens", "n_sections", "n_outside", "n_crossing")
 ADDED = ("n_tokens", "n_sections", "max_section_tokens", "n_outside", "n_crossing", "counts_crc32")
 
 _SENTENCE = re.compile(r"[.!?]+[^\S\n]*\n*")
@@ -57,20 +61,44 @@ def attribute(spans: np.ndarray, sections: np.ndarray, rule: str = "most") -> tu
 
 
 def count_tokens(docs: DataFrame, path: str, sections=sentences, rule: str = "most") -> DataFrame:
-    """Every row of `docs` with its numbers of tokens, sections, tokens of the largest section, tokens outside and across, and the crc32 of the sections' counts (little-endian, 32 bits each)."""
-    keep = [c for c in docs.columns if c not in ADDED]
+    """Every row of `docs` with its sections in order and each one's number of tokens (section_counts: start and end in characters, n_tokens), its numbers of tokens and sections, and of tokens outside and across."""
+    keep = [c for c in docs.columns if c not in (*FOUND, *ADDED)]
 
     def start():
         encoder = Encoder(path, offsets=True)
 
         def step(texts):
             texts = [(t or b"").decode() for t in texts]
-            out = []
+            places, tokens, numbers = [], [], []
             for text, spans in zip(texts, encoder.encode(texts), strict=True):
                 counts, outside, crossing = attribute(spans, found := sections(text), rule)
-                out.append((len(spans), len(found), int(counts.max()) if len(counts) else 0, int(outside.sum()), int(crossing.sum()), zlib.crc32(counts.astype("<u4").tobytes())))
-            return [list(c) for c in zip(*out)]
+                places.append(found)
+                tokens.append(counts)
+                numbers.append((len(spans), len(found), int(outside.sum()), int(crossing.sum())))
+            both = np.concatenate([np.zeros((0, 2), np.int64), *places])
+            parts = pa.StructArray.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))], names=["start", "end", "n_tokens"])
+            at = np.concatenate(([0], np.cumsum([len(c) for c in tokens]))).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(at), parts), *[list(c) for c in zip(*numbers)]]
 
         return step
 
-    return map_texts(docs, keep, ", ".join(f"{c} long" for c in ADDED), start)
+    return map_texts(docs, keep, "section_counts array<struct<start: long, end: long, n_tokens: long>>, n_tokens long, n_sections long, n_outside long, n_crossing long", start)
+
+
+def by_section(counted: DataFrame) -> DataFrame:
+    """Rows of `count_tokens` as one row a section: its number within the row's text from 0 on (section), start, end and n_tokens."""
+    keep = [c for c in counted.columns if c not in (*FOUND, "section", "start", "end")]
+    return counted.select(*keep, F.posexplode("section_counts").alias("section", "_s")).select(*keep, "section", "_s.start", "_s.end", "_s.n_tokens")
+
+
+def report(counted: DataFrame) -> DataFrame:
+    """Rows of `count_tokens` with their sections as a string (start:end:tokens, comma-joined), the tokens of the largest section, and the crc32 of the sections' counts (little-endian, 32 bits each)."""
+    keep = [c for c in counted.columns if c not in (*FOUND, *ADDED)]
+    turned = lambda x: (x % 256) * (1 << 24) + F.shiftright(x, 8) % 256 * (1 << 16) + F.shiftright(x, 16) % 256 * 256 + F.shiftright(x, 24)
+    digits = F.transform("section_counts.n_tokens", lambda x: F.lpad(F.hex(turned(x)), 8, "0"))
+    shown = F.transform("section_counts", lambda s: F.concat_ws(":", s["start"], s["end"], s["n_tokens"]))
+    made = {
+        "max_section_tokens": F.coalesce(F.array_max("section_counts.n_tokens"), F.lit(0)).cast("long"),
+        "counts_crc32": F.crc32(F.unhex(F.array_join(digits, ""))),
+    }
+    return counted.select(*keep, *[made[c].alias(c) if c in made else c for c in ADDED], F.array_join(shown, ",").alias("section_counts"))

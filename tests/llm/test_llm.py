@@ -175,6 +175,31 @@ def test_token_query_against_brute_force(spark, sf, odd_con):
         assert len(want) > 10 and want <= got
 
 
+def test_counts_of_each_section_are_given(spark, odd):
+    """Every section's place and tokens, not only their digest; under a rule that leaves tokens outside too."""
+    e = Encoder(queries.vocabulary())
+    odd_bits = lambda t: np.array([[i, min(i + 7, len(t))] for i in range(3, len(t), 20)], np.int64).reshape(-1, 2)
+    for find in (token_counts.sentences, odd_bits):
+        out = token_counts.count_tokens(odd, queries.vocabulary(), find, "first")
+        rows = out.select("text", *token_counts.FOUND).collect()
+        assert len(rows) == odd.count()
+        for r in rows:
+            offsets = e.tokenizer.encode(r["text"] or "", add_special_tokens=False).offsets
+            sections = find(r["text"] or "").tolist()
+            # The first section that ends behind the token's start, if the token reaches it.
+            owners = [next((k for k, (a, b) in enumerate(sections) if b > x and a < max(y, x + 1)), None) for x, y in offsets]
+            assert [tuple(s) for s in r["section_counts"]] == [(a, b, owners.count(k)) for k, (a, b) in enumerate(sections)]
+            assert r["n_outside"] == owners.count(None) and sum(s["n_tokens"] for s in r["section_counts"]) + r["n_outside"] == r["n_tokens"] == len(offsets)
+        each = token_counts.by_section(out.select("row", "section_counts")).collect()
+        assert sorted((s["start"], s["end"], s["n_tokens"]) for s in each) == sorted(tuple(s) for r in rows for s in r["section_counts"])
+        for r, s in zip(rows, token_counts.report(out).collect(), strict=True):
+            counts = [x["n_tokens"] for x in r["section_counts"]]
+            assert s["section_counts"] == ",".join("%d:%d:%d" % tuple(x) for x in r["section_counts"]) and s["max_section_tokens"] == max(counts, default=0)
+            assert s["counts_crc32"] == zlib.crc32(np.array(counts, "<u4").tobytes())
+    big = spark.sql("select array(named_struct('start', 0L, 'end', 1L, 'n_tokens', 4042322160L), named_struct('start', 1L, 'end', 2L, 'n_tokens', 66051L)) section_counts, 1L n_tokens, 2L n_sections, 0L n_outside, 0L n_crossing")
+    assert token_counts.report(big).first()["counts_crc32"] == zlib.crc32(np.array([4042322160, 66051], "<u4").tobytes())
+
+
 def test_store_round_trip(spark, odd):
     folder = common.new_folder(spark, "store")
     token_store.write_store(odd.select("doc_id", "text"), folder, queries.vocabulary())
