@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion; DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are context, and its text alone is trainable. A formatted
-turn doesn't depend on what follows it, so the context of an example is a prefix of its formatted conversation. The output
-therefore holds each formatted turn once, with its place in the conversation; an assistant's row is an example, whose context is
-named by the conversation and the place where its reply begins. So n turns make n rows and not n^2 / 2 texts, however long a
-conversation is. `expanded` writes examples out in full where that is wanted.
+Every assistant turn becomes an example of its own: all turns before it are context, and its text alone is trainable. `format_turns`
+formats each turn and finds its place; `expansion` cuts each example in full, context and reply, from its conversation, and
+`write_examples` stores them. So the output grows with the square of a conversation's turns, as the method has it, and a
+conversation's text is one row. A formatted turn doesn't depend on what follows it, so an example's text is a prefix of its
+conversation, and where only places are wanted, `examples` names the context by one, n rows for n turns.
 
 A template opens and closes each turn with control strings. A control string within a text gets a backslash behind its first
 character, or one more if there are some already, so that none is left and `unescape` gives the text back. In a role a newline
@@ -72,6 +72,10 @@ def _role(role: Column, template: Template) -> Column:
     return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), template)
 
 
+def _role_back(role: Column, template: Template) -> Column:
+    return F.replace(F.replace(unescape(role, template), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def format_turns(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Every row of `turns` with its formatted text, its place, the number of its example (null but for targets), and in characters: where it starts in the conversation, its length, and the span of the trainable text."""
     keep = [c for c in turns.columns if c not in ADDED]
@@ -107,15 +111,52 @@ def examples(formatted: DataFrame) -> DataFrame:
     return formatted.where("example is not null").select("conv_id", "example", F.col("place").alias("context_turns"), F.col("start").alias("context_chars"), (F.col("start") + F.col("n_chars")).alias("n_chars"), "loss_start", "loss_end")
 
 
+def expansion(formatted: DataFrame) -> DataFrame:
+    """The training set: a row for each assistant turn with the whole text of all turns before it and of its own, of which only
+    loss_start to loss_end is trainable; and, where turns follow a conversation's last reply, a row of theirs without example or
+    trainable text. `last`: no other row repeats this row's text."""
+    hit, end = F.col("example").isNotNull(), F.col("start") + F.col("n_chars")
+    part = F.struct("place", "formatted")
+    reply = F.when(hit, F.struct("example", F.col("place").alias("context_turns"), F.col("start").alias("context_chars"), end.alias("n_chars"), "loss_start", "loss_end"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["formatted"]), "")
+    chats = formatted.groupBy("conv_id").agg(whole.alias("whole"), F.collect_list(reply).alias("replies"), F.max(end).alias("end"), F.count_if(hit).alias("n_examples"), F.coalesce(F.max(F.when(hit, end)), F.lit(0)).alias("done"), F.coalesce(F.max(F.when(hit, F.col("place"))) + 1, F.lit(0)).alias("turns"))
+    none = F.lit(None).cast("long")
+    rest = F.struct(none.alias("example"), F.col("turns").alias("context_turns"), F.col("done").alias("context_chars"), F.col("end").alias("n_chars"), none.alias("loss_start"), none.alias("loss_end"))
+    rows = F.concat("replies", F.when(F.col("end") > F.col("done"), F.array(rest)).otherwise(F.array()))
+    each = chats.select("conv_id", "whole", "n_examples", F.explode(rows).alias("r"))
+    begin = F.when(F.col("r.example").isNull(), F.col("r.context_chars")).otherwise(0)
+    text = F.substring("whole", (begin + 1).cast("int"), (F.col("r.n_chars") - begin).cast("int"))
+    return each.select("conv_id", "r.*", (F.coalesce("r.example", F.col("n_examples") - 1) == F.col("n_examples") - 1).alias("last"), text.alias("text"))
+
+
 def expanded(formatted: DataFrame, most_chars: int | None = None) -> DataFrame:
     """Examples with their whole text, as large as the sum of their lengths; only those of up to `most_chars` characters if given."""
-    e = examples(formatted)
     if most_chars is not None:
-        e = e.where(F.col("n_chars") <= most_chars)
-    parts = formatted.select(F.col("conv_id").alias("of"), "place", F.col("formatted").alias("part"))
-    pairs = e.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("place") <= F.col("context_turns")))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "")
-    return pairs.groupBy(*e.columns).agg(text.alias("text"))
+        formatted = formatted.where(F.col("start") + F.col("n_chars") <= most_chars)
+    return expansion(formatted).where("example is not null").drop("last")
+
+
+def write_examples(turns: DataFrame, folder: str, template: Template = DEFAULT) -> DataFrame:
+    """Format, expand and write below `folder`; returns what stands there."""
+    # Examples of a conversation begin alike, which zstd finds over longer distances than the default.
+    expansion(format_turns(turns, template)).write.option("compression", "zstd").parquet(folder)
+    return turns.sparkSession.read.parquet(folder)
+
+
+def report_examples(stored: DataFrame, template: Template = DEFAULT) -> DataFrame:
+    """Per conversation, from the texts and trainable spans of `expansion` alone: turns and their digest, trainable characters and their digest, characters of all rows, and the number of examples."""
+    turn = lambda x: F.substring(x, 1, F.length(x) - len(template.close) - 1)
+    role = lambda x: F.substring_index(x, "\n", 1)
+    said = lambda x: F.concat(_role_back(role(x), template), F.lit("\n"), unescape(F.substring(x, F.length(role(x)) + 2, F.length(x)), template), F.lit("\n"))
+    # No control string is left within a turn, so the opening one cuts a text into its turns.
+    turns = F.split(F.substring(F.col("text"), F.lit(len(template.open) + 1), F.length("text")), re.escape(template.open))
+    loss = unescape(F.substring(F.col("text"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")), template)
+    order = F.coalesce("example", F.lit(LAST))
+    rows = stored.select("conv_id", "example", order.alias("at"), F.length("text").cast("long").alias("n"), F.when(F.col("last"), turns).alias("turns"), loss.alias("loss"))
+    rows = rows.withColumn("said", F.array_join(F.transform("turns", lambda x: said(turn(x))), "")).withColumn("n_turns", F.coalesce(F.size("turns"), F.lit(0)))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c)))), lambda x: x[c]), "")
+    out = rows.groupBy("conv_id").agg(F.sum(F.greatest("n_turns", F.lit(0))).alias("n_turns"), joined("said").alias("said"), joined("loss").alias("loss"), F.sum("n").alias("formatted_chars"), F.count("example").alias("n_examples"))
+    return out.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -124,8 +165,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     rows = formatted.drop("role", "text").withColumn("body", body).withColumn("role", F.substring_index("body", "\n", 1))
     rows = rows.withColumn("text", unescape(F.substring(F.col("body"), F.length("role") + 2, F.length("body")), template))
     inner = F.substring(F.col("formatted"), (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    role = F.replace(F.replace(unescape(F.col("role"), template), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
-    return rows.withColumn("role", role).withColumn("loss", unescape(inner, template)).drop("body")
+    return rows.withColumn("role", _role_back(F.col("role"), template)).withColumn("loss", unescape(inner, template)).drop("body")
 
 
 def report(rows: DataFrame) -> DataFrame:

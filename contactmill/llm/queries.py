@@ -81,9 +81,8 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    folder = new_folder(spark, "chat")
-    chat_format.format_turns(table(spark, sf_dir, "conversations").select(*more.columns).union(more)).write.parquet(folder)
-    return chat_format.report(chat_format.read_back(spark.read.parquet(folder)))
+    stored = chat_format.write_examples(table(spark, sf_dir, "conversations").select(*more.columns).union(more), new_folder(spark, "chat"))
+    return chat_format.report_examples(stored)
 
 
 QUERIES = {

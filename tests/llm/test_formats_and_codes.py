@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactmill.llm import alignment, chat_format, queries, vector_codes
+from contactmill.llm import alignment, chat_format, common, queries, vector_codes
 
 A, B = queries.vocabulary(), queries.vocabulary("piece_bpe_32k.model")
 WORDS = " ".join(f"wort{i} élan" for i in range(12_000))
@@ -240,6 +240,35 @@ def test_report_against_brute_force(spark, chats):
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_examples_are_written_in_full(spark, sf, chats, monkeypatch):
+    """What is stored, and by the query too, is each reply behind its whole context; the report reads nothing else."""
+    folder = common.new_folder(spark, "t")
+    stored = chat_format.write_examples(chats, folder)
+    made = chat_format.format_turns(chats)
+    parts: dict = {}
+    for r in made.orderBy("place").collect():
+        parts.setdefault(r["conv_id"], []).append(r)
+    want = set()
+    for conv, rows in parts.items():
+        at = 0
+        for i, r in enumerate(rows):
+            if r["example"] is not None:
+                want.add((conv, r["example"], "".join(x["formatted"] for x in rows[: i + 1]), r["loss_start"], r["loss_end"]))
+                at = i + 1
+        if at < len(rows):
+            want.add((conv, None, "".join(x["formatted"] for x in rows[at:]), None, None))
+    got = [tuple(r) for r in spark.read.parquet(folder).select("conv_id", "example", "text", "loss_start", "loss_end").collect()]
+    assert len(got) == len(want) and set(got) == want and any(w[1] is None for w in want)
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(chat_format.report_examples(stored)) == plain(chat_format.report(chat_format.read_back(made)))
+    assert chat_format.report_examples(chat_format.write_examples(chats.limit(0), common.new_folder(spark, "t"))).count() == 0
+
+    monkeypatch.setattr(queries, "new_folder", lambda *_: folder + "-q")
+    n = {r["conv_id"]: r["n_examples"] for r in queries.op13_prefix_targets(spark, sf).collect()}
+    rows = spark.read.parquet(folder + "-q").where("example is not null").collect()
+    assert len(rows) == sum(n.values()) and all(r["text"].count("<|im_start|>") == r["context_turns"] + 1 for r in rows) and max(r["context_turns"] for r in rows) > 2
+
+
 def test_no_turns(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     made = chat_format.format_turns(none)
