@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, slices, small
+from .encoding import _byte_letters
 
 SHIFT = 20
 MARK = (1 << SHIFT) - 1
@@ -40,13 +41,6 @@ BROADCAST_PAIRS = 1_000_000
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in seen]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class Bytes:
     """A: a byte-level vocabulary, its strings of special tokens plain text.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .encoding import Encoder
+from .encoding import encoder
 
 #: What `count_tokens` adds, and the numbers that `report` gives of it.
 FOUND = ("section_counts", "n_tokens", "n_sections", "n_outside", "n_crossing")
@@ -65,12 +65,12 @@ def count_tokens(docs: DataFrame, path: str, sections=sentences, rule: str = "mo
     keep = [c for c in docs.columns if c not in (*FOUND, *ADDED)]
 
     def start():
-        encoder = Encoder(path, offsets=True)
+        held = encoder(path, offsets=True)
 
         def step(texts):
             texts = [(t or b"").decode() for t in texts]
             places, tokens, numbers = [], [], []
-            for text, spans in zip(texts, encoder.encode(texts), strict=True):
+            for text, spans in zip(texts, held.encode(texts), strict=True):
                 counts, outside, crossing = attribute(spans, found := sections(text), rule)
                 places.append(found)
                 tokens.append(counts)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices
-from .encoding import Encoder
+from .encoding import encoder
 
 MAGIC, INDEX_MAGIC, VERSION, HEAD = b"CMILLIDS", b"CMILLMPH", 2, 16
 GAMMA = 1.6
@@ -216,31 +216,31 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> Dat
         pid = TaskContext.get().partitionId()
         name = f"{folder}/shard-{pid:06d}-{uuid4().hex}"
         parts: list[np.ndarray] = []
-        out = encoder = None
+        out = held = None
         for batch in batches:
             for part in slices(batch):
                 if out is None:
-                    encoder = Encoder(path)
+                    held = encoder(path)
                     store, at = _fs(f"{name}.ids")
                     store.create_dir(at.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(at)
-                    out.write(MAGIC + np.array([VERSION, encoder.kind.itemsize], "<u4").tobytes())
-                    end = np.array([end_id], encoder.kind).tobytes()
+                    out.write(MAGIC + np.array([VERSION, held.kind.itemsize], "<u4").tobytes())
+                    end = np.array([end_id], held.kind).tobytes()
                 rows = np.zeros(part.num_rows, DOC)
                 keys = part.column("doc_id").cast(pa.int64())
                 rows["known"], rows["key"] = np.array(keys.is_valid()), np.array(keys.fill_null(0))
                 sizes = []
-                for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()]):
+                for ids in held.encode([t or "" for t in part.column("text").to_pylist()]):
                     out.write(ids.tobytes() + end)
                     sizes.append(len(ids) + 1)
                 rows["size"] = sizes
                 parts.append(rows)
         if out is not None:
             out.close()
-            held = np.concatenate(parts)
-            _write_index(name, held)
-            real = held["key"][held["known"]]
-            row = [[pid], [f"{name}.ids"], [int(real[0]) if len(real) else None], [int(real[-1]) if len(real) else None], [len(held)], [int(held["size"].sum())]]
+            made = np.concatenate(parts)
+            _write_index(name, made)
+            real = made["key"][made["known"]]
+            row = [[pid], [f"{name}.ids"], [int(real[0]) if len(real) else None], [int(real[-1]) if len(real) else None], [len(made)], [int(made["size"].sum())]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4))], names=["pid", "ids", "first", "last", "n_docs", "n_ids"])
 
     done = cut(rows.mapInArrow(run, MANIFEST))  # one row a shard

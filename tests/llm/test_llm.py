@@ -13,7 +13,7 @@ import pytest
 from differential import differences, duck
 from pyspark.sql import functions as F
 
-from contactmill.llm import common, lang_gru, line_runs, mixing, oracles, quality_fm, queries, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
+from contactmill.llm import common, encoding, lang_gru, line_runs, mixing, oracles, quality_fm, queries, rule_ledger, secret_index, setsketch, token_counts, token_store, winnow
 from contactmill.llm.encoding import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, row string"
@@ -134,6 +134,20 @@ def test_units_encode_like_whole_texts(sf, spark):
         assert a.tolist() == e.ids and [tuple(x) for x in b.tolist()] == e.offsets
 
 
+def test_units_apart_and_remembered(sf, spark, monkeypatch):
+    """Units encoded together, by the model or as lines, and a memory that is shared by tasks and forgets."""
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    for e in (Encoder(queries.vocabulary()), Encoder(queries.vocabulary(), offsets=True)):
+        units = sorted({u for t in texts for u in (e._units(t) or [])} - {"\n"}) + ["'s", "x's", "日本", " É9ß", "ª", " ʰʷ", "\u0301a", "a\u200bb", "🙂", " ß.", "١٢"]
+        assert len(units) > 1000 and e._apart(units) == e._packed(units) and e._apart(units[:1]) == e._packed(units[:1])
+    monkeypatch.setattr(encoding, "CACHE_UNITS", 50)
+    one = encoding.encoder(queries.vocabulary())
+    assert one is encoding.encoder(queries.vocabulary())
+    for t in texts * 2:
+        assert one.encode([t])[0].tolist() == one.tokenizer.encode(t, add_special_tokens=False).ids
+    encoding.encoder.cache_clear()
+
+
 @pytest.mark.parametrize("rule", ["most", "first", "last"])
 def test_attribution_against_brute_force(rule):
     rng = np.random.default_rng(1)
