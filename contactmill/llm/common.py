@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a broadcast table may have; every broadcast here goes through `small`.
 BROADCAST_ROWS = 20_000
+#: Rows of a scratch table of narrow rows that share a file, where their number is known.
+FILE_ROWS = 50_000
 #: Characters of text that a Python worker holds as words at once, one longer text aside.
 SLICE_CHARS = 1 << 20
 
@@ -53,9 +55,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, kind: str) -> None:
         self.spark, self.folder, self.count, self.at = spark, new_folder(spark, kind), 0, {}
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """The same rows without their lineage, read from Parquet."""
+    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The same rows without their lineage, read from Parquet. `rows`: about how many there are, all narrow; they are then
+        stored in no more files than they fill, or than two for each core, however many partitions hold them. (For each file a
+        local file system of Hadoop's starts several processes.)"""
         self.count += 1
+        if rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         path = f"{self.folder}/{name}-{self.count}"
         df.write.parquet(path)
         self.drop(name)

@@ -206,18 +206,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Least neighbours are found by an aggregation, of which each task sends a row a class at most, and given to the edges by a
     join, whose tasks Spark parts where one class (a hub, in the end each component's least) has most of the edges."""
-    edges = scratch.put("edges", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    edges = scratch.put("edges", links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), links.count())
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(edges)
     while before[0]:
         # Large star: each neighbour above u joins the least of u and its neighbours.
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.put("large", both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = scratch.put("large", both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), before[0])
         # Small star: u and its neighbours below join the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.put("edges", below.union(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = scratch.put("edges", below.union(low.select("u", F.col("m").alias("v"))).distinct(), before[0])
         after = mark(edges)
         if tuple(after) == tuple(before):
             break
@@ -293,7 +293,8 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     open_ = scratch.put("open", bands.join(buckets, "band").select("band", "cid", "n", "size", "lo", F.col("cid").alias("root")))
     used = classes.join(open_.select("cid").distinct(), "cid", "left_semi")
     sets = scratch.put("sets", full_sets(docs, scratch.put("used", used.select("cid", "n", "set_key", "row_key", "sketch")), k))
-    roots = scratch.put("roots", sets.select("cid", "n", F.col("cid").alias("root")))
+    count = sets.count()
+    roots = scratch.put("roots", sets.select("cid", "n", F.col("cid").alias("root")), count)
     degrees = None
     for step in range(RINGS + 3):
         if step:
@@ -320,7 +321,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             pairs = pairs.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("j", "b")).alias("x")).select("a", "ra", "x.b", "x.rb")
             found = scratch.put("found", confirm(pairs, sets, percent))
             ends = found.select(F.col("a").alias("cid"), F.lit(1).cast("long").alias("d")).union(found.select("b", F.lit(1).cast("long")))
-            degrees = scratch.put("degrees", (ends if step == 0 else ends.union(degrees)).groupBy("cid").agg(F.sum("d").alias("d")))
+            degrees = scratch.put("degrees", (ends if step == 0 else ends.union(degrees)).groupBy("cid").agg(F.sum("d").alias("d")), count)
             links = found.select(F.col("ra").alias("u"), F.col("rb").alias("v"))
         else:
             members = open_.join(tops, "band").select("pivot", "cid", "n", "root")
@@ -329,7 +330,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         if links.isEmpty():
             continue
         new = components(links, scratch).select(F.col("v").alias("root"), F.col("root").alias("new"))
-        roots = scratch.put("roots", roots.join(new, "root", "left").select("cid", "n", F.coalesce("new", "root").alias("root")))
+        roots = scratch.put("roots", roots.join(new, "root", "left").select("cid", "n", F.coalesce("new", "root").alias("root")), count)
     named = classes.join(roots.select("cid", "root"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = scratch.put("named", named.join(least, "root").select("set_key", "root", "component_id"))

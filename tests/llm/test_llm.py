@@ -395,6 +395,29 @@ def test_keep_one(spark):
     assert sorted(r["x"] for r in got) == [2, 3, 5]
 
 
+def test_components_are_stored_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, narrow tables take no more files than two for each core."""
+    parts = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, drop = {k: spark.conf.get(k) for k in parts}, [], common.Scratch.drop
+
+    def counted(self, *names):
+        files.extend(len(self.spark.read.parquet(self.at[n]).inputFiles()) for n in names if n in self.at)
+        drop(self, *names)
+
+    monkeypatch.setattr(common.Scratch, "drop", counted)
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        scratch = common.Scratch(spark, "t")
+        got = setsketch.components(spark.range(1, 2000).selectExpr("id AS u", "id - id % 7 AS v"), scratch)
+        assert {r["v"]: r["root"] for r in got.collect()} == {i: i - i % 7 for i in range(1, 2000) if i >= 7 or i % 7} | {0: 0}
+        scratch.drop(*scratch.at)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) >= 3 and max(files) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_hub_and_a_chain_are_components(spark):
     """Many links of one class; each task sends the classes' least neighbours once."""
     n = 20_000
