@@ -2,10 +2,11 @@
 
 Each text is encoded by a byte-level vocabulary (A, as a space and the text) and by a piece vocabulary (B, which adds that
 space itself). A token is stored as one long, its end in bytes times 2^SHIFT plus its id, and an end as the mark that sorts behind
-its token: the greatest id. From there on Spark's functions on arrays do all: `array_intersect` of the two end arrays gives
-the ends that both share, which, put in place by sorting longs, cut either side into groups, which `zip_with` pairs up; the last tokens of a group, found by
-`transform`, end together and are its link. (`aggregate` would copy an array that it builds at each step, n^2 for a text of n
-tokens; a `sequence` of group numbers costs more than `zip_with`. Neither is used.)
+its token: the greatest id. From there on Spark's functions on arrays find the groups: `array_intersect` of the two end arrays gives
+the ends that both share, which, put in place by sorting longs, cut either side into groups. An Arrow step reads the cut arrays
+out: the groups as text for the digest, and of each group the last tokens, which end together and are its link. (`aggregate` would
+copy an array that it builds at each step, n^2 for a text of n tokens; a `sequence` of group numbers, and `transform` over tokens
+and groups, cost more than half of the time. None of them is used.)
 
 Links are counted by id pair over the whole corpus, at most once a document and pair through the shuffle. The table of counts
 is broadcast only where a count shows it to be small, else documents' pairs meet it by a shuffled join.
@@ -22,12 +23,15 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
+from hashlib import sha256
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,8 @@ SHIFT = 20
 MARK = (1 << SHIFT) - 1
 #: Pairs of ids whose counts may be broadcast, 24 bytes each.
 BROADCAST_PAIRS = 1_000_000
+#: Tokens and marks that a Python worker holds as words at once, and bytes of a batch, one longer row aside.
+PART_TOKENS, BATCH_BYTES = 250_000, 8 << 20
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -155,29 +161,89 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _parts(marked: Column) -> Column:
-    """The ids of each group of one side, comma-joined, in order; `marked` holds a mark behind each group's last token."""
-    ids = F.transform(marked, lambda x: x.bitwiseAND(F.lit(MARK).cast("long"))).cast("array<string>")
-    text = F.replace(F.concat(F.array_join(ids, ","), F.lit(",")), F.lit(f",{MARK},"), F.lit(";"))
-    return F.split(F.rtrim(text, F.lit(";")), ";")
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no part has many more than PART_TOKENS tokens and marks, whole rows only."""
+    size = np.cumsum(sum(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64) for c in ("_a", "_b")))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_TOKENS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _side(marked: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of one side: ids and marks, the places of the marks, and where each row begins among the marks."""
+    ids = marked.flatten().to_numpy() & MARK
+    marks = np.flatnonzero(ids == MARK)
+    offsets = marked.offsets.to_numpy()
+    return ids, marks, np.searchsorted(marks, offsets - offsets[0])
+
+
+def _words(size: int) -> pa.StringArray:
+    """Each id below `size`, each behind another of its group, the end of A's side of a group, and that of B's."""
+    return pa.array([*map(str, range(size)), *(f",{i}" for i in range(size)), "|", ";"])
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows with _a and _b, each side's tokens with a mark behind each group, with groups_sha256 and `links` instead: the digest of
+    the groups' written form, empty where there are none, and of each group the pair of its last ids, which end together."""
+    keep = [c for c in rows.columns if c not in ("_a", "_b")]
+    link = T.StructType([T.StructField(c, T.IntegerType(), False) for c in "ab"])
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("groups_sha256", T.StringType(), False), T.StructField("links", T.ArrayType(link, False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << 16
+        words = _words(size)
+        for part in (p for batch in batches for p in _pieces(batch)):
+            (a, ends_a, row), (b, ends_b, _) = (_side(part.column(c)) for c in ("_a", "_b"))
+            last = [a[ends_a - 1], b[ends_b - 1]]
+            most = max((int(x[x != MARK].max(initial=0)) for x in (a, b)))
+            if most >= size:
+                size = 1 << most.bit_length()
+                words = _words(size)
+            # Groups in order, A's words of each before B's.
+            n_a, n_b = np.diff(ends_a, prepend=-1), np.diff(ends_b, prepend=-1)
+            start = np.concatenate(([0], np.cumsum(n_a + n_b)))
+            word = np.empty(start[-1], np.int64)
+            for ids, ends, n, at, sign in ((a, ends_a, n_a, start[:-1], 2 * size), (b, ends_b, n_b, start[:-1] + n_a, 2 * size + 1)):
+                first = ends - n + 1
+                ids += size
+                ids[first] -= size
+                ids[ends] = sign
+                word[np.arange(len(ids)) + np.repeat(at - first, n)] = ids
+            text = words.take(pa.array(word))
+            cuts = np.frombuffer(text.buffers()[1], np.int32, len(word) + 1)[start[row]].tolist() if len(word) else [0] * len(row)
+            raw = memoryview(text.buffers()[2] or b"")
+            digest = [sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in pairwise(cuts)]  # without the last sign
+            pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in last], fields=[pa.field(c, pa.int32(), False) for c in "ab"])
+            links = pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(digest, pa.string()), links], names=[*keep, "groups_sha256", "links"])
+
+    return rows.select(*keep, "_a", "_b").mapInArrow(run, schema)
 
 
 def align(rows: DataFrame) -> DataFrame:
     """Rows of `tokens` with n_a, n_b, n_groups, groups_sha256 and `links`, a pair of ids (a, b) for each group.
 
     Steps without a lambda are selects of their own, used more than once so that Spark keeps them apart: there they are compiled, and
-    longs are sorted as such; below a lambda they would be interpreted. Lambdas are kept as small as can be."""
+    longs are sorted as such."""
     keep = [c for c in rows.columns if c not in ("a_ends", "a", "b_ends", "b")]
     rows = rows.withColumn("_marks", F.array_intersect("a_ends", "b_ends"))
     rows = rows.select(*keep, F.size("_marks").alias("_n"), F.sort_array(F.concat("a", "_marks")).alias("_a"), F.sort_array(F.concat("b", "_marks")).alias("_b"))
     tokens_of = lambda c: (F.size(c) - F.col("_n")).cast("long")
-    rows = rows.select(*keep, tokens_of("_a").alias("n_a"), tokens_of("_b").alias("n_b"), F.col("_n").cast("long").alias("n_groups"), _parts(F.col("_a")).alias("_a"), _parts(F.col("_b")).alias("_b"))
-    last = lambda parts: F.transform(parts, lambda x: F.substring_index(x, ",", -1)).cast("array<int>")
-    links = F.arrays_zip(last(F.col("_a")).alias("a"), last(F.col("_b")).alias("b"))
-    text = F.array_join(F.zip_with("_a", "_b", lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-    digest = F.sha2(text, 256)
-    some = F.col("n_groups") > 0
-    return rows.select(*keep, "n_a", "n_b", "n_groups", F.when(some, digest).otherwise("").alias("groups_sha256"), F.when(some, links).alias("links"))
+    return written(rows.select(*keep, tokens_of("_a").alias("n_a"), tokens_of("_b").alias("n_b"), F.col("_n").cast("long").alias("n_groups"), "_a", "_b"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches between Spark and Python of about BATCH_BYTES, for what runs meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def with_best(n: DataFrame) -> DataFrame:
@@ -193,7 +259,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep: list[str] | None =
     scratch = Scratch(docs.sparkSession, "alignment")
     # What passes through is one struct, so that no name clashes with an inner one.
     found = align(tokens(docs.select(F.struct(*keep).alias("_doc"), "text"), path_a, path_b))
-    rows = scratch.put("rows", found.withColumn("_row", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        rows = scratch.put("rows", found.withColumn("_row", F.monotonically_increasing_id()))
     links = rows.select("_row", F.explode("links").alias("pair")).select("_row", "pair.a", "pair.b")
     counts = scratch.put("counts", with_best(scratch.put("n", links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")))))
     scratch.drop("n")

@@ -109,6 +109,30 @@ def test_alignment_against_brute_force(spark, texts, monkeypatch, limit):
     assert sum(w[0] > 0 for w in want) > 60 and want[TEXTS.index("x▁y")][0] == 0 and want[TEXTS.index(" one")][0] > 0
 
 
+@pytest.mark.parametrize("held", [1, 40])
+def test_groups_are_read_out_in_any_parts(spark, monkeypatch, held):
+    """However few tokens are held at once, with ids beyond the first table of words, and without functions that are interpreted item by item."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(alignment, "PART_TOKENS", held)
+    cloudpickle.register_pickle_by_value(sys.modules["contactmill.llm.alignment"])  # else workers take the module's own value
+    try:
+        end = lambda e, i: (e << alignment.SHIFT) | i
+        rows = [([end(2, 7), end(3, 70_000), end(9, 0)], [end(1, 5), end(3, 6), end(9, 300_000)])] * 3 + [([], []), ([end(1, 4)], [end(1, 3)])]
+        ends = lambda side: [x | alignment.MARK for x in side]
+        docs = spark.createDataFrame([(i, ends(a), a, ends(b), b) for i, (a, b) in enumerate(rows)], "i int, a_ends array<long>, a array<long>, b_ends array<long>, b array<long>").coalesce(1)
+        found = alignment.align(docs)
+        assert "lambdafunction" not in found._jdf.queryExecution().toString()
+        got = found.orderBy("i").collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules["contactmill.llm.alignment"])
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(3, 3, 2, digest("7,70000|5,6;0|300000"), [(70_000, 6), (0, 300_000)])] * 3 + [(0, 0, 0, "", []), (1, 1, 1, digest("4|3"), [(4, 3)])]
+    assert [(r["n_a"], r["n_b"], r["n_groups"], r["groups_sha256"], [tuple(x) for x in r["links"]]) for r in got] == want
+
+
 def test_ids_are_the_libraries(texts):
     """By rank or by the library, and where white space is very long."""
     both, (one, two) = alignment.Both(A, B), libraries()
