@@ -605,6 +605,31 @@ def test_one_passage_everywhere(spark):
     assert windows.select("words").distinct().count() == 8 + 100
 
 
+def test_words_are_counted_like_those_compared(spark):
+    """All characters of one and two bytes and some longer ones, alone and inside a word, null, empty and broken text."""
+    chars = [chr(c) for c in [*range(0x800), 0x2003, 0x3000, 0x6F22, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]]
+    texts = [None, b"", b"a\xff b\xc3", *[t.encode() for c in chars for t in (c, f"a{c}B", f"a {c} b")]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = {r["doc_id"]: r["n_words"] for r in winnow.decontaminate(docs, bench).select("doc_id", "n_words").collect()}
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    assert got == {i: len(rule.findall((t or b"").decode(errors="replace"))) for i, t in enumerate(texts)} == {i: len(winnow.words(t)) for i, t in enumerate(texts)}
+
+
+def test_counting_words_shares_a_machine(spark):
+    """Four threads count the words in about the time of a pattern of one range."""
+    docs = spark.range(0, 4000, 1, 4).select(F.repeat(F.concat(F.lit("Some plain words, here and there. "), F.col("id").cast("string"), F.lit(" ")), 100).alias("text")).localCheckpoint()
+
+    def seconds(pattern: str) -> float:
+        start = time.time()
+        assert docs.agg(F.sum(F.regexp_count("text", F.lit(pattern)))).first()[0] == 2_800_000
+        return time.time() - start
+
+    plain = r"[^\x00-\x2F]+"
+    took = {p: min(seconds(p) for _ in range(3)) for p in (plain, winnow._WORD)}
+    assert took[winnow._WORD] < 4 * took[plain] + 0.2
+
+
 def test_near_copies_that_fall_just_short(spark):
     """A group of copies of one text at all distances, against all pairs."""
     rng = np.random.default_rng(5)
