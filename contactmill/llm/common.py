@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 #: Rows of a scratch table of narrow rows that share a file, where their number is known.
 FILE_ROWS = 50_000
+#: Rows of any width that are worth a file of their own.
+LEAST_ROWS = 2_000
 #: Characters of text that a Python worker holds as words at once, one longer text aside.
 SLICE_CHARS = 1 << 20
 
@@ -48,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int, each: int = LEAST_ROWS) -> DataFrame:
+    """`df`, of about so many rows, in no more partitions than they fill with `each`, or than two for each core, where shuffles have
+    more than that. Its rows are dealt out once more then: the tasks that compute them stay as they are, only those that
+    store them are few. (For each file a local file system of Hadoop's starts several processes.)"""
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    return df.repartition(n) if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > n else df
+
+
 class Scratch:
     """Tables of a job in many steps, in a folder of the shared one. Storing a table under a name again deletes the
     version before; shuffle files go once the driver's garbage is collected, which is asked for then too."""

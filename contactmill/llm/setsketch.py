@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, cut, map_texts, small
+from .common import FILE_ROWS, WORD, Scratch, cut, gathered, map_texts, small
 
 REGISTERS, ROWS, BANDS = 240, 6, 60
 BASE, RATE, TOP = 1.001, 20.0, 65_534
@@ -234,10 +234,10 @@ def centres(open_: DataFrame, roots: DataFrame, degrees: DataFrame) -> DataFrame
     return top.select("band", F.col("top.pivot").alias("pivot"), F.col("top.pn").alias("pn"), F.col("top.root").alias("pr"))
 
 
-def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(u, v): roots of different components that a link joins, among classes with one pivot; enough of them for all components.
 
-    `members` (pivot, cid, n, root) includes the pivots. With D(x) the symmetric difference of x and its pivot, classes x
+    `members` (pivot, cid, n, root), about `rows`, includes the pivots. With D(x) the symmetric difference of x and its pivot, classes x
     and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and they link iff that is at most (|x| + |y|) (100 - percent)
     / (100 + percent). With f(x) the share of that excess which x brings, the sum of both f is at most 2 |D(x) & D(y)|
     (all times 100 + percent). So x and y link if both f add up to 0 or less, and then both link with the class of least f;
@@ -245,22 +245,24 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch:
     the others are joined by the rarest ones only (prefix filter), under the bound that f and the number of shared differences set.
     """
     p, q = 100 + percent, 100 - percent
+    rows = members.count() if rows is None else rows
+    put = lambda name, df: scratch.put(name, gathered(df, rows))
     items = lambda c, name: sets.select(F.col("cid").alias(c), F.col("items").alias(name))
     delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     d = members.join(items("cid", "x"), "cid").join(items("pivot", "y"), "pivot").select("pivot", "cid", "n", "root", delta.alias("delta"))
-    d = scratch.put("delta", d.withColumn("f", (p * F.size("delta") - q * F.col("n")).cast("long")))
+    d = put("delta", d.withColumn("f", (p * F.size("delta") - q * F.col("n")).cast("long")))
     # Differences that several classes of a pivot have, rarest first.
     each = d.select("pivot", "cid", F.explode("delta").alias("t"))
     common = each.groupBy("pivot", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = each.join(common, ["pivot", "t"]).groupBy("pivot", "cid").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))
     e = d.select("pivot", "cid", "root", "f").join(shared, ["pivot", "cid"], "left")
-    e = scratch.put("shared", e.withColumn("r", F.col("f") - 2 * p * F.coalesce(F.size("ts"), F.lit(0))))
+    e = put("shared", e.withColumn("r", F.col("f") - 2 * p * F.coalesce(F.size("ts"), F.lit(0))))
     # For each pivot the least f and r, and the least ones among the other roots.
-    low = scratch.put("low", e.groupBy("pivot", "root").agg(F.min("f").alias("f"), F.min("r").alias("r")))
+    low = put("low", e.groupBy("pivot", "root").agg(F.min("f").alias("f"), F.min("r").alias("r")))
     first = low.groupBy("pivot").agg(F.min(F.struct("f", "root")).alias("f1"), F.min(F.struct("r", "root")).alias("r1"))
     other = lambda c: F.min(F.when(F.col("root") != F.col(f"{c}1.root"), F.col(c)))
     second = low.join(first, "pivot").groupBy("pivot").agg(F.first("f1").alias("f1"), F.first("r1").alias("r1"), other("f").alias("f2"), other("r").alias("r2"))
-    second = scratch.put("bounds", second.where("f2 is not null"))
+    second = put("bounds", second.where("f2 is not null"))
     e = e.join(second, "pivot")
     besides = lambda c: F.when(F.col("root") == F.col(f"{c}1.root"), F.col(f"{c}2")).otherwise(F.col(f"{c}1.{c}"))
     near = e.where((F.col("root") != F.col("f1.root")) & (F.col("f") + F.col("f1.f") <= 0)).select(F.col("root").alias("u"), F.col("f1.root").alias("v"))
@@ -268,18 +270,18 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int, scratch:
     some = e.where((F.size("ts") >= least) & (F.col("f") + besides("r") <= 0) & (F.col("r") + besides("f") <= 0))
     some = some.select("pivot", "cid", "root", "f", "r", F.explode(F.slice("ts", F.lit(1), F.size("ts") - least + 1)).alias("t")).select("pivot", "cid", "root", "f", "r", "t.t")
     # Differences that one root's members share pair nothing: roots are joined first, then those of their members that can link.
-    some = scratch.put("some", some)
+    some = put("some", some)
     per = some.groupBy("pivot", "t", "root").agg(F.min("f").alias("f"), F.min("r").alias("r"))
     x, y = (per.select("pivot", "t", *[F.col(c).alias(f"{c}_{i}") for c in ("root", "f", "r")]) for i in "ab")
     bound = (F.col("f_a") + F.col("r_b") <= 0) & (F.col("f_b") + F.col("r_a") <= 0)
     roots = x.join(y, ["pivot", "t"]).where((F.col("root_a") > F.col("root_b")) & bound).select("pivot", "t", "root_a", "root_b")
     x, y = (some.select("pivot", "t", *[F.col(c).alias(f"{c}_{i}") for c in ("cid", "root", "f", "r")]) for i in "ab")
     members = roots.join(x, ["pivot", "t", "root_a"]).join(y, ["pivot", "t", "root_b"]).where(bound)
-    pairs = scratch.put("pairs", members.select("pivot", "cid_a", "cid_b", "root_a", "root_b").distinct())
+    pairs = put("pairs", members.select("pivot", "cid_a", "cid_b", "root_a", "root_b").distinct())
     side = lambda i: d.select("pivot", F.col("cid").alias(f"cid_{i}"), F.col("f").alias(f"f_{i}"), F.col("delta").alias(f"d_{i}"))
     pairs = pairs.join(side("a"), ["pivot", "cid_a"]).join(side("b"), ["pivot", "cid_b"])
     found = pairs.where(F.col("f_a") + F.col("f_b") <= 2 * p * F.size(F.array_intersect("d_a", "d_b")))
-    return scratch.put("last", near.union(found.select("root_a", "root_b")).distinct())
+    return put("last", near.union(found.select("root_a", "root_b")).distinct())
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -287,12 +289,17 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.put("rows", sketched(docs.select("doc_id", "text", _row_key(docs)), ["doc_id", "row_key"], k))
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.max("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.put("classes", classes.withColumn("cid", F.monotonically_increasing_id()))
+    total = rows.count()
+    # Gathered before they get their numbers: those are given by the task that stores them.
+    classes = scratch.put("classes", gathered(classes, total).withColumn("cid", F.monotonically_increasing_id()))
     bands = band_keys(classes)
     buckets = bands.groupBy("band").agg(F.min("cid").alias("lo"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    open_ = scratch.put("open", bands.join(buckets, "band").select("band", "cid", "n", "size", "lo", F.col("cid").alias("root")))
+    open_ = bands.join(buckets, "band").select("band", "cid", "n", "size", "lo", F.col("cid").alias("root"))
+    open_ = scratch.put("open", gathered(open_, BANDS * total, FILE_ROWS))
+    held = open_.count()
     used = classes.join(open_.select("cid").distinct(), "cid", "left_semi")
-    sets = scratch.put("sets", full_sets(docs, scratch.put("used", used.select("cid", "n", "set_key", "row_key", "sketch")), k))
+    used = scratch.put("used", gathered(used.select("cid", "n", "set_key", "row_key", "sketch"), total))
+    sets = scratch.put("sets", gathered(full_sets(docs, used, k), total))
     count = sets.count()
     roots = scratch.put("roots", sets.select("cid", "n", F.col("cid").alias("root")), count)
     degrees = None
@@ -301,7 +308,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             # Buckets that still hold several components.
             now = open_.drop("root").join(roots.select("cid", "root"), "cid")
             several = now.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
-            open_ = scratch.put("open", now.join(several, "band"))
+            open_ = scratch.put("open", gathered(now.join(several, "band"), held, FILE_ROWS))
         if open_.isEmpty():
             break
         if step == 0:
@@ -313,27 +320,27 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             me = F.struct("cid", "root")
             pairs = ring.select("cid", "root", F.coalesce(F.lead(me).over(w), F.first(me).over(all_)).alias("x")).select(F.col("cid").alias("a"), F.col("x.cid").alias("b"), F.col("root").alias("ra"), F.col("x.root").alias("rb"))
         else:
-            tops = scratch.put("tops", centres(open_, roots, degrees))
+            tops = scratch.put("tops", gathered(centres(open_, roots, degrees), held, FILE_ROWS))
             pairs = open_.join(tops, "band").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), F.col("root").alias("ra"), F.col("pr").alias("rb"))
         if step < RINGS + 2:
             pairs = screen(pairs.where("ra != rb").distinct(), sets, percent)
             # Of a class's pairs the likeliest.
             pairs = pairs.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("j", "b")).alias("x")).select("a", "ra", "x.b", "x.rb")
-            found = scratch.put("found", confirm(pairs, sets, percent))
+            found = scratch.put("found", gathered(confirm(pairs, sets, percent), count))
             ends = found.select(F.col("a").alias("cid"), F.lit(1).cast("long").alias("d")).union(found.select("b", F.lit(1).cast("long")))
             degrees = scratch.put("degrees", (ends if step == 0 else ends.union(degrees)).groupBy("cid").agg(F.sum("d").alias("d")), count)
             links = found.select(F.col("ra").alias("u"), F.col("rb").alias("v"))
         else:
             members = open_.join(tops, "band").select("pivot", "cid", "n", "root")
             members = members.union(tops.select("pivot", F.col("pivot").alias("cid"), F.col("pn").alias("n"), F.col("pr").alias("root"))).distinct()
-            links = remaining_links(members, sets, percent, scratch)
+            links = remaining_links(members, sets, percent, scratch, held)
         if links.isEmpty():
             continue
         new = components(links, scratch).select(F.col("v").alias("root"), F.col("root").alias("new"))
         roots = scratch.put("roots", roots.join(new, "root", "left").select("cid", "n", F.coalesce("new", "root").alias("root")), count)
     named = classes.join(roots.select("cid", "root"), "cid", "left").select("set_key", "id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = scratch.put("named", named.join(least, "root").select("set_key", "root", "component_id"))
+    named = scratch.put("named", gathered(named.join(least, "root").select("set_key", "root", "component_id"), total))
     scratch.drop(*(name for name in [*scratch.at] if name not in ("rows", "named")))
     return rows.drop("sketch"), named
 
@@ -341,7 +348,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: doc_id, row_key, n_shingles, root (null if the set is empty), component_id, kept (it has that id)."""
     rows, classes = _linked(docs, k, percent)
-    out = rows.join(classes, "set_key", "left")
+    out = gathered(rows.join(classes, "set_key", "left"), rows.count())
     found = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_key", "n_shingles", "root", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
@@ -355,4 +362,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = rows.where("_any").join(best, (F.col("row_key") == F.col("_k")) & F.col("_d").eqNullSafe(F.col("_i")), "left_semi")
     # Of rows that repeat id and text the one of least hash, so that reruns agree.
     kept = kept.groupBy("row_key", "_d").agg(F.min_by("row", "_h").alias("row"))
-    return kept.select("row.*").unionByName(rows.where("not _any").select("row.*"))
+    return gathered(kept.select("row.*").unionByName(rows.where("not _any").select("row.*")), found.count())

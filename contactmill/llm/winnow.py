@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, small
+from .common import Scratch, gathered, map_texts, small
 
 SPAN, K = 13, 7
 WINDOW = SPAN - K + 1
@@ -198,9 +198,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
     scratch = Scratch(docs.sparkSession, "winnow")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    windows = scratch.put("windows", item_windows(items))
+    windows = scratch.put("windows", gathered(item_windows(items), items.count()))
     # Rows that repeat give the same windows, of which a document has each once.
-    found = scratch.put("found", found_spans(docs.where("text is not null").select(key.alias("key"), "text"), windows))
+    found = scratch.put("found", gathered(found_spans(docs.where("text is not null").select(key.alias("key"), "text"), windows), docs.count()))
     scratch.drop("windows")
     numbers = found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:

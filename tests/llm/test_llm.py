@@ -418,6 +418,34 @@ def test_components_are_stored_in_few_files(spark, monkeypatch):
     assert len(files) >= 3 and max(files) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_near_dedup_stores_its_tables_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, tables of few rows take no more files than two for each core, and the result no more partitions."""
+    parts = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, drop = {k: spark.conf.get(k) for k in parts}, {}, common.Scratch.drop
+
+    def counted(self, *names):
+        for n in names:
+            if n in self.at:
+                files[n] = max(files.get(n, 0), len(self.spark.read.parquet(self.at[n]).inputFiles()))
+        drop(self, *names)
+
+    monkeypatch.setattr(common.Scratch, "drop", counted)
+    alone = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(300)]
+    words = [f"v{i}" for i in range(200)]
+    group = [(1000 + i, " ".join([*words[:i], f"y{i}", *words[i + 1 :]])) for i in range(0, 200, 2)]
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        got = setsketch.keep_one(spark.createDataFrame(alone + group, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in got.collect()) == [*range(300), 1000]
+        most = got.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "open", "used", "sets", "found"} <= files.keys()
+    assert max(most, *files.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_hub_and_a_chain_are_components(spark):
     """Many links of one class; each task sends the classes' least neighbours once."""
     n = 20_000
