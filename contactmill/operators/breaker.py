@@ -136,7 +136,8 @@ def changes(events: DataFrame, key: str, at: str, order: list[str], failed: Colu
         state = CLOSED if pd.isna(first["_run"]) else (int(first["_run"]), int(first["_trips"]), int(first["_until"]))
         found, _ = fold(frame["_us"].tolist(), frame["_bad"].tolist(), state, limit, base, cap)
         out = frame.iloc[[i for i, _, _ in found]].copy()
-        out["state"], out["trips"] = [s for _, s, _ in found], [t for _, _, t in found]
+        # With their types: of a group without changes, pandas would make numbers of the states.
+        out["state"], out["trips"] = pd.Series([s for _, s, _ in found], out.index, object), pd.Series([t for _, _, t in found], out.index, "int64")
         return out[names]
 
     return rows.groupBy("_block", key).applyInPandas(run, schema)

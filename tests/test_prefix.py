@@ -79,3 +79,11 @@ def test_circuits_against_a_loop(spark, blocks):
     got = {r["id"]: (r["state"], r["trips"]) for r in breaker.changes(df, "user", "ts", ["id"], F.col("failed"), blocks=blocks).collect()}
     assert got == want and len(want) > 100 and max(t for _, t in want.values()) >= 4
     assert breaker.changes(df.limit(0), "user", "ts", ["id"], F.col("failed")).count() == 0
+
+
+def test_circuits_of_keys_without_a_change(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "quiet", at, False), (2, "once", at, True), (3, None, None, None), *[(4 + i, "hot", at + dt.timedelta(seconds=i), True) for i in range(3)]]
+    df = spark.createDataFrame(rows, "id long, user string, ts timestamp_ntz, failed boolean").withColumn("kind", F.lit("k"))
+    assert [tuple(r) for r in breaker.changes(df, "user", "ts", ["id"], F.col("failed")).select("id", "kind", "state", "trips").collect()] == [(6, "k", "OPEN", 1)]
+    assert breaker.changes(df.where("user <> 'hot'"), "user", "ts", ["id"], F.col("failed"), blocks=3).collect() == []
