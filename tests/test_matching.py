@@ -33,6 +33,32 @@ def test_no_similar_name_is_missed(spark, names):
     assert len(want) > 20 and got == want
 
 
+@pytest.fixture(scope="module")
+def products():
+    """Names of few words, of which every piece is common, and some too long to meet by what is left of them."""
+    rng = np.random.default_rng(3)
+    all_ = [f"{a} {b} Brand#{i} {j}" for a in ("old", "cold", "red") for b in ("bolt", "rod") for i in range(1, 26) for j in range(1, 51)]
+    out = [all_[i] for i in rng.choice(len(all_), 600, replace=False)]
+    long = ["".join(rng.choice(list("abcdefgh "), 70)) for _ in range(5)]
+    return out + long + [x[:30] + "z" + x[33:] for x in long] + [x[:20] + x[22:] for x in out[:20]] + [x[:15] + x[18:] for x in ("a" * 16 + "bcdefghijklmnop", "warm and cold bolts of Brand#12 33")] + ["a" * 16 + "bcdefghijklmnop", "warm and cold bolts of Brand#12 33", "", "x"]
+
+
+def test_common_pieces_make_few_candidates(spark, products, monkeypatch):
+    names = list(dict.fromkeys(products))
+    rows = spark.createDataFrame(list(enumerate(names)), "seq long, name string")
+    match, want = SequenceMatcher(), set()
+    for j, b in enumerate(names):
+        match.set_seq2(b)
+        for a in names[:j]:
+            match.set_seq1(a)
+            if match.real_quick_ratio() >= 0.95 and match.quick_ratio() >= 0.95 and match.ratio() >= 0.95:
+                want.add((a, b))
+    pairs = lambda: {(r["left"], r["right"]) for r in fuzzy.ratio_pairs(rows, "name", "seq").collect()}
+    assert pairs() == want and len(want) > 400 and sum(len(a) > 64 for a, _ in want) == 5
+    monkeypatch.setattr(fuzzy, "difflib_ratio", lambda left, right: F.lit(1.0))
+    assert len(pairs()) < 1.2 * len(want)
+
+
 def test_keys_merge_into_the_first_accepted_one(spark, names):
     rows = spark.createDataFrame(list(enumerate(names)), "seq long, name string")
     accepted, want = [], {}
