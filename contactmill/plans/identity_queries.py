@@ -230,9 +230,12 @@ def best_match(t: Tables) -> DataFrame:
 
 @query("select c_custkey, n_name, min_by(s_name, (case when s_acctbal > 5000 then 0 else 1 end) * 100000000 + s_suppkey) as email from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = c_nationkey group by all")
 def preferred_contact(t: Tables) -> DataFrame:
-    """A ranked pick."""
-    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey"))
-    return rows.groupBy("c_custkey", "n_name").agg(F.min_by("s_name", F.struct(F.when(F.col("s_acctbal") > 5000, 0).otherwise(1), "s_suppkey")).alias("email"))
+    """A ranked pick, made once a nation, since it is the same for all its customers; a supplier without key or name is none."""
+    rank = F.when(F.col("s_acctbal") > 5000, 0).otherwise(1) * F.lit(100_000_000).cast("long") + F.col("s_suppkey")
+    picks = t.supplier.groupBy("s_nationkey").agg(F.min(F.when(rank.isNotNull() & F.col("s_name").isNotNull(), F.struct(rank.alias("rank"), "s_name"))).alias("pick"))
+    nations = t.nation.join(picks, F.col("n_nationkey") == F.col("s_nationkey")).select("n_nationkey", "n_name", "pick")
+    rows = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("c_custkey", "n_name").agg(F.min("pick")["s_name"].alias("email"))
 
 
 @query("select p_partkey, case when regexp_matches(p_name, '\\d') or len(string_split(p_name, ' ')) < 2 then false else true end as person, p_size * 1000000 as amount from part")

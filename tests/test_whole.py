@@ -68,3 +68,20 @@ def test_stale_fresh_split_sees_late_events(spark, sf, con, tmp_path):
     spark.sql("select * from values (7, timestamp_ntz '2024-01-02'), (7, timestamp_ntz '2024-01-30'), (8, timestamp_ntz '2024-01-02') as e(user_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
     got = catalogue.QUERIES["stale_fresh_split"](spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(2, 1, 1)]
+
+
+def test_preferred_contact_is_picked_once_a_nation(spark, sf, con, tmp_path):
+    assert differences(catalogue.QUERIES["preferred_contact"](spark, sf), con, catalogue.SQL["preferred_contact"]) == []
+    # Customers twice in a nation and in two, nations of one key and of one name, none, poor and unknown suppliers; the last nation has 4 * 10^8 pairs.
+    customers = [(1, 0), (1, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (None, 0), (6, None), (7, 9)]
+    nations = [(0, "a"), (0, "b"), (1, "a"), (2, None), (3, "c"), (4, "d"), (5, "e"), (None, "f")]
+    suppliers = [(1, "s1", 0, 1.0), (2, "s2", 0, 5000.0), (3, "s3", 0, 5001.0), (4, "s4", 1, None), (5, "s5", 2, 9e9), (None, "s6", 2, 9e9), (0, None, 2, 9e9), (None, "s7", 3, 1.0), (300_000_000, "s8", 1, 6e3), (9, "s9", None, 6e3), (8, "s0", 5, float("nan"))]
+    spark.createDataFrame(nations, "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").union(spark.range(1000, 21000).selectExpr("id", "5")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").union(spark.range(1000, 21000).selectExpr("id", "string(id)", "5", "1d")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["preferred_contact"](spark, str(tmp_path))
+    assert got.where("c_custkey >= 1000 and email = 's0'").count() == 20000
+    few = got.where("c_custkey < 1000 or c_custkey is null")
+    folder = duck(str(tmp_path))
+    folder.execute("create table few as select * from customer where c_custkey < 1000 or c_custkey is null")
+    assert differences(few, folder, catalogue.SQL["preferred_contact"].replace("from customer", "from few as customer")) == [] and few.count() == 7
