@@ -107,7 +107,9 @@ def _alike(names: DataFrame, least: float) -> DataFrame:
     Where of n and m letters k may be unmatched, the longer loses gap + (k - gap) / 2 letters and the shorter (k - gap) / 2, and
     one of the names that are left is the same. They meet by its hash; the ratio decides later, so equal hashes add no pair."""
     n = F.length("name")
-    rows = names.select("name", "o", n.alias("n"), F.explode(_lengths(n, least)).alias("m")).where(_by_cuts(F.col("n"), F.col("m"), least))
+    # A name becomes hundreds of rows: they are dealt out where Spark, which goes by their bytes, would take one task.
+    dealt = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.select("name", "o", n.alias("n"), F.explode(_lengths(n, least)).alias("m")).where(_by_cuts(F.col("n"), F.col("m"), least))
     most, gap = _cuts(F.col("n"), F.col("m"), least), F.abs(F.col("n") - F.col("m"))
 
     def side(rows: DataFrame, cuts: Column, short: str, long: str, o: str) -> DataFrame:
